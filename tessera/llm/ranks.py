@@ -17,17 +17,17 @@ def number_rows(df: DataFrame, group: list[str], block_of: list[str], order: lis
     told apart by order; rows equal in that too are interchangeable.
     """
     block = F.pmod(F.xxhash64(*block_of), F.lit(blocks)).cast("int")
-    start = Window.partitionBy(*(f"_g{i}" for i in range(len(group)))).orderBy("_b")
+    start = Window.partitionBy(*(f"_g{i}" for i in range(len(group)))).orderBy("_of_block")
     keys = [f"_g{i}" for i in range(len(group))]
     starts = (
-        df.select(*(F.col(c).alias(k) for c, k in zip(group, keys)), block.alias("_b"))
-        .groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.sum("_n").over(start) - F.col("_n"))
-        .drop("_n")
+        df.select(*(F.col(c).alias(k) for c, k in zip(group, keys)), block.alias("_of_block"))
+        .groupBy(*keys, "_of_block")
+        .agg(F.count(F.lit(1)).alias("_in_n"))
+        .withColumn("_in_start", F.sum("_in_n").over(start) - F.col("_in_n"))
+        .drop("_in_n")
     )
-    inside = Window.partitionBy(*group, "_block").orderBy(*order)
-    ranked = df.withColumn("_block", block).withColumn("_rank", F.row_number().over(inside))
+    inside = Window.partitionBy(*group, "_in_block").orderBy(*order)
+    ranked = df.withColumn("_in_block", block).withColumn("_in_rank", F.row_number().over(inside))
     on = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(group, keys)]
-    joined = ranked.join(starts, [*on, F.col("_block") == F.col("_b")])
-    return joined.withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_block", "_rank", "_start", "_b", *keys)
+    joined = ranked.join(starts, [*on, F.col("_in_block") == F.col("_of_block")])
+    return joined.withColumn(name, F.col("_in_start") + F.col("_in_rank") - 1).drop("_in_block", "_in_rank", "_in_start", "_of_block", *keys)
