@@ -31,8 +31,8 @@ from tessera.llm.store import table
 SHIFT = 20
 #: Stands for the end of a word among its letters.
 END = "\0"
-#: Entries of each kind kept by a worker before it forgets them all; bounds its memory.
-KEPT = 600_000
+#: Words, and pieces between white space, kept by a worker, twice at most; bounds its memory.
+KEPT, KEPT_PIECES = 250_000, 150_000
 
 
 def byte_letters() -> list[str]:
@@ -118,7 +118,8 @@ class Encoder:
     def __init__(self, automaton: Automaton, word_end: str):
         self.automaton = automaton
         self.tokens = {t.removesuffix(word_end) + END if t.endswith(word_end) else t: i for t, i in automaton.vocab.items()}
-        self.starts = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
+        # each beginning of a token, with the token that it is or -1
+        self.starts = {t[:k]: -1 for t in self.tokens for k in range(1, len(t))} | self.tokens
         self.sizes = [0] * len(automaton.target)
         self.shorter = [-1] * len(automaton.target)
         for t, i in self.tokens.items():
@@ -134,9 +135,13 @@ class Encoder:
         return to
 
     def longest(self, symbols: str, at: int) -> int:
-        starts, tokens, found, end = self.starts, self.tokens, -1, at + 1
-        while end <= len(symbols) and (part := symbols[at:end]) in starts:
-            found = tokens.get(part, found)
+        """The longest token at a place, or -1."""
+        starts, found, end = self.starts.get, -1, at + 1
+        while (token := starts(symbols[at:end])) is not None:
+            if token >= 0:
+                found = token
+            if end == len(symbols):
+                break
             end += 1
         return found
 
@@ -175,19 +180,26 @@ class Encoder:
 
 
 class Known(dict):
-    """Remembers what make returns for short strings."""
+    """Remembers what make returns for short strings.
+
+    What was asked for since the last but one clearing is kept, so frequent
+    strings stay and memory is bounded by twice most.
+    """
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 48:
             self[key] = value
         return value
 
     def trim(self) -> None:
-        if len(self) > KEPT:
+        if len(self) > self.most:
+            self.before = dict(self)
             self.clear()
 
 
@@ -218,8 +230,8 @@ class Model:
         self.letters = byte_letters()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if self.specials else lambda t: [t]
         self.odd = regex.compile("[\x1c-\x1f]").search
-        self.words = Known(self.word)
-        self.pieces = Known(self.piece)
+        self.words = Known(self.word, KEPT)
+        self.pieces = Known(self.piece, KEPT_PIECES)
 
     def word(self, word: str) -> bytes:
         """Ids of a word after splitting, as 32-bit numbers."""
@@ -296,9 +308,10 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        labels = shared.value
+        label = shared.value.__getitem__
         for rows in batches:
-            yield pa.array([" ".join(map(labels.__getitem__, r.as_py() or ())) for r in rows], pa.string())
+            flat, ends = rows.flatten().to_numpy(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy())
+            yield pa.array([" ".join(map(label, part.tolist())) for part in np.split(flat, ends[:-1])] if len(rows) else [], pa.string())
 
     return df.withColumn(out, run(F.col(ids)))
 

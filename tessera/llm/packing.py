@@ -26,6 +26,8 @@ from tessera.llm.ranks import number_rows
 from tessera.llm.store import cut, table
 
 CAPACITY, END_ID = 1024, 2
+#: Pieces of text whose ids a worker keeps, twice at most; bounds its memory.
+KEPT_PIECES = 300_000
 #: Nodes visited by the search for one filling, and fillings placed by the whole search.
 FILL_NODES, SEARCH_NODES, BRANCHES = 3000, 6000, 3
 #: Fixed value: how byte-level models of this kind split a text into words.
@@ -60,7 +62,7 @@ class ByteModel:
 
         self.coder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens=self.specials)
         self.whole = regex.compile(r" \s|\s ").search
-        self.pieces = Known(lambda p: self.plain(" " + p))
+        self.pieces = Known(lambda p: self.plain(" " + p), KEPT_PIECES)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.coder.encode(text, allowed_special="all"), "<u4").tobytes()
