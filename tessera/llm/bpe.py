@@ -85,25 +85,27 @@ class Automaton:
             self.target[w] = behind
             owners[behind] += 1
 
-    def has_arc(self, state: int, token: int) -> bool:
+    def lost(self, state: int) -> dict[int, int]:
+        """All arcs that the row of state lacks by their removal, its parents' included, and when they went."""
+        out, until = {}, 1 << 60
+        while state >= 0:
+            for part, when in self.removed[state].items():
+                if when <= until:
+                    out.setdefault(part, when)
+            until = min(until, self.copied[state])
+            state = self.parent[state]
+        return out
+
+    def has_arc(self, state: int, token: int, lost: dict[int, int] | None = None) -> bool:
         """Whether the row of state holds an arc for token."""
-        halves = []
+        lost = self.lost(state) if lost is None else lost
         needed = 1 << 60
         while token >= 0:
-            halves.append((token, needed))
+            # an arc lost by a part bars what is made from that part later on, or by the same merge (u, u)
+            if lost.get(token, needed + 1) <= needed:
+                return False
             needed = self.made[token]
             token = self.left[token]
-        until = 1 << 60
-        while state >= 0:
-            lost = self.removed[state]
-            if lost:
-                for part, needed in halves:
-                    when = lost.get(part)
-                    # an arc lost by a part bars what is made from that part later on, or by the same merge (u, u)
-                    if when is not None and when <= until and when <= needed:
-                        return False
-            until = min(until, self.copied[state])
-            state = self.parent[state]
         return True
 
 
@@ -126,12 +128,16 @@ class Encoder:
             self.sizes[i] = len(t)
             self.shorter[i] = next((self.tokens[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.tokens), -1)
         self.rows: dict[int, int] = {}
+        self.lost: dict[int, dict[int, int]] = {}
 
     def arc(self, state: int, token: int) -> int:
         """The state behind the arc for token, or -1; kept in rows."""
         if len(self.rows) > KEPT:
             self.rows.clear()
-        to = self.rows[state << SHIFT | token] = self.automaton.target[token] if self.automaton.has_arc(state, token) else -1
+        lost = self.lost.get(state)
+        if lost is None:
+            lost = self.lost[state] = self.automaton.lost(state)
+        to = self.rows[state << SHIFT | token] = self.automaton.target[token] if self.automaton.has_arc(state, token, lost) else -1
         return to
 
     def longest(self, symbols: str, at: int) -> int:
