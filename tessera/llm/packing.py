@@ -13,11 +13,12 @@ their rank among rows of equal length.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from tessera.llm.ranks import number_rows
 from tessera.llm.store import cut, table
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of text whose ids a worker keeps, twice at most; bounds its memory.
-KEPT_PIECES = 300_000
+#: Words, and pieces between spaces, whose ids a worker keeps, twice at most; bounds its memory.
+KEPT_WORDS, KEPT_PIECES = 250_000, 200_000
 #: Nodes visited by the search for one filling, and fillings placed by the whole search.
 FILL_NODES, SEARCH_NODES, BRANCHES = 3000, 6000, 3
 #: Fixed value: how byte-level models of this kind split a text into words.
@@ -61,16 +62,26 @@ class ByteModel:
         import tiktoken
 
         self.coder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens=self.specials)
-        self.whole = regex.compile(r" \s|\s ").search
-        self.pieces = Known(lambda p: self.plain(" " + p), KEPT_PIECES)
+        self.other = re.compile(r"[^\S\n ]").search
+        self.ordinary = self.coder._core_bpe.encode_ordinary
+        self.words = Known(self.plain, KEPT_WORDS)
+        self.pieces = Known(self.piece, KEPT_PIECES)
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.coder.encode(text, allowed_special="all"), "<u4").tobytes()
+        special = any(t in text for t in self.specials)
+        return array("I", self.coder.encode(text, allowed_special="all") if special else self.ordinary(text)).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece after a space; most are letters and at most one sign, which stands alone."""
+        if piece and piece[-1] in ",.;:!?" and piece[:-1].isalpha():
+            return self.words[" " + piece[:-1]] + self.words[piece[-1]]
+        return self.words[" " + piece]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
-        if self.whole(text):
-            return self.plain(text)
+        if "  " in text or " \n" in text or "\n " in text or self.other(text):
+            return self.plain(text)  # a space next to white space may belong to a longer token
+        self.words.trim()
         self.pieces.trim()
         first, *rest = text.split(" ")
         return self.plain(first) + b"".join(map(self.pieces.__getitem__, rest))
@@ -254,7 +265,8 @@ def pack(df: DataFrame, length: str, keys: list[str], order: list[Column], capac
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The pieces of all documents with their places."""
-    cutup = pieces(docs.select("doc_id", "text"), load(path)).select("doc_id", F.explode("pieces").alias("p"))
+    # outer, as a filter on empty lists would run the tokenizer a second time
+    cutup = pieces(docs.select("doc_id", "text"), load(path)).select("doc_id", F.explode_outer("pieces").alias("p"))
     narrow = cut(cutup.select("doc_id", "p.piece", "p.start", "p.length", F.crc32("p.ids").alias("ids_crc32")))
     return pack(narrow, "length", ["doc_id", "piece"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
 
