@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tessera.plans import flows, matching, reports, scores  # noqa: F401  each registers its queries
+from tessera.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

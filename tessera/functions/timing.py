@@ -31,8 +31,8 @@ def iso_weekday(day: Column) -> Column:
 
 
 def half_up_level(score: Column) -> Column:
-    """floor(x + 0.5), kept within levels 1 to 4."""
-    return F.greatest(F.lit(1), F.least(F.lit(4), F.floor(score + 0.5).cast("int")))
+    """floor(x + 0.5), kept within levels 1 to 4; null for null."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(4), F.floor(score + 0.5).cast("int"))))
 
 
 def hhmm_minute(code: Column) -> Column:
