@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def search_term(text: Column) -> Column:
@@ -34,7 +35,7 @@ def plain_name(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_name(texts: pd.Series) -> pd.Series:
     """Letters and digits after NFKC and case folding; for dimension tables, as no built-in composes."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()))
