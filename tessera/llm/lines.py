@@ -240,7 +240,7 @@ def find(df: DataFrame, bounds: Bounds = BOUNDS) -> DataFrame:
     order = ["variant", "place", "doc_id", "_k", "line_no"]
     met = keys.repartition("variant").sortWithinPartitions(*order).mapInArrow(meet, MEETINGS)
     later = met.where("whole <> to_whole").groupBy("whole").agg(F.min(F.struct("to_doc_id", "to_k", "to_line_no", "to_whole")).alias("to"))
-    words = held.groupBy("whole").agg(F.min("line").alias("line"))
+    words = cut(held.groupBy("whole").agg(F.min("line").alias("line")))  # written, so that a join on a frequent line can be split
 
     @F.arrow_udf("boolean")
     def verified(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -261,7 +261,7 @@ def find(df: DataFrame, bounds: Bounds = BOUNDS) -> DataFrame:
         F.when(is_first, F.col("near.to_line_no")).otherwise(F.col("first.line_no")).cast("int").alias("keeper_line_no"),
     )
     made = cut(out.distinct())
-    drop(lines, classes, half, shared, suspects, by_doc, held, near, fates)
+    drop(lines, classes, half, shared, suspects, by_doc, held, words, near, fates)
     return made
 
 
