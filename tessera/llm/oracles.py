@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessera.llm.chat import END, EXTRA, TURN
+from tessera.llm.quality import RULES as QUALITY
+from tessera.llm.quality import SYMBOLS
 from tessera.llm.sharding import MASK, MAX_SHARDS, ODD1, ODD2, SHARDS, STEP
 from tessera.llm.urls import ALPHABET, BACKING, LOWER, OTHERS, PARTS, RULES, UPPER
 
@@ -46,4 +48,26 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, shown) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(role) + length(shown) + {len(TURN) + 1 + len(END)}) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
-SQL = {"op5_urls": URLS, "op6_chat": CHAT}
+LENGTHS = [3, *sorted(QUALITY.coverage)]
+LIMITS = " AND ".join(f"coalesce(chars[{n}], 0) <= {QUALITY.coverage[n]} * word_chars" for n in LENGTHS[1:])
+NEXT = ", ".join(f"lead(word, {i}) OVER o AS w{i}" for i in range(max(LENGTHS)))
+GRAMS = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, pos, concat_ws(' ', {', '.join(f'w{i}' for i in range(n))}) AS gram FROM x WHERE w{n - 1} IS NOT NULL" for n in LENGTHS)
+WITHIN = r"[^\x20\x09-\x0D]"
+REPETITION = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WITHIN}+') AS w FROM documents),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS seen FROM l WHERE regexp_matches(line, '{WITHIN}')),
+dup AS (SELECT doc_id, count(*) AS n, sum(length(array_to_string(regexp_extract_all(line, '{WITHIN}+'), ''))) AS chars FROM r WHERE seen > 1 GROUP BY doc_id),
+q AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+x AS (SELECT doc_id, pos, {NEXT} FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+g AS ({GRAMS}),
+t AS (SELECT doc_id, n, pos FROM (SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, n, gram) AS c FROM g) y WHERE c > 1),
+c AS (SELECT DISTINCT doc_id, n, pos + unnest(range(0, n)) AS pos FROM t),
+s AS (SELECT c.doc_id, c.n, count(*) AS words, sum(length(word)) AS chars FROM c JOIN q ON q.doc_id = c.doc_id AND q.pos = c.pos GROUP BY c.doc_id, c.n),
+m AS (SELECT doc_id, max(words) FILTER (WHERE n = 3) AS repeated, map_from_entries(list((n, chars))) AS chars FROM s GROUP BY doc_id),
+f AS (SELECT base.*, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(dup.chars, 0) AS dup_chars, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words, m.chars FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN m USING (doc_id)),
+v AS (SELECT *, n_words < {QUALITY.min_words} OR 100 * n_repeat_words > {QUALITY.repeat_words_percent} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_symbols <= {QUALITY.symbols_per_word} * n_words AND dup_chars <= {QUALITY.line_chars} * word_chars AND {LIMITS} AS kept FROM v"""
+
+SQL = {"op5_urls": URLS, "op6_chat": CHAT, "op10_quality": REPETITION}

@@ -149,7 +149,7 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = RULES, out: str = "q
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict under RULES."""
     docs = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), out="q")
-    return docs.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept", "q.coverage")
+    return docs.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")
 
 
 def filter_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

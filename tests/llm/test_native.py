@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, multiset, oracles, pii, sharding, urls
+from tessera.llm import chat, multiset, oracles, pii, quality, sharding, urls
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,10 @@ def test_urls_and_chats_as_in_sql(spark, sf_dir, con):
     same(chat.op6_chat(spark, sf_dir), con.sql(oracles.CHAT))
 
 
+def test_quality_as_in_sql(spark, sf_dir, con):
+    same(quality.op10_quality(spark, sf_dir), con.sql(oracles.REPETITION))
+
+
 def test_sharding_as_in_sql(spark, sf_dir, con):
     same(sharding.op2_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "grown_shard"), con.sql(oracles.SHARDING))
 
