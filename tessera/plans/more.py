@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import geometry, nowcast, permits, scoring, stations, sweep, temporal
 from tessera.plans.registry import query, shared
-from tessera.plans.scores import AGE, HAVERSINE, LATEST, NEAR, NOW, PAIR, SCORES, observations, scores
+from tessera.plans.scores import AGE, HAVERSINE, LATEST, NEAR, PAIR, SCORES, now, observations, scores
 from tessera.sources.adapters import load
 
 # rectangles around hotspots, of a size that follows from the id
@@ -97,7 +97,7 @@ def confidence_v2(spark, sf_dir):
     state = F.when(F.col("failed") == 0, 1.0).when(F.col("saved") > 0, 0.5).otherwise(0.0)
     h = last.select((F.col("saved") / F.col("targets") * state).alias("health"))
     rows = near.crossJoin(F.broadcast(h))
-    one = scoring.confidence_v2(rows, NOW, F.lit(0.0))
+    one = scoring.confidence_v2(rows, now(), F.lit(0.0))
     return one.crossJoin(F.broadcast(h)).select("cafe_id", F.round(F.col("confidence") + 0.15 * F.col("health"), 6).alias("confidence"))
 
 

@@ -10,7 +10,12 @@ from tessera.operators import scoring, spatial, temporal
 from tessera.plans.registry import query, shared
 from tessera.sources.adapters import AS_OF, load
 
-NOW = F.expr(AS_OF)
+
+
+def now():
+    """The moment that the queries look from."""
+    return F.expr(AS_OF)
+
 HAVERSINE = """2 * 6371008.8 * asin(sqrt(least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE),
   pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2)))))"""
 PAIR = HAVERSINE.format(a="c", b="l")
@@ -36,7 +41,7 @@ def observations(spark, sf_dir):
 
 
 def scores(spark, sf_dir):
-    return scoring.score_points(load(spark, sf_dir, "cafes"), observations(spark, sf_dir), NOW)
+    return scoring.score_points(load(spark, sf_dir, "cafes"), observations(spark, sf_dir), now())
 
 
 def shown(df):
@@ -71,17 +76,17 @@ FRESH = f"""CASE WHEN {{c}} IS NULL THEN 'n/a' WHEN {AGE} < -2 THEN 'stale' WHEN
 @query(f"WITH {LATEST} SELECT h.hotspot_id, h.name, l.level, l.observed_at, {FRESH.format(c='l.observed_at')} AS freshness FROM hotspots h LEFT JOIN latest l ON l.hotspot_id = h.hotspot_id")
 def hotspot_status(spark, sf_dir):
     found = observations(spark, sf_dir).select("hotspot_id", "level", "observed_at")
-    return load(spark, sf_dir, "hotspots").select("hotspot_id", "name").join(found, "hotspot_id", "left").withColumn("freshness", freshness(F.col("observed_at"), NOW))
+    return load(spark, sf_dir, "hotspots").select("hotspot_id", "name").join(found, "hotspot_id", "left").withColumn("freshness", freshness(F.col("observed_at"), now()))
 
 
 @query(f"SELECT event_id, {FRESH.format(c='observed_at')} AS freshness FROM snapshots")
 def freshness_class(spark, sf_dir):
-    return load(spark, sf_dir, "snapshots").select("event_id", freshness(F.col("observed_at"), NOW).alias("freshness"))
+    return load(spark, sf_dir, "snapshots").select("event_id", freshness(F.col("observed_at"), now()).alias("freshness"))
 
 
 @query(f"SELECT event_id, CASE WHEN {AGE.format(c='observed_at')} >= -2 THEN CAST(greatest(0, ceil({AGE.format(c='observed_at')})) AS INT) END AS age_min FROM snapshots")
 def observation_age(spark, sf_dir):
-    return load(spark, sf_dir, "snapshots").select("event_id", whole_age(F.col("observed_at"), NOW).alias("age_min"))
+    return load(spark, sf_dir, "snapshots").select("event_id", whole_age(F.col("observed_at"), now()).alias("age_min"))
 
 
 MASKED = f"""masked AS (SELECT s.*, {FRESH.format(c='source_observed_at')} AS freshness FROM scores s)"""
@@ -89,7 +94,7 @@ MASKED_SHOWN = "cafe_id, freshness, CASE WHEN score IS NOT NULL AND freshness IN
 
 
 def masked(df):
-    f = freshness(F.col("source_observed_at"), NOW)
+    f = freshness(F.col("source_observed_at"), now())
     return df.withColumn("freshness", f).select("cafe_id", "freshness", F.when(F.col("freshness").isin("fresh", "delayed"), F.col("level")).alias("level"), F.when(F.col("freshness") == "fresh", F.round("confidence", 6)).alias("confidence"))
 
 
