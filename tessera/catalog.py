@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import flows, matching, more, reports, scores  # noqa: F401  each registers its queries
+from tessera.plans import catalogues, flows, matching, more, reports, scores  # noqa: F401  each registers its queries
 from tessera.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

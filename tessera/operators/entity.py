@@ -65,3 +65,30 @@ def release_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str], to
     both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
     kind = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "deactivate").when(changed > 0, "update").otherwise("unchanged")
     return o.join(n, key, "full_outer").select(key, kind.alias("change"), F.when(both, changed).otherwise(0).alias("n_changed"))
+
+
+def staged_links(spatial: DataFrame, identity: DataFrame) -> DataFrame:
+    """Rows (a_id, b_id, stage): verified pairs of spatial first, then those of identity among ids not used yet."""
+    first = spatial.where("status = 'verified'").select("a_id", "b_id", F.lit("spatial").alias("stage"))
+    rest = identity.where("status = 'verified'").join(first.select("a_id"), "a_id", "left_anti").join(first.select("b_id"), "b_id", "left_anti")
+    return first.union(rest.select("a_id", "b_id", F.lit("identity").alias("stage")))
+
+
+def expansion(candidates: DataFrame, existing: DataFrame, key: str, conflict: list[str], peer: list[str]) -> DataFrame:
+    """Each candidate's status: blocked if an existing row agrees in conflict, else admitted, with peers.
+
+    peers counts other candidates that agree in the peer columns; it is
+    advice and never blocks.
+    """
+    blocked = existing.select(*conflict).distinct().withColumn("_hit", F.lit(True))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*peer)) - 1
+    known = F.reduce(F.array(*[F.col(c).isNotNull() for c in peer]), F.lit(True), lambda a, b: a & b)
+    joined = candidates.withColumn("_peers", F.when(known, n).otherwise(0)).join(blocked, conflict, "left")
+    return joined.select(key, F.when(F.col("_hit"), "blocked").otherwise("admitted").alias("status"), F.col("_peers").alias("peers"))
+
+
+def exact_links(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs (a_id, b_id) that agree in all columns, where neither id has another partner."""
+    pairs = a.select(F.col("place_id").alias("a_id"), *on).join(b.select(F.col("place_id").alias("b_id"), *on), on).select("a_id", "b_id").distinct()
+    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
+    return pairs.withColumn("_a", n("a_id")).withColumn("_b", n("b_id")).where("_a = 1 AND _b = 1").drop("_a", "_b")

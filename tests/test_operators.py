@@ -135,3 +135,25 @@ def test_texts(spark):
 def test_minutes_of_codes(spark):
     df = spark.createDataFrame([(x,) for x in ("00", "0830", "23", "24", "0860", "8")], "c string")
     assert [r[0] for r in df.select(timing.hhmm_minute(F.col("c"))).collect()] == [0, 510, 1380, None, None, None]
+
+
+def test_grid_cells(spark):
+    from tessera.functions import grid
+
+    ids = ["다사60007500", "다사60007501", "다자60007500", "x", None]
+    df = spark.createDataFrame([(c,) for c in ids], "c string")
+    e, n = grid.corner(F.col("c"))
+    got = df.select(e.alias("e"), n.alias("n")).collect()
+    assert (got[0].e, got[0].n) == (960000.0, 1975000.0) and all(r.e is None for r in got[1:])
+    lat, lng = grid.to_lat_lng(F.lit(1_000_000.0), F.lit(2_000_000.0))
+    r = df.limit(1).select(lat.alias("lat"), lng.alias("lng"), grid.ring(F.col("c")).alias("ring"), geo.haversine_m(*(F.get(grid.ring(F.col("c")), F.lit(i))[k] for i in (0, 1) for k in ("lat", "lng"))).alias("side")).first()
+    assert r.lat == pytest.approx(38.0, abs=1e-9) and r.lng == pytest.approx(127.5, abs=1e-9)
+    assert r.side == pytest.approx(250, rel=0.005) and 37.7 < r.ring[0].lat < 37.8 and 127.0 < r.ring[0].lng < 127.1
+
+
+def test_schemas_parse(spark):
+    from tessera import schemas
+
+    for name, ddl in schemas.TABLES.items():
+        empty = spark.createDataFrame([], ddl)
+        assert empty.where(" AND ".join(f"({r})" for r in schemas.RULES.get(name, {"all": "true"}).values())).count() == 0
