@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices
 from tessera.llm.store import table
 
 SHIFT = 20
@@ -294,7 +295,7 @@ def encode(df: DataFrame, model: Model, text: str = "text", out: str = "ids") ->
         m = shared.value
         if not hasattr(m, "encoder"):
             m.start()
-        for texts in batches:
+        for texts in slices(batches):
             coded = [m.encode(t.as_py() or "") for t in texts]
             ends = np.cumsum([0, *map(len, coded)], dtype=np.int64) // 4
             ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
@@ -315,7 +316,7 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         label = shared.value.__getitem__
-        for rows in batches:
+        for rows in slices(batches):
             flat, ends = rows.flatten().to_numpy(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy())
             yield pa.array([" ".join(map(label, part.tolist())) for part in np.split(flat, ends[:-1])] if len(rows) else [], pa.string())
 

@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices
 from tessera.llm.bpe import Known, byte_letters
 from tessera.llm.ranks import number_rows
 from tessera.llm.store import cut, table
 
 CAPACITY, END_ID = 1024, 2
 #: Words, and pieces between spaces, whose ids a worker keeps, twice at most; bounds its memory.
-KEPT_WORDS, KEPT_PIECES = 250_000, 200_000
+KEPT_WORDS, KEPT_PIECES = 200_000, 120_000
 #: Nodes visited by the search for one filling, and fillings placed by the whole search.
 FILL_NODES, SEARCH_NODES, BRANCHES = 3000, 6000, 3
 #: Fixed value: how byte-level models of this kind split a text into words.
@@ -112,7 +113,7 @@ def pieces(df: DataFrame, model: ByteModel, text: str = "text", capacity: int =
         m = shared.value
         if not hasattr(m, "coder"):
             m.start()
-        for texts in batches:
+        for texts in slices(batches):
             rows, at, start, size, ids = [0], [], [], [], []
             for t in texts:
                 coded = m.encode(t.as_py() or "") + tail

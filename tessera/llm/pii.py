@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices
 from tessera.llm.store import table
 
 ROUNDS = 8
@@ -257,7 +258,7 @@ def replace(df: DataFrame, key: bytes, text: str = "text", out: str = "pii") ->
     @F.arrow_udf("struct<text:string,found:array<struct<start:int,length:int,kind:string>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         place = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string())])
-        for texts in batches:
+        for texts in slices(batches):
             new, found = [], []
             for t in texts:
                 t = t.as_py()

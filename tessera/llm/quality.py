@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices
 from tessera.llm.store import table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +127,7 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = RULES, out: str = "q
 
     @F.arrow_udf("struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ",coverage:array<double>,base_failed:boolean,kept:boolean>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             rows, shares, failed, kept = [], [], [], []
             for t in texts:
                 row, spans = measure(t.as_py(), lengths)

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices
 from tessera.llm.components import connect
 from tessera.llm.store import cut, drop, table
 
@@ -57,7 +58,7 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint",
 
     @F.arrow_udf("bigint")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pa.array(np.array([fingerprint(t.as_py(), words, seed) for t in texts], np.uint64).view(np.int64))
 
     return df.withColumn(out, run(F.col(text)))
