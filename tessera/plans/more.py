@@ -135,6 +135,28 @@ def nowcast_backtest(spark, sf_dir):
     return m.groupBy("method").agg(F.count(F.lit(1)).alias("n"), share("est_pop").alias("wape"), share("pop").alias("persistence_wape"))
 
 
+@query(f"""WITH {AHEAD}, m AS (SELECT f.event_id, a.event_id AS actual_id, row_number() OVER (PARTITION BY f.event_id ORDER BY abs(epoch_us(a.observed_at) - epoch_us(f.observed_at) - f.ahead * CAST(60000000 AS BIGINT)), a.observed_at) AS rn
+  FROM f JOIN snapshots a ON a.hotspot_id = f.hotspot_id AND abs(epoch_us(a.observed_at) - epoch_us(f.observed_at) - f.ahead * CAST(60000000 AS BIGINT)) <= 600000000) SELECT event_id, actual_id FROM m WHERE rn = 1""")
+def nowcast_actual(spark, sf_dir):
+    """The observation nearest to each target, within ten minutes."""
+    asked = nowcasts(spark, sf_dir).select("hotspot_id", F.col("event_id").alias("_id"), "target")
+    actual = load(spark, sf_dir, "snapshots").select("hotspot_id", F.col("observed_at").alias("seen_at"), F.col("event_id").alias("actual_id"))
+    m = temporal.nearest_in_time(asked, actual, "hotspot_id", "target", "seen_at", 10.0)
+    return m.select(F.col("_id").alias("event_id"), "actual_id")
+
+
+@query("SELECT event_id, lag(level) OVER w AS before_level, lead(level) OVER w AS after_level, (epoch_us(lead(observed_at) OVER w) - epoch_us(lag(observed_at) OVER w)) / 6e7 <= 90 AS bracketed FROM snapshots WINDOW w AS (PARTITION BY hotspot_id ORDER BY observed_at, event_id)")
+def interp_bracket(spark, sf_dir):
+    """The anchors around each observation, and whether they are near enough to interpolate."""
+    from pyspark.sql import Window
+
+    from tessera.functions.timing import minutes_between
+
+    w = Window.partitionBy("hotspot_id").orderBy("observed_at", "event_id")
+    gap = minutes_between(F.lead("observed_at").over(w), F.lag("observed_at").over(w))
+    return load(spark, sf_dir, "snapshots").select("event_id", F.lag("level").over(w).alias("before_level"), F.lead("level").over(w).alias("after_level"), (gap <= 90).alias("bracketed"))
+
+
 @query("""WITH j AS (SELECT o_custkey AS k, count(*) AS records, CASE WHEN count(DISTINCT coalesce(o_orderpriority, chr(0))) > 1 THEN 'o_orderpriority' END AS a, CASE WHEN count(DISTINCT coalesce(o_orderstatus, chr(0))) > 1 THEN 'o_orderstatus' END AS b FROM orders GROUP BY o_custkey) SELECT k, records, concat_ws(',', a, b) AS conflicts FROM j""")
 def permit_conflicts(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k"), "o_orderpriority", "o_orderstatus", F.lit("02-123").alias("phone"))
