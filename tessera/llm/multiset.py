@@ -29,16 +29,6 @@ CUT = r"\n|(?<=[.!?]) "
 IN_BLOCK, ROW_BITS = 128, 12
 
 
-def vector(unit: Column) -> list[Column]:
-    """The lanes of one sentence: 1, STRONG numbers, then the counters."""
-    lanes = [F.lit(1).cast("long")]
-    lanes += [F.xxhash64(unit, F.lit(i)).bitwiseAND(MASK) for i in range(STRONG)]
-    for i in range(HASHES):
-        h = F.xxhash64(F.lit(i), unit)
-        lanes += [F.shiftright(h, j).bitwiseAND(THREE) for j in range(GAP)]
-    return lanes
-
-
 def fingerprint(text: Column) -> Column:
     """The array<long> of LANES lanes; a null text is empty, and an empty one has one empty sentence."""
     units = F.split(F.coalesce(text, F.lit("")), CUT)
@@ -46,6 +36,7 @@ def fingerprint(text: Column) -> Column:
     zero = F.array(*[F.lit(0).cast("long")] * LANES)
 
     def add(acc: Column, h: Column) -> Column:
+        # the vector of one sentence: 1, STRONG numbers, then the counters
         lanes = [F.lit(1).cast("long"), *(h[f"s{i}"].bitwiseAND(MASK) for i in range(STRONG))]
         lanes += [F.shiftright(h[f"h{i}"], j).bitwiseAND(THREE) for i in range(HASHES) for j in range(GAP)]
         return F.array(*((F.get(acc, F.lit(i)) + x).bitwiseAND(MASK) for i, x in enumerate(lanes)))
