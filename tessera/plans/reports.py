@@ -83,7 +83,7 @@ shared("win_rate", """WITH m AS (SELECT abs(ppltn_min - 5000) AS a, abs(ppltn_ma
 shared("missing_hotspots", f"SELECT h.hotspot_id FROM hotspots h LEFT JOIN (SELECT DISTINCT hotspot_id FROM snapshots WHERE observed_at > {AS_OF} - INTERVAL 6 HOUR) s ON s.hotspot_id = h.hotspot_id WHERE h.is_polled AND s.hotspot_id IS NULL")
 
 
-@query("SELECT cycle_id, started_at, round((epoch_us(started_at) - epoch_us(lag(started_at) OVER (ORDER BY started_at))) / 6e7, 6) AS gap_min FROM cycles")
+@query("SELECT cycle_id, started_at, round((epoch_us(started_at) - epoch_us(lag(started_at) OVER (ORDER BY started_at))) / 6e7, 9) AS gap_min FROM cycles")
 def cadence_gaps(spark, sf_dir):
     """Minutes since the cycle before; cycles number a few for each hour, so one task can order them."""
     from pyspark.sql import Window
@@ -91,10 +91,10 @@ def cadence_gaps(spark, sf_dir):
     from tessera.functions.timing import minutes_between
 
     before = F.lag("started_at").over(Window.orderBy("started_at"))
-    return load(spark, sf_dir, "cycles").select("cycle_id", "started_at", F.round(minutes_between(F.col("started_at"), before), 6).alias("gap_min"))
+    return load(spark, sf_dir, "cycles").select("cycle_id", "started_at", F.round(minutes_between(F.col("started_at"), before), 9).alias("gap_min"))
 
 
-@query("""WITH c AS (SELECT *, (epoch_us(completed_at) - epoch_us(started_at)) / 6e7 AS m FROM cycles) SELECT count(*) AS cycles, CAST(sum(CASE WHEN failed = 0 THEN 1 ELSE 0 END) AS BIGINT) AS complete, round(sum(saved) / CAST(sum(targets) AS DOUBLE), 9) AS success, round(quantile_cont(m, 0.5), 6) AS p50_min, round(quantile_cont(m, 0.95), 6) AS p95_min, round(max(m), 6) AS max_min FROM c""")
+@query("""WITH c AS (SELECT *, (epoch_us(completed_at) - epoch_us(started_at)) / 6e7 AS m FROM cycles) SELECT count(*) AS cycles, CAST(sum(CASE WHEN failed = 0 THEN 1 ELSE 0 END) AS BIGINT) AS complete, round(sum(saved) / CAST(sum(targets) AS DOUBLE), 9) AS success, round(quantile_cont(m, 0.5), 9) AS p50_min, round(quantile_cont(m, 0.95), 9) AS p95_min, round(max(m), 9) AS max_min FROM c""")
 def slo_report(spark, sf_dir):
     from tessera.functions.timing import minutes_between
 
@@ -103,9 +103,9 @@ def slo_report(spark, sf_dir):
         F.count(F.lit(1)).alias("cycles"),
         F.count_if(F.col("failed") == 0).alias("complete"),
         F.round(F.sum("saved") / F.sum("targets"), 9).alias("success"),
-        F.round(F.percentile("m", F.lit(0.5)), 6).alias("p50_min"),
-        F.round(F.percentile("m", F.lit(0.95)), 6).alias("p95_min"),
-        F.round(F.max("m"), 6).alias("max_min"),
+        F.round(F.percentile("m", F.lit(0.5)), 9).alias("p50_min"),
+        F.round(F.percentile("m", F.lit(0.95)), 9).alias("p95_min"),
+        F.round(F.max("m"), 9).alias("max_min"),
     )
 
 
