@@ -29,7 +29,7 @@ from tessera.llm.store import cut, table
 
 CAPACITY, END_ID = 1024, 2
 #: Words, and pieces between spaces, whose ids a worker keeps, twice at most; bounds its memory.
-KEPT_WORDS, KEPT_PIECES = 200_000, 120_000
+KEPT_WORDS, KEPT_PIECES = 150_000, 60_000
 #: Nodes visited by the search for one filling, and fillings placed by the whole search.
 FILL_NODES, SEARCH_NODES, BRANCHES = 3000, 6000, 3
 #: Fixed value: how byte-level models of this kind split a text into words.
@@ -63,11 +63,17 @@ class ByteModel:
         import tiktoken
 
         self.coder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens=self.specials)
+        self.ranks = {}  # the coder has its own
         self.other = re.compile(r"[^\S\n ]").search
         self.ordinary = self.coder._core_bpe.encode_ordinary
         self.words = Known(self.plain, KEPT_WORDS)
         self.pieces = Known(self.piece, KEPT_PIECES)
 
+    def rest(self) -> None:
+        """Gives up what can be made again, as the worker may serve other stages next."""
+        self.pieces.clear()
+        self.pieces.before, self.words.before = {}, {}
+
     def plain(self, text: str) -> bytes:
         special = any(t in text for t in self.specials)
         return array("I", self.coder.encode(text, allowed_special="all") if special else self.ordinary(text)).tobytes()
@@ -129,6 +135,7 @@ def pieces(df: DataFrame, model: ByteModel, text: str = "text", capacity: int =
                 rows.append(len(at))
             parts = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], names=["piece", "start", "length", "ids"])
             yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), parts)
+        m.rest()
 
     return df.withColumn(out, run(F.col(text)))
 
