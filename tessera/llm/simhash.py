@@ -222,12 +222,3 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     docs = cluster(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component, that with the smallest doc_id.
-
-    Rows that repeat its doc_id are the same document and stay with it.
-    """
-    keep = cluster(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(cut(keep), "doc_id", "left_semi").select(*docs.columns)
