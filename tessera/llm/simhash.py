@@ -64,6 +64,11 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint",
     return df.withColumn(out, run(F.col(text)))
 
 
+def differing(x: np.ndarray) -> np.ndarray:
+    """The number of set bits; numpy counts those of the absolute value of signed numbers."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def forest(prints: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """Links that connect what is connected by pairs within distance.
 
@@ -76,7 +81,7 @@ def forest(prints: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
         root, rest = rest[0], rest[1:]
         stack = [root]
         while stack and len(rest):
-            near = np.bitwise_count(rest ^ stack.pop()) <= distance
+            near = differing(rest ^ stack.pop()) <= distance
             hit = rest[near]
             if len(hit):
                 rest = rest[~near]
@@ -94,7 +99,7 @@ def links_of_runs(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[
     small = np.repeat(sizes <= SMALL, sizes)
     for gap in range(1, min(SMALL, int(sizes.max(initial=0)))):
         x, y = prints[:-gap], prints[gap:]
-        hit = small[:-gap] & (keys[:-gap] == keys[gap:]) & (np.bitwise_count(x ^ y) <= distance) & (x != y)
+        hit = small[:-gap] & (keys[:-gap] == keys[gap:]) & (differing(x ^ y) <= distance) & (x != y)
         a.append(x[hit])
         b.append(y[hit])
     for at, size in zip(edge[sizes > SMALL], sizes[sizes > SMALL]):

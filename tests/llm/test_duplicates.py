@@ -148,3 +148,18 @@ def test_line_edges(spark, edge):
     assert found(lines.find(edge.limit(0))) == {}
     twice = spark.createDataFrame([(1, "a b c d e"), (2, "a  b c d e\nnew words are in here")], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in lines.remove(twice, lines.find(twice)).collect()} == {1: "a b c d e", 2: "new words are in here"}
+
+
+def test_bit_63_counts_once():
+    """Differences in bit 63 and others, in runs of up to SMALL and of more."""
+    apart = [(63,), (63, 0), (63, 40), (63, 62), (63, 30, 2), (63, 62, 61), (5, 9, 11), (63, 30, 2, 1), (63, 62, 61, 60), tuple(range(40, 64))]
+    for fill in (0, simhash.SMALL):
+        for spots in apart:
+            base = 0x123456789ABCDEF
+            other = base ^ sum(1 << b for b in spots)
+            # far from both and from each other
+            rest = [base ^ (0xFFF << 12 * i % 48) ^ (0x3FF << 48) ^ (i << 58) for i in range(1, fill + 1)]
+            numbers = np.array(sorted([base, other, *rest]), np.uint64).view(np.int64)
+            a, b = simhash.links_of_runs(np.zeros(len(numbers), np.int64), numbers, 3)
+            pair = tuple(sorted(int(x) for x in np.array([base, other], np.uint64).view(np.int64)))
+            assert (pair in set(zip(a.tolist(), b.tolist()))) == (len(spots) <= 3)
