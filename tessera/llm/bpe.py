@@ -266,7 +266,7 @@ class Model:
     def encode(self, text: str) -> bytes:
         """Ids of a text, as 32-bit numbers."""
         # four characters are white space to Python but not to the pattern
-        pieces = regex.split(r"\s+", text) if self.odd(text) else text.split()
+        pieces = regex.findall(r"\S+", text) if self.odd(text) else text.split()
         self.words.trim()
         self.pieces.trim()
         return b"".join(map(self.pieces.__getitem__, pieces))

@@ -229,3 +229,9 @@ def test_sharding_edges(spark, edge):
         sharding.assign(edge, "doc_id", 0)
     with pytest.raises(ValueError):
         sharding.assign(edge, "doc_id", [1.0, 0.0])
+
+
+def test_control_characters_beside_white_space(model):
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ["\x1c hi\n", " \x1d", "\t\x1e\x1f \n", "\n a\x1cb ", "\x1c"]:
+        assert np.frombuffer(model.encode(text), np.int32).tolist() == lib.encode(text, add_special_tokens=False).ids
