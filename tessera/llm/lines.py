@@ -31,10 +31,14 @@ MASK = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class Bounds:
-    """min_words: shorter lines always stay. near_words: lines of so many or more that are one word apart count as equal."""
+    """min_words: shorter lines always stay. near_words: lines of so many or more that are one word apart count as equal.
 
-    min_words: int = 4
-    near_words: int = 10
+    Every line with a word takes part in the exact step. One word of five is
+    the most that near lines differ in.
+    """
+
+    min_words: int = 1
+    near_words: int = 5
 
 
 BOUNDS = Bounds()

@@ -163,3 +163,10 @@ def test_bit_63_counts_once():
             a, b = simhash.links_of_runs(np.zeros(len(numbers), np.int64), numbers, 3)
             pair = tuple(sorted(int(x) for x in np.array([base, other], np.uint64).view(np.int64)))
             assert (pair in set(zip(a.tolist(), b.tolist()))) == (len(spots) <= 3)
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    texts = ["All rights reserved.\none two three", "x\nAll  rights reserved.", "同じ長い文が空白なしで続く\nshe sells red shells here", "同じ長い文が空白なしで続く\nshe sells blue shells here", " \n\nx", "a b c d", "a b c e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.line_no, r.kind, r.keeper_doc_id, r.keeper_line_no) for r in lines.find(df).collect())
+    assert got == [(1, 1, "exact", 0, 0), (3, 0, "exact", 2, 0), (3, 1, "near", 2, 1), (4, 2, "exact", 1, 0)]
