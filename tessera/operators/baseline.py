@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Collection
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,26 @@ from tessera.functions.timing import iso_weekday
 from tessera.params import Anomaly, Baseline
 
 
-def temporal_baseline(history: DataFrame, cutoff: str, weekday: int, p: Baseline = Baseline()) -> DataFrame:
+def holiday_types(holidays: Collection[date]) -> dict[date, str]:
+    """Days that a calendar of holidays makes special: long_holiday in a block of three days off or more that holds one, public_holiday otherwise."""
+    held, out, one = set(holidays), {}, timedelta(days=1)
+    off = lambda d: d in held or d.isoweekday() >= 6
+    for day in held:
+        first = last = day
+        while off(first - one):
+            first -= one
+        while off(last + one):
+            last += one
+        n = (last - first).days + 1
+        out |= {first + i * one: "long_holiday" for i in range(n)} if n >= 3 else {day: "public_holiday"}
+    return out
+
+
+def nominal_type(weekday: Column) -> Column:
+    return F.when(weekday == 6, "saturday").when(weekday == 7, "sunday").otherwise("working_day")
+
+
+def temporal_baseline(history: DataFrame, cutoff: str, weekday: int, p: Baseline = Baseline(), holidays: Collection[date] | None = None, target: date | None = None) -> DataFrame:
     """For each (cell_id, hour) of history (observed_date, value, masked), the expected value on an ISO weekday.
 
     Days in the window before cutoff weigh two to the minus age by half-life;
@@ -19,15 +40,39 @@ def temporal_baseline(history: DataFrame, cutoff: str, weekday: int, p: Baseline
     coarse are the weekday, its type (weekday or weekend) and all days. The
     first with min_n days is shrunk toward the next coarser one by its
     effective number; without one the coarsest stands. One pass sums all
-    three.
+    of them.
+
+    With holidays, substitute ones included, the target day counts (cutoff by
+    default) and day types are working_day, saturday, sunday, public_holiday
+    and long_holiday: the exact bucket is of weekday and type. A target of the
+    last two takes the holiday window and half-life, and before all days the
+    bucket of its weekday with the type it would have without holidays; an
+    empty bucket is passed over as a parent.
     """
+    window, half_life, special = p.window_days, p.half_life_days, False
+    if holidays is not None:
+        target = target or date.fromisoformat(cutoff)
+        if target.isoweekday() != weekday:
+            raise ValueError("the target isn't on that weekday")
+        types = holiday_types(holidays)
+        if special := target in types:
+            window, half_life = p.holiday_window_days, p.holiday_half_life_days
     day = F.lit(cutoff).cast("date")
     age = F.date_diff(day, F.col("observed_date"))
-    rows = history.where((age > 0) & (age <= p.window_days))
+    rows = history.where((age > 0) & (age <= window))
     x = F.log1p(F.when(F.col("masked"), F.lit(p.mask_value)).otherwise(F.col("value")))
-    w = F.exp(-math.log(2.0) * age / p.half_life_days)
+    w = F.exp(-math.log(2.0) * age / half_life)
     wd = iso_weekday(F.col("observed_date"))
     member = {"exact": wd == weekday, "type": (wd >= 6) == F.lit(weekday >= 6), "hour": F.lit(True)}
+    if holidays is not None:
+        kind = nominal_type(wd)
+        for name in sorted(set(types.values())):
+            kind = F.when(F.col("observed_date").isin([d for d in sorted(types) if types[d] == name]), name).otherwise(kind)
+        of = F.lit(types[target]) if special else nominal_type(F.lit(weekday))
+        member = {"exact": (wd == weekday) & (kind == of), "type": kind == of}
+        if special:
+            member["nominal"] = (wd == weekday) & (kind == nominal_type(F.lit(weekday)))
+        member["hour"] = F.lit(True)
     rows = rows.select("cell_id", "hour", x.alias("x"), w.alias("w"), *[m.alias(f"is_{k}") for k, m in member.items()])
     sums = []
     for k in member:
@@ -43,18 +88,27 @@ def temporal_baseline(history: DataFrame, cutoff: str, weekday: int, p: Baseline
         gap = F.col(f"mean_{k}") - F.col(f"mean_{parent}")
         return mean, a * F.col(f"var_{k}") + (1.0 - a) * F.col(f"var_{parent}") + a * (1.0 - a) * gap * gap
 
-    exact, kind = F.col("n_exact") >= p.min_n, F.col("n_type") >= p.min_n
-    pick = lambda a, b_, c: F.when(exact, a).when(kind, b_).otherwise(c)
-    e, t = shrunk("exact", "type"), shrunk("type", "hour")
-    mean, var = pick(e[0], t[0], F.col("mean_hour")), pick(e[1], t[1], F.col("var_hour"))
+    def pick(of: dict[str, Column]) -> Column:
+        out = of["hour"]
+        for k in reversed([k for k in member if k != "hour"]):
+            out = F.when(F.col(f"n_{k}") >= p.min_n, of[k]).otherwise(out)
+        return out
+
+    means, variances = {"hour": F.col("mean_hour")}, {"hour": F.col("var_hour")}
+    means["exact"], variances["exact"] = shrunk("exact", "type")
+    means["type"], variances["type"] = shrunk("type", "hour")
+    if special:
+        means["nominal"], variances["nominal"] = shrunk("nominal", "hour")
+        near, some = shrunk("type", "nominal"), F.col("n_nominal") > 0
+        means["type"], variances["type"] = F.when(some, near[0]).otherwise(means["type"]), F.when(some, near[1]).otherwise(variances["type"])
     return b.select(
         "cell_id",
         "hour",
-        pick(F.lit("exact"), F.lit("type"), F.lit("hour")).alias("bucket"),
-        pick(F.col("n_exact"), F.col("n_type"), F.col("n_hour")).alias("raw_n"),
-        pick(F.col("neff_exact"), F.col("neff_type"), F.col("neff_hour")).alias("effective_n"),
-        F.expm1(mean).alias("expected"),
-        F.sqrt(var).alias("dispersion"),
+        pick({k: F.lit(k) for k in member}).alias("bucket"),
+        pick({k: F.col(f"n_{k}") for k in member}).alias("raw_n"),
+        pick({k: F.col(f"neff_{k}") for k in member}).alias("effective_n"),
+        F.expm1(pick(means)).alias("expected"),
+        F.sqrt(pick(variances)).alias("dispersion"),
     )
 
 

@@ -29,6 +29,8 @@ class Freshness:
 class Baseline:
     window_days: int = 84
     half_life_days: float = 28.0
+    holiday_window_days: int = 1095
+    holiday_half_life_days: float = 365.0
     min_n: int = 3
     prior_n: float = 4.0
     mask_value: float = 2.0

@@ -157,3 +157,22 @@ def test_schemas_parse(spark):
     for name, ddl in schemas.TABLES.items():
         empty = spark.createDataFrame([], ddl)
         assert empty.where(" AND ".join(f"({r})" for r in schemas.RULES.get(name, {"all": "true"}).values())).count() == 0
+
+
+def test_baseline_with_holidays(spark):
+    target, other = date(2024, 3, 1), date(2024, 2, 9)  # Fridays before a weekend, so in long blocks
+    held = [target, other, date(2023, 3, 1), date(2024, 1, 10)]
+    assert baseline.holiday_types(held) == {**{date(2024, 3, d): "long_holiday" for d in (1, 2, 3)}, **{date(2024, 2, d): "long_holiday" for d in (9, 10, 11)}, date(2023, 3, 1): "public_holiday", date(2024, 1, 10): "public_holiday"}
+    fridays = [(1, 8, target - timedelta(days=7 * k), 100.0 if k != 3 else 10.0, False) for k in range(1, 9)]
+    weekend = [(1, 8, date(2024, 2, 10), 10.0, False), (1, 8, date(2024, 2, 11), 10.0, False)]
+    rows = fridays + weekend + [(2, 8, date(2022, 3, 4), 50.0, False), (3, 8, target - timedelta(days=1100), 5.0, False)]
+    rows += [(4, 8, target - timedelta(days=7 * k), 30.0, False) for k in (1, 2, 4)] + [(4, 8, date(2024, 2, 28), 7.0, False)]
+    df = spark.createDataFrame(rows, "cell_id int, hour int, observed_date date, value double, masked boolean")
+    got = {r.cell_id: r for r in baseline.temporal_baseline(df, "2024-03-01", 5, holidays=held).collect()}
+    assert (got[1].bucket, got[1].raw_n) == ("type", 3) and 10 < got[1].expected < 100
+    a = got[1].effective_n / (got[1].effective_n + 4)
+    assert math.log1p(got[1].expected) == pytest.approx(a * math.log1p(10) + (1 - a) * math.log1p(100))
+    assert (got[2].bucket, got[2].raw_n, got[2].expected) == ("hour", 1, pytest.approx(50)) and 3 not in got
+    assert (got[4].bucket, got[4].raw_n) == ("nominal", 3)
+    plain = {r.cell_id: r for r in baseline.temporal_baseline(df, "2024-03-08", 5, holidays=held).collect()}
+    assert (plain[1].bucket, plain[1].raw_n) == ("exact", 7)  # the holiday isn't a working Friday
