@@ -17,6 +17,8 @@ TURN, END = "<|turn|>", "<|end|>\n"
 # Control strings of this and other public templates, after their first character.
 CONTROL = r"(\|[a-z]+\|>|/?s>|/?INST\]|/?SYS>>)"
 PART = "struct<type:string,text:string,ref:string,n_tokens:bigint>"
+#: Types of parts that have a placeholder of their own, and the placeholder of any other type.
+KINDS, OTHER = ("image", "audio", "document"), "attachment"
 EXTRA = (-1, "</s>[INST] ok [/INST]")
 
 
@@ -35,18 +37,21 @@ def one_line(role: Column) -> Column:
 
 
 def two_lines(role: Column) -> Column:
-    mark = F.lit("\x00")
-    return F.replace(F.replace(F.replace(role, F.lit("\\\\"), mark), F.lit("\\n"), F.lit("\n")), mark, F.lit("\\"))
+    """Between two backslashes that stand for one, each other backslash begins a line feed."""
+    return F.array_join(F.transform(F.split(role, r"\\\\"), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def flatten(parts: Column) -> tuple[Column, Column]:
     """The visitor: the text of parts with placeholders, and the parts behind the placeholders.
 
-    A part of type text, or without a type, is text. Null text is empty, a
-    null list has no parts.
+    A part of type text, or without a type, is text; letter case is ignored.
+    KINDS have placeholders of their own and any other type shows as OTHER, so
+    that no type can spell a control string. Null text is empty, a null list
+    has no parts.
     """
-    is_text = lambda p: F.coalesce(p.type, F.lit("text")) == "text"
-    shown = lambda p: F.when(is_text(p), escape(F.coalesce(p.text, F.lit("")))).otherwise(F.concat(F.lit("<|"), F.regexp_replace(F.lower(p.type), "[^a-z]", ""), F.lit("|>")))
+    is_text = lambda p: F.lower(F.coalesce(p.type, F.lit("text"))) == "text"
+    mark = lambda p: F.when(F.lower(p.type).isin(*KINDS), F.lower(p.type)).otherwise(OTHER)
+    shown = lambda p: F.when(is_text(p), escape(F.coalesce(p.text, F.lit("")))).otherwise(F.concat(F.lit("<|"), mark(p), F.lit("|>")))
     parts = F.coalesce(parts, F.from_json(F.lit("[]"), f"array<{PART}>"))
     return F.array_join(F.transform(parts, shown), ""), F.filter(parts, lambda p: ~is_text(p))
 
@@ -57,9 +62,10 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     loss_spans are (start, length) in code points of formatted, over the
     bodies of roles in learn; attachments are (turn, type, ref, n_tokens) in
     the order of their placeholders, and n_expanded sums n_tokens, null as 0.
-    Messages go by turn, equal turns by role and body; a null turn comes first, a null role is empty, and
-    rows with a null conv are one conversation. A conversation becomes one
-    value, so it has to fit into one row.
+    Messages go by turn, equal turns by role and body; a null turn comes
+    first, a null role is empty, and rows with a null conv are one
+    conversation. A conversation becomes one value, so it has to fit into one
+    row: 2 GB of UTF-8 is the engine's limit, and a task's memory the nearer.
     """
     body, attached = flatten(F.col(parts))
     name = F.coalesce(F.col(role), F.lit(""))
