@@ -2,10 +2,13 @@
 
 A value is found by its form and, where its kind has a check, validated. Its
 digits or letters are then permuted by a balanced Feistel network keyed by a
-secret: the permutation maps the values of a format one to one onto
-themselves, so equal values get equal pseudonyms in every document and
-different ones stay different. A result that would fail the kind's check is
-permuted again until one passes, which keeps the map one to one.
+secret: in each round every character of one half is shifted within its own
+class by a stream hashed from the whole other half, so values of any length
+are mixed throughout, in time that grows with the length. Days and addresses
+are permuted as numbers. The permutation maps the values of a format one to
+one onto themselves, so equal values get equal pseudonyms in every document
+and different ones stay different. A result that would fail the kind's check
+is permuted again until one passes, which keeps the map one to one.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import slices
+from tessera.llm.names import set_aside
 from tessera.llm.store import table
 
 ROUNDS = 8
@@ -30,7 +34,7 @@ KINDS = ["email", "secret", "iban", "card", "ssn", "phone", "ip", "date"]
 
 # Forms of the kinds, in the order in which they are tried.
 FORMS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",  # after a name of NAME
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -39,6 +43,7 @@ FORMS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?<![0-9][ .-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?|\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])(?![ .-][0-9]{3,4}(?![0-9]))",
 }
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 PATTERNS = {kind: re.compile(form) for kind, form in FORMS.items()}
 #: Without one of these a text holds none of the kinds.
 SOME = re.compile(r"[@0-9]")
@@ -56,12 +61,12 @@ def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
     side = 1
     while side * side < size:
         side *= 2
-    salt = f"{tweak}:{size}:".encode()
-    width = (side.bit_length() + 7) // 8 + 8
+    salt = b"%d:%b:%b:%d:" % (len(key), key, tweak.encode(), size)
+    width = (side.bit_length() + 7) // 8 + 8  # eight bytes more than a half, so that the remainder is even
     while True:
         left, right = divmod(value, side)
         for i in range(ROUNDS):
-            mixed = hashlib.blake2b(salt + b"%d:%d" % (i, right), key=key, digest_size=min(64, width)).digest()
+            mixed = hashlib.shake_256(salt + b"%d:%d" % (i, right)).digest(width)
             left, right = right, (left + int.from_bytes(mixed, "big")) % side
         value = left * side + right
         if value < size:
@@ -94,27 +99,34 @@ def refill(form: str, letters: str, wanted: Callable[[str], bool]) -> str:
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def permute(text: str, key: bytes, tweak: str) -> str:
-    """text with each digit, small and capital letter replaced by one of its own class."""
-    value, size, bases = 0, 1, []
-    for c in text:
-        base = DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else ""
-        bases.append(base)
-        if base:
-            value, size = value * len(base) + base.index(c), size * len(base)
-    value = feistel(value, size, key, tweak)
-    out = []
-    for c, base in zip(reversed(text), reversed(bases)):
-        if base:
-            value, at = divmod(value, len(base))
-            c = base[at]
-        out.append(c)
-    return "".join(reversed(out))
+def classes(text: str) -> list[str]:
+    """For each character the letters or digits that may stand for it; none for signs."""
+    return [DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else "" for c in text]
+
+
+def permute(text: str, key: bytes, tweak: str, alphabet: str = "") -> str:
+    """text with each digit, small and capital letter replaced by one of its own class, or each character by one of alphabet."""
+    bases = [alphabet] * len(text) if alphabet else classes(text)
+    at = [i for i, base in enumerate(bases) if base]
+    sizes = [len(bases[i]) for i in at]
+    values = [bases[i].index(text[i]) for i in at]
+    half = len(at) // 2
+    salt = b"%d:%b:%b:" % (len(key), key, f"{tweak}:{sizes}".encode())
+    for i in range(ROUNDS):
+        # even rounds change the second half by the first
+        mine, other = (slice(half, None), slice(0, half)) if i % 2 == 0 else (slice(0, half), slice(half, None))
+        n = len(values[mine])
+        stream = hashlib.shake_256(salt + b"%d:" % i + bytes(values[other])).digest(8 * n)
+        values[mine] = [(v + int.from_bytes(stream[8 * k : 8 * k + 8], "big")) % size for k, (v, size) in enumerate(zip(values[mine], sizes[mine]))]
+    out = list(text)
+    for i, v in zip(at, values):
+        out[i] = bases[i][v]
+    return "".join(out)
 
 
 def hexes(text: str, key: bytes, tweak: str) -> str:
-    n = feistel(int(text, 16), 16 ** len(text), key, tweak)
-    return f"{n:0{len(text)}x}" if text == text.lower() else f"{n:0{len(text)}X}"
+    low = permute(text.lower(), key, tweak, DIGITS + "abcdef")
+    return low if text == text.lower() else low.upper()
 
 
 def digits_of(text: str) -> str:
@@ -218,21 +230,40 @@ def phone(v: str, key: bytes) -> str | None:
 CHANGE = {"email": email, "secret": secret, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": day}
 
 
+def places(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Where a kind's form occurs; a name before an @ is sought backwards, as a long text may have none."""
+    for m in PATTERNS[kind].finditer(text):
+        a, b = m.span()
+        if kind == "email":
+            while a and text[a - 1] in NAME:
+                a -= 1
+            if a == m.start():
+                continue
+        yield a, b
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Places (start, end, kind) of valid values, none overlapping; earlier kinds of FORMS win."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # sorted
     if not SOME.search(text) and not LONG_HEX.search(text):
         return found
-    for kind, pattern in PATTERNS.items():
+    for kind in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(a < e and s < b for s, e, _ in found):
+        before = iter(found)
+        last = next(before, None)  # the first of those before that ends after what has been seen
+        new, end = [], 0
+        for a, b in places(kind, text):
+            a = max(a, end)  # a name may reach back into the value before
+            while last and last[1] <= a:
+                last = next(before, None)
+            if last and last[0] < b:
                 continue
-            if CHANGE[kind](m[0], b"x") is not None:
-                found.append((a, b, kind))
-    return sorted(found)
+            if CHANGE[kind](text[a:b], b"x") is not None:
+                new.append((a, b, kind))
+                end = b
+        found = sorted(found + new)
+    return found
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
@@ -252,7 +283,8 @@ def replace(df: DataFrame, key: bytes, text: str = "text", out: str = "pii") ->
     Places count code points of the text, whose length stays but for IP
     addresses and their octets; they refer to the text before. Numbers that
     fail their kind's check and days outside 1900 to 2099 stay as they are.
-    A null text stays null and has no places.
+    A null text stays null and has no places. Other columns stay; one named
+    out is replaced.
     """
 
     @F.arrow_udf("struct<text:string,found:array<struct<start:int,length:int,kind:string>>>")
@@ -267,8 +299,9 @@ def replace(df: DataFrame, key: bytes, text: str = "text", out: str = "pii") ->
                 found.append([{"start": a, "length": b - a, "kind": k} for a, b, k in at])
             yield pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(found, pa.list_(place))], names=["text", "found"])
 
-    done = df.withColumn("_pii", run(F.col(text)))
-    return done.withColumn(text, F.col("_pii.text")).withColumn(out, F.col("_pii.found")).drop("_pii")
+    safe, back = set_aside(df, "_pii")
+    done = safe.withColumn("_pii", run(F.col(text)))
+    return back(done.withColumn(text, F.col("_pii.text")).withColumn(out, F.col("_pii.found")).drop("_pii"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +312,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, with pseudonyms; n_chars follows the text."""
-    done = replace(docs, KEY, out="_found")
-    length = F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", length).select(*docs.columns)
+    """Pipeline stage: all documents, with pseudonyms; a column n_chars follows the text."""
+    safe, back = set_aside(docs, "_found")
+    done = replace(safe, KEY, out="_found")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return back(done.drop("_found")).select(*docs.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import slices
+from tessera.llm.names import set_aside
 from tessera.llm.store import table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -155,4 +156,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep."""
-    return judge(docs, out="_quality").where("_quality.kept").drop("_quality")
+    safe, back = set_aside(docs, "_quality")
+    return back(judge(safe, out="_quality").where("_quality.kept").drop("_quality"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.names import set_aside
 from tessera.llm.ranks import number_rows
 from tessera.llm.store import table
 
@@ -46,7 +47,10 @@ def assign(df: DataFrame, key: str, weights: int | Sequence[float], name: str =
     any other; rows with equal keys share a shard. Of equal scores the lower
     shard wins.
     """
-    return df.withColumn("_k", F.struct(*key_bits(F.col(key)))).withColumn(name, best(F.col("_k.col1"), F.col("_k.col2"), weights)).drop("_k")
+    if key.lower() == "_k":
+        raise ValueError("name the key otherwise")
+    df, back = set_aside(df, "_k")
+    return back(df.withColumn("_k", F.struct(*key_bits(F.col(key)))).withColumn(name, best(F.col("_k.col1"), F.col("_k.col2"), weights)).drop("_k"))
 
 
 def best(h1: Column, h2: Column, weights: int | Sequence[float]) -> Column:
