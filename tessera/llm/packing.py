@@ -23,13 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import slices
-from tessera.llm.bpe import Known, byte_letters
+from tessera.llm.bpe import byte_letters
 from tessera.llm.ranks import number_rows
 from tessera.llm.store import cut, table
 
 CAPACITY, END_ID = 1024, 2
-#: Words, and pieces between spaces, whose ids a worker keeps, twice at most; bounds its memory.
-KEPT_WORDS, KEPT_PIECES = 150_000, 60_000
+#: Texts of so many characters are searched for white space of LONG // 10 and more.
+LONG = 100_000
+SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG // 10},}}")
 #: Nodes visited by the search for one filling, and fillings placed by the whole search.
 FILL_NODES, SEARCH_NODES, BRANCHES = 3000, 6000, 3
 #: Fixed value: how byte-level models of this kind split a text into words.
@@ -42,8 +43,7 @@ class ByteModel:
     """A byte-level BPE file of the tokenizers library.
 
     Ids that follow the order of merges are what tiktoken needs, which is
-    much faster. A text is cut at spaces between other characters, where no
-    token can cross, and the ids of the pieces are remembered.
+    much faster and encodes a text at once, without memory between texts.
     """
 
     def __init__(self, source: str):
@@ -62,36 +62,24 @@ class ByteModel:
         """Prepares what a worker needs besides the tables."""
         import tiktoken
 
-        self.coder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens=self.specials)
+        self.coder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens=self.specials)._core_bpe
         self.ranks = {}  # the coder has its own
-        self.other = re.compile(r"[^\S\n ]").search
-        self.ordinary = self.coder._core_bpe.encode_ordinary
-        self.words = Known(self.plain, KEPT_WORDS)
-        self.pieces = Known(self.piece, KEPT_PIECES)
-
-    def rest(self) -> None:
-        """Gives up what can be made again, as the worker may serve other stages next."""
-        self.pieces.clear()
-        self.pieces.before, self.words.before = {}, {}
+        self.allowed = set(self.specials)
 
     def plain(self, text: str) -> bytes:
-        special = any(t in text for t in self.specials)
-        return array("I", self.coder.encode(text, allowed_special="all") if special else self.ordinary(text)).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a piece after a space; most are letters and at most one sign, which stands alone."""
-        if piece and piece[-1] in ",.;:!?" and piece[:-1].isalpha():
-            return self.words[" " + piece[:-1]] + self.words[piece[-1]]
-        return self.words[" " + piece]
+        return bytes(self.coder.encode_to_tiktoken_buffer(text, self.allowed))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
-        if "  " in text or " \n" in text or "\n " in text or self.other(text):
-            return self.plain(text)  # a space next to white space may belong to a longer token
-        self.words.trim()
-        self.pieces.trim()
-        first, *rest = text.split(" ")
-        return self.plain(first) + b"".join(map(self.pieces.__getitem__, rest))
+        if len(text) < LONG:
+            return self.plain(text)
+        # the pattern can't look ahead over very long white space: it is a word of its own but for its last character
+        out, at = [], 0
+        for m in SPACES.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += [self.plain(text[at : m.start()]), array("I", self.coder.encode_single_piece(text[m.start() : end].encode())).tobytes()]
+            at = end
+        return b"".join([*out, self.plain(text[at:])])
 
 
 def load(path: str | None = None) -> ByteModel:
@@ -135,7 +123,6 @@ def pieces(df: DataFrame, model: ByteModel, text: str = "text", capacity: int =
                 rows.append(len(at))
             parts = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], names=["piece", "start", "length", "ids"])
             yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), parts)
-        m.rest()
 
     return df.withColumn(out, run(F.col(text)))
 
