@@ -2,12 +2,12 @@
 
 Lengths are whole numbers up to the capacity, so the documents enter the
 search as counts by length: a table whose size the capacity bounds, however
-many documents there are. Around the largest length left, fillings of the
-open space are enumerated from long to short, which meets the undominated
-ones first; a filling is repeated as often as its lengths last. Branches are
-pruned when the sequences so far and the least number for the rest reach the
-incumbent, at first the best-fit solution. Rows then find their places by
-their rank among rows of equal length.
+many documents there are. Around the largest length left, the undominated
+fillings of the open space are enumerated from long to short; a filling is
+repeated as often as its lengths last. An incumbent, at first the best-fit
+solution, allows an improvement only so much waste in all: fillings and
+branches beyond that are pruned. Rows then find their places by their rank
+among rows of equal length.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.batches import slices
 from tessera.llm.bpe import byte_letters
+from tessera.llm.names import set_aside
 from tessera.llm.ranks import number_rows
 from tessera.llm.store import cut, table
 
@@ -31,12 +34,38 @@ CAPACITY, END_ID = 1024, 2
 #: Texts of so many characters are searched for white space of LONG // 10 and more.
 LONG = 100_000
 SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG // 10},}}")
-#: Nodes visited by the search for one filling, and fillings placed by the whole search.
-FILL_NODES, SEARCH_NODES, BRANCHES = 3000, 6000, 3
 #: Fixed value: how byte-level models of this kind split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # times, (length, copies)
+Filling = tuple[tuple[int, int], ...]
+
+
+@dataclass(frozen=True)
+class Search:
+    """How far the search goes on the driver, whatever the size of the data.
+
+    fillings: branches at a node, of the least waste; fill_nodes: steps of one
+    enumeration; nodes: of the whole search. Beyond these the incumbent is
+    the result, and Plan.proven says whether it is known to be best.
+    """
+
+    fillings: int = 4
+    fill_nodes: int = 3000
+    nodes: int = 6000
+
+
+class Plan(NamedTuple):
+    """patterns use up all lengths in that many sequences; best_fit is what the incumbent began with, bound a lower bound."""
+
+    patterns: list[Pattern]
+    sequences: int
+    best_fit: int
+    bound: int
+    proven: bool
+
+
+SEARCH = Search()
 
 
 class ByteModel:
@@ -127,34 +156,76 @@ def pieces(df: DataFrame, model: ByteModel, text: str = "text", capacity: int =
     return df.withColumn(out, run(F.col(text)))
 
 
-def fillings(counts: dict[int, int], space: int, most: int) -> list[tuple[tuple[int, int], ...]]:
-    """Up to most fillings of space, the least waste first.
+def dominates(a: Filling, b: Filling) -> bool:
+    """Whether the items of b fit into distinct items of a, several into one where they can.
 
-    They are enumerated from long to short lengths. One length that fits
-    exactly dominates all others; a filling that wastes no less than most
-    known ones is cut off.
+    Then a solution with b has one as good with a. Fillings whose difference
+    is over six items count as not comparable, which only keeps both.
+    """
+    more, less = dict(a), dict(b)
+    for s in more.keys() & less.keys():
+        n = min(more[s], less[s])
+        more[s] -= n
+        less[s] -= n
+    room = sorted(s for s, n in more.items() for _ in range(n))
+    items = sorted((s for s, n in less.items() for _ in range(min(n, 7))), reverse=True)
+    if sum(items) > sum(room) or len(items) > 6:
+        return False
+
+    def go(i: int) -> bool:
+        if i == len(items):
+            return True
+        for k in range(len(room)):
+            if room[k] >= items[i] and (k == 0 or room[k] != room[k - 1]):
+                room[k] -= items[i]
+                if go(i + 1):
+                    return True
+                room[k] += items[i]
+        return False
+
+    return go(0)
+
+
+def fillings(counts: dict[int, int], space: int, slack: int, search: Search = SEARCH) -> tuple[list[Filling], bool]:
+    """Undominated fillings of space that waste no more than slack, the least waste first; and whether that is all of them.
+
+    They are enumerated from long to short lengths. What is left open after a
+    choice shrinks by no more than all shorter items together, which prunes by
+    the waste; one length that fits exactly dominates all others.
     """
     if counts.get(space):
-        return [((space, 1),)]
+        return [((space, 1),)], True
     lengths = sorted((s for s, c in counts.items() if c and s <= space), reverse=True)
-    least = lengths[-1] if lengths else 0
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    nodes = 0
+    below = [0]  # of all items from a place on, as far as it matters
+    for s in reversed(lengths):
+        below.append(min(below[-1] + s * counts[s], space + 1))
+    below.reverse()
+    found: list[tuple[int, Filling]] = []
+    nodes, whole = 0, True
+
+    def keep(left: int, chosen: Filling) -> None:
+        nonlocal whole
+        if left > slack or any(dominates(f, chosen) for _, f in found):
+            return
+        found[:] = [(w, f) for w, f in found if not dominates(chosen, f)]
+        found.append((left, chosen))
+        found.sort(key=lambda f: f[0])
+        if len(found) > search.fillings:
+            whole = False
+            found.pop()
 
     def go(at: int, left: int, chosen: list[tuple[int, int]]) -> None:
-        nonlocal nodes
+        nonlocal nodes, whole
         nodes += 1
-        if left < least or at == len(lengths):
-            found.append((left, tuple(chosen)))
-            found.sort(key=lambda f: f[0])
-            del found[most:]
-            return
         full = True
         while at < len(lengths):
             s = lengths[at]
             if s <= left:
+                if left - below[at] > slack:
+                    return  # even all that is shorter leaves too much open
                 for copies in range(min(counts[s], left // s), 0, -1):
-                    if nodes > FILL_NODES and found or len(found) == most and not found[-1][0]:
+                    if nodes > search.fill_nodes and found or len(found) == search.fillings and not found[-1][0]:
+                        whole = False
                         return
                     chosen.append((s, copies))
                     go(at + 1, left - s * copies, chosen)
@@ -162,12 +233,10 @@ def fillings(counts: dict[int, int], space: int, most: int) -> list[tuple[tuple[
                 full = False
             at += 1
         if full:
-            found.append((left, tuple(chosen)))
-            found.sort(key=lambda f: f[0])
-            del found[most:]
+            keep(left, tuple(chosen))
 
     go(0, space, [])
-    return [f for _, f in found] or [()]
+    return [f for _, f in found], whole
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -192,23 +261,49 @@ def place(counts: dict[int, int], filling: tuple[tuple[int, int], ...]) -> Patte
     return times, filling
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: items over half the capacity can't share, and what they leave open takes only items that fit there."""
+    size = [0] * (capacity + 1)
+    for s, c in counts.items():
+        size[s] = c
+    number, total = [0], [0]  # of items shorter than each length
+    for s, c in enumerate(size):
+        number.append(number[-1] + c)
+        total.append(total[-1] + s * c)
+    best = -(-total[-1] // capacity)
+    half = capacity // 2
+    for k in range(half + 1):
+        alone = number[-1] - number[capacity - k + 1]
+        shared, held = number[capacity - k + 1] - number[half + 1], total[capacity - k + 1] - total[half + 1]
+        small = total[half + 1] - total[k]
+        best = max(best, alone + shared + max(0, -(-(small - (shared * capacity - held)) // capacity)))
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, search: Search = SEARCH) -> Plan:
     """Patterns that use up the counts by length in as few sequences as the search finds.
 
     Each pattern exhausts a length, so there are at most as many as lengths.
+    The result is proven if it meets the lower bound, or if the search ended
+    by itself, with every filling placed once at a time.
     """
     if any(not 1 <= s <= capacity for s in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     best = best_fit(counts, capacity)
-    fewest = sum(t for t, _ in best)
-    bound = -(-sum(s * c for s, c in counts.items()) // capacity)
-    nodes = 0
-    # a branch: what is left, patterns so far, sequences so far; the last is tried first
-    open_: list[tuple[dict[int, int], list[Pattern], int]] = [(dict(counts), [], 0)]
-    while open_ and fewest > bound and nodes < SEARCH_NODES:
-        left, done, used = open_.pop()
+    first = fewest = sum(t for t, _ in best)
+    total = sum(s * c for s, c in counts.items())
+    bound = least_sequences(counts, capacity)
+    nodes, whole = 0, True
+    # a branch: what is left, patterns so far, sequences so far, their waste; the last is tried first
+    open_: list[tuple[dict[int, int], list[Pattern], int, int]] = [(dict(counts), [], 0, 0)]
+    while open_ and fewest > bound:
+        if nodes >= search.nodes:
+            whole = False
+            break
+        left, done, used, waste = open_.pop()
         nodes += 1
-        if used + -(-sum(s * c for s, c in left.items()) // capacity) >= fewest:
+        slack = (fewest - 1) * capacity - total - waste  # what an improvement may still waste
+        if slack < 0:
             continue
         if not left:
             best, fewest = done, used
@@ -216,29 +311,46 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
         largest = max(left)
         rest = dict(left)
         rest[largest] -= 1
+        found, all_of_them = fillings(rest, capacity - largest, slack, search)
+        whole &= all_of_them
         branches = []
-        for f in fillings(rest, capacity - largest, BRANCHES):
-            whole = dict(f)
-            whole[largest] = whole.get(largest, 0) + 1
+        for f in found:
+            filled = dict(f)
+            filled[largest] = filled.get(largest, 0) + 1
             after = dict(left)
-            made = place(after, tuple(sorted(whole.items(), reverse=True)))
-            branches.append((after, [*done, made], used + made[0]))
+            made = place(after, tuple(sorted(filled.items(), reverse=True)))
+            whole &= made[0] == 1
+            lost = made[0] * (capacity - sum(s * n for s, n in made[1]))
+            branches.append((after, [*done, made], used + made[0], waste + lost))
         open_ += reversed(branches)
-    return best
+    return Plan(best, fewest, first, bound, fewest == bound or whole)
+
+
+def counts_of(df: DataFrame, length: str, capacity: int = CAPACITY) -> dict[int, int]:
+    """The number of rows by length, of which there are at most capacity; a length that is null or out of range is an error."""
+    ok = F.col(length).between(1, capacity)
+    wrong = df.where(~F.coalesce(ok, F.lit(False))).select(length).first()
+    if wrong is not None:
+        raise ValueError(f"lengths must be from 1 to {capacity}, not {wrong[0]}")
+    return {r[0]: r[1] for r in df.where(ok).groupBy(length).count().collect()}
 
 
-def pack(df: DataFrame, length: str, keys: list[str], order: list[Column], capacity: int = CAPACITY) -> DataFrame:
+def pack(df: DataFrame, length: str, keys: list[str], order: list[Column], capacity: int = CAPACITY, search: Search = SEARCH) -> DataFrame:
     """Adds the long columns sequence_id and offset: each row's place.
 
     length must lie from 1 to capacity in every row. keys tell rows apart and
     spread equal lengths over tasks. Rows equal in keys and order are
-    interchangeable. df is read three times, so it should be a table.
+    interchangeable. df is read four times, so it should be a table. Columns
+    sequence_id and offset of df are replaced.
     """
     spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.groupBy(length).count().collect()}  # at most capacity rows
+    own = {"_rank", "_s", "_from", "_to", "_n", "_seq", "_off"}
+    if own & {c.lower() for c in [length, *keys]}:
+        raise ValueError("name the length and the keys otherwise")
+    df, back = set_aside(df.select(*(c for c in df.columns if c.lower() not in ("sequence_id", "offset"))), *own)
     rows, seq = [], 0
     taken: dict[int, int] = {}
-    for times, filling in plan(counts, capacity):
+    for times, filling in plan(counts_of(df, length, capacity), capacity, search).patterns:
         offset = 0
         for s, n in filling:
             at = taken.get(s, 0)
@@ -251,7 +363,7 @@ def pack(df: DataFrame, length: str, keys: list[str], order: list[Column], capac
     ranked = number_rows(df, [length], keys, order, "_rank")
     found = ranked.join(F.broadcast(slots), (F.col(length) == F.col("_s")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
-    return (
+    return back(
         found.withColumn("sequence_id", F.col("_seq") + F.floor(nth / F.col("_n")).cast("long"))
         .withColumn("offset", F.col("_off") + F.pmod(nth, F.col("_n")) * F.col("_s"))
         .select(*df.columns, "sequence_id", "offset")

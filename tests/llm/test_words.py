@@ -144,21 +144,48 @@ def test_plan_is_best_on_small_cases():
         return best[0]
 
     rnd = random.Random(5)
-    for _ in range(60):
+    for n in range(120):
         items = sorted((rnd.randint(1, 20) for _ in range(rnd.randint(1, 9))), reverse=True)
-        patterns = packing.plan(dict(Counter(items)), 20)
+        made = packing.plan(dict(Counter(items)), 20)
         taken = Counter()
-        for times, filling in patterns:
+        for times, filling in made.patterns:
             assert sum(s * n for s, n in filling) <= 20
             for s, n in filling:
                 taken[s] += times * n
         assert taken == Counter(items)
-        assert sum(t for t, _ in patterns) == fewest(items, 20)
-    assert packing.plan({}, 20) == []
+        want = fewest(items, 20)
+        assert sum(t for t, _ in made.patterns) == made.sequences == want
+        assert made.bound <= want <= made.best_fit
+        if packing.plan(dict(Counter(items)), 20, packing.Search(1, 1, 1)).proven:
+            assert packing.plan(dict(Counter(items)), 20, packing.Search(1, 1, 1)).sequences == want
+    assert packing.plan({}, 20) == ([], 0, 0, 0, True)
     with pytest.raises(ValueError):
         packing.plan({21: 1}, 20)
 
 
+def test_search_beats_best_fit():
+    made = packing.plan({6: 1, 5: 2, 4: 2, 3: 2}, 15)
+    assert (made.sequences, made.proven) == (2, True)
+    # the longest that fits leaves 7 + 2, 6 + 3 and 5 + 4 apart
+    made = packing.plan({8: 1, 6: 1, 5: 1, 4: 2, 3: 1}, 15)
+    assert made.sequences == made.bound == 2
+
+
+def test_dominated_fillings_are_left_out():
+    assert packing.dominates(((7, 1),), ((4, 1), (3, 1))) and not packing.dominates(((4, 1), (3, 1)), ((7, 1),))
+    assert packing.dominates(((5, 1), (2, 1)), ((3, 1), (2, 2))) and not packing.dominates(((4, 2),), ((5, 1), (2, 1)))
+    found, whole = packing.fillings({6: 1, 5: 1, 4: 1, 2: 1}, 7, 7)
+    assert found == [((5, 1), (2, 1)), ((6, 1),)] and whole
+    assert packing.fillings({6: 1, 4: 1}, 7, 0) == ([], True)
+
+
+def test_lengths_are_checked(spark):
+    for bad in (None, 0, 1025):
+        df = spark.createDataFrame([(1, bad), (2, 5)], "k bigint, length bigint")
+        with pytest.raises(ValueError):
+            packing.pack(df, "length", ["k"], [])
+
+
 def test_packing_edges(spark, edge):
     rows = packing.pack_documents(edge).collect()
     check_packed(rows, 1024)
@@ -235,3 +262,11 @@ def test_control_characters_beside_white_space(model):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for text in ["\x1c hi\n", " \x1d", "\t\x1e\x1f \n", "\n a\x1cb ", "\x1c"]:
         assert np.frombuffer(model.encode(text), np.int32).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts():
+    m = packing.load()
+    m.start()
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in [" " * 1_500_000, "a" + " " * 120_000 + "bc \n" + "\n" * 20_000 + "d", "\t" * 60_000 + "x" * 60_000, " " * 200_000 + "<|endoftext|> a"]:
+        assert np.frombuffer(m.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
