@@ -104,11 +104,14 @@ def plain_lines(docs, bounds):
         else:
             first[w] = (d, n)
     order = sorted(first.items(), key=lambda x: x[1])
-    for i, (w, at) in enumerate(order):
+    stay = []
+    for w, at in order:
         if len(w) >= bounds.near_words:
-            hit = next((b for v, b in order[:i] if len(v) >= bounds.near_words and abs(len(v) - len(w)) <= 1 and word_distance_one(v, w)), None)
+            hit = next((b for v, b in stay if abs(len(v) - len(w)) <= 1 and word_distance_one(v, w)), None)
             if hit:
                 out[at] = ("near", *hit)
+            else:
+                stay.append((w, at))
     return out
 
 
@@ -139,6 +142,30 @@ def test_lines_with_edits(spark):
     assert {k for k, *_ in got.values()} == {"exact", "near"}
 
 
+def test_lines_of_any_length_within_one_edit(spark, monkeypatch):
+    """Without the switch by length, and with each variant as a frequent one."""
+    rnd = random.Random(8)
+    docs = [(d, "\n".join(" ".join(rnd.choices("abcd" if rnd.random() < 0.5 else "abcdefghij", k=rnd.randint(1, 12))) for _ in range(rnd.randint(0, 5)))) for d in range(80)]
+    docs += [(d, f"the number {d} is in the middle of it") for d in range(100, 140)] + [(99, "the number is in the middle of it")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bounds = lines.Bounds(near_words=1)
+    want = plain_lines(docs, bounds)
+    assert found(lines.find(df, bounds)) == want
+    monkeypatch.setattr(lines, "PART", 1)
+    monkeypatch.setattr(lines, "SHARE", 1 << 40)
+    real = lines.frequent_variants
+    hot = []
+    monkeypatch.setattr(lines, "frequent_variants", lambda held: hot.extend(real(held, 2)) or hot)
+    assert found(lines.find(df, bounds)) == want and len(hot) > 5
+
+
+def test_chains_end_at_lines_that_stay(spark):
+    """Each line is one word from the one before: every other one stays."""
+    chain = [[f"{'new' if i < n else 'old'}{i}" for i in range(6)] for n in range(6)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(chain)], "doc_id bigint, text string")
+    assert found(lines.find(df)) == {(1, 0): ("near", 0, 0), (3, 0): ("near", 2, 0), (5, 0): ("near", 4, 0)}
+
+
 def test_line_edges(spark, edge):
     out = lines.remove(edge, lines.find(edge))
     rows = out.collect()
