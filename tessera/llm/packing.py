@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -45,14 +46,21 @@ Filling = tuple[tuple[int, int], ...]
 class Search:
     """How far the search goes on the driver, whatever the size of the data.
 
-    fillings: branches at a node, of the least waste; fill_nodes: steps of one
-    enumeration; nodes: of the whole search. Beyond these the incumbent is
-    the result, and Plan.proven says whether it is known to be best.
+    fillings: branches at a node, of the least waste; fill_steps: steps of one
+    enumeration; nodes and steps: of the whole search; held: branches that
+    wait, beyond which only the one of the least waste is followed. dives: steps of one
+    enumeration in the dives that come first, which take the filling of the
+    least waste each time and improve the incumbent. Beyond these limits the
+    incumbent is the result, and Plan.proven says whether it is known to be
+    best.
     """
 
     fillings: int = 4
-    fill_nodes: int = 3000
+    fill_steps: int = 3000
     nodes: int = 6000
+    steps: int = 300_000
+    held: int = 1000
+    dives: tuple[int, ...] = (100, 300, 1000)
 
 
 class Plan(NamedTuple):
@@ -186,22 +194,22 @@ def dominates(a: Filling, b: Filling) -> bool:
     return go(0)
 
 
-def fillings(counts: dict[int, int], space: int, slack: int, search: Search = SEARCH) -> tuple[list[Filling], bool]:
-    """Undominated fillings of space that waste no more than slack, the least waste first; and whether that is all of them.
+def fillings(counts: dict[int, int], space: int, slack: int, most: int = SEARCH.fillings, steps: int = SEARCH.fill_steps) -> tuple[list[Filling], bool, int]:
+    """Undominated fillings of space that waste no more than slack, the least waste first; whether that is all of them, and the steps taken.
 
     They are enumerated from long to short lengths. What is left open after a
     choice shrinks by no more than all shorter items together, which prunes by
     the waste; one length that fits exactly dominates all others.
     """
     if counts.get(space):
-        return [((space, 1),)], True
+        return [((space, 1),)], True, 1
     lengths = sorted((s for s, c in counts.items() if c and s <= space), reverse=True)
     below = [0]  # of all items from a place on, as far as it matters
     for s in reversed(lengths):
         below.append(min(below[-1] + s * counts[s], space + 1))
     below.reverse()
     found: list[tuple[int, Filling]] = []
-    nodes, whole = 0, True
+    taken, whole = 0, True
 
     def keep(left: int, chosen: Filling) -> None:
         nonlocal whole
@@ -210,13 +218,13 @@ def fillings(counts: dict[int, int], space: int, slack: int, search: Search = SE
         found[:] = [(w, f) for w, f in found if not dominates(chosen, f)]
         found.append((left, chosen))
         found.sort(key=lambda f: f[0])
-        if len(found) > search.fillings:
+        if len(found) > most:
             whole = False
             found.pop()
 
     def go(at: int, left: int, chosen: list[tuple[int, int]]) -> None:
-        nonlocal nodes, whole
-        nodes += 1
+        nonlocal taken, whole
+        taken += 1
         full = True
         while at < len(lengths):
             s = lengths[at]
@@ -224,7 +232,7 @@ def fillings(counts: dict[int, int], space: int, slack: int, search: Search = SE
                 if left - below[at] > slack:
                     return  # even all that is shorter leaves too much open
                 for copies in range(min(counts[s], left // s), 0, -1):
-                    if nodes > search.fill_nodes and found or len(found) == search.fillings and not found[-1][0]:
+                    if taken > steps and found or len(found) == most and not found[-1][0]:
                         whole = False
                         return
                     chosen.append((s, copies))
@@ -236,7 +244,7 @@ def fillings(counts: dict[int, int], space: int, slack: int, search: Search = SE
             keep(left, tuple(chosen))
 
     go(0, space, [])
-    return [f for _, f in found], whole
+    return [f for _, f in found], whole, taken
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -293,36 +301,47 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, search: Search = SEAR
     first = fewest = sum(t for t, _ in best)
     total = sum(s * c for s, c in counts.items())
     bound = least_sequences(counts, capacity)
-    nodes, whole = 0, True
-    # a branch: what is left, patterns so far, sequences so far, their waste; the last is tried first
-    open_: list[tuple[dict[int, int], list[Pattern], int, int]] = [(dict(counts), [], 0, 0)]
-    while open_ and fewest > bound:
-        if nodes >= search.nodes:
-            whole = False
-            break
-        left, done, used, waste = open_.pop()
-        nodes += 1
-        slack = (fewest - 1) * capacity - total - waste  # what an improvement may still waste
-        if slack < 0:
-            continue
-        if not left:
-            best, fewest = done, used
-            continue
-        largest = max(left)
-        rest = dict(left)
-        rest[largest] -= 1
-        found, all_of_them = fillings(rest, capacity - largest, slack, search)
-        whole &= all_of_them
-        branches = []
-        for f in found:
-            filled = dict(f)
-            filled[largest] = filled.get(largest, 0) + 1
-            after = dict(left)
-            made = place(after, tuple(sorted(filled.items(), reverse=True)))
-            whole &= made[0] == 1
-            lost = made[0] * (capacity - sum(s * n for s, n in made[1]))
-            branches.append((after, [*done, made], used + made[0], waste + lost))
-        open_ += reversed(branches)
+
+    def explore(branches: int, fill_steps: int, nodes: int, steps: int) -> bool:
+        """Goes on until an incumbent meets the bound; whether all was seen."""
+        nonlocal best, fewest
+        whole = True
+        # a branch: what is left, patterns so far, sequences so far, their waste; one dive after another, the next from the oldest branch
+        open_: deque[tuple[dict[int, int], list[Pattern], int, int]] = deque([(dict(counts), [], 0, 0)])
+        deeper = False
+        while open_ and fewest > bound:
+            if nodes <= 0 or steps <= 0:
+                return False
+            left, done, used, waste = open_.pop() if deeper else open_.popleft()
+            nodes -= 1
+            slack = (fewest - 1) * capacity - total - waste  # what an improvement may still waste
+            deeper = bool(left) and slack >= 0
+            if slack >= 0 and not left:
+                best, fewest = done, used
+            if not deeper:
+                continue
+            largest = max(left)
+            rest = dict(left)
+            rest[largest] -= 1
+            found, all_of_them, taken = fillings(rest, capacity - largest, slack, branches, fill_steps)
+            steps -= taken
+            whole &= all_of_them
+            deeper = bool(found)
+            if len(open_) > search.held and len(found) > 1:
+                found, whole = found[:1], False
+            for f in reversed(found):
+                filled = dict(f)
+                filled[largest] = filled.get(largest, 0) + 1
+                after = dict(left)
+                made = place(after, tuple(sorted(filled.items(), reverse=True)))
+                whole &= made[0] == 1
+                lost = made[0] * (capacity - sum(s * n for s, n in made[1]))
+                open_.append((after, [*done, made], used + made[0], waste + lost))
+        return whole
+
+    for fill_steps in search.dives:
+        explore(1, fill_steps, search.nodes, search.steps)
+    whole = explore(search.fillings, search.fill_steps, search.nodes, search.steps)
     return Plan(best, fewest, first, bound, fewest == bound or whole)
 
 
