@@ -365,7 +365,7 @@ def remove(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
         return pa.array(out, pa.string())
 
     keyed = df.withColumn("_key", F.xxhash64("doc_id", "text")).hint("merge").join(gone, "_key", "left")
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
     dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     exact = F.coalesce("_exact", F.lit(0)).cast("long")
     counts = F.struct(n.alias("n_lines"), exact.alias("n_exact"), (dropped - exact).alias("n_near"), (n - dropped).alias("n_kept"))
