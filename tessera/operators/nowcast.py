@@ -1,45 +1,122 @@
-"""Estimates of a later moment from an observation and its forecast."""
+"""Estimates of a later moment from an observation and its forecast, and their test against what came."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.timing import half_up_level
+from tessera.functions.timing import half_up_level, minutes_between
+from tessera.operators.temporal import nearest_in_time
+from tessera.params import NowcastGates
+
+MINUTE = 60_000_000
+
+
+def micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
 
 
 def estimate(df: DataFrame, observed: str, target: str, pop: str, level: str, forecast: str, horizon_min: int = 720, gap_min: int = 90, nearest_min: int = 20) -> DataFrame:
     """Adds method, est_pop and est_level for target, from forecast, an array of (at, pop, level).
 
-    exact: a forecast for target itself. interpolated: between the last
-    anchor before and the first after, the observation among them, if they
-    lie gap_min apart or less. nearest: the closest anchor within
-    nearest_min, the earlier of two. Else none, as for targets before the
-    observation or beyond the horizon. Times that a forecast names twice
-    with different values are left out.
+    Only forecasts after the observation and within the horizon count; a
+    target before the observation or beyond the horizon, or without any such
+    forecast, has the method none. A time that the forecast names twice with
+    different values makes it invalid_forecast. exact: a forecast for target
+    itself. interpolated: between the anchors around it, the observation
+    among them, if they lie gap_min apart or less. nearest: the closest
+    forecast, not the observation, within nearest_min, the earlier of two.
     """
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    t = micros(F.col(target))
-    minute = 60_000_000
-    own = F.struct(micros(F.col(observed)).alias("t"), F.col(pop).cast("double").alias("pop"), F.col(level).cast("double").alias("level"))
+    t, seen = micros(F.col(target)), micros(F.col(observed))
     given = F.array_distinct(F.transform(F.coalesce(F.col(forecast), F.array()), lambda x: F.struct(micros(x.at).alias("t"), x.pop.cast("double").alias("pop"), x.level.cast("double").alias("level"))))
+    own = F.struct(seen.alias("t"), F.col(pop).cast("double").alias("pop"), F.col(level).cast("double").alias("level"))
     df = df.withColumn("_g", given)
-    df = df.withColumn("_g", F.filter("_g", lambda x: F.size(F.filter("_g", lambda y: y.t == x.t)) == 1))
-    df = df.withColumn("_all", F.array_sort(F.concat(F.array(own), F.filter("_g", lambda x: x.t != micros(F.col(observed))))))
-    exact = F.get(F.filter("_g", lambda x: x.t == t), F.lit(0))
-    before = F.try_element_at(F.filter("_all", lambda x: x.t < t), F.lit(-1))
-    after = F.get(F.filter("_all", lambda x: x.t > t), F.lit(0))
+    conflict = F.size(F.array_distinct(F.transform("_g", lambda x: x.t))) < F.size("_g")
+    df = df.withColumn("_f", F.array_sort(F.filter("_g", lambda x: (x.t > seen) & (x.t - seen <= horizon_min * MINUTE))))
+    df = df.withColumn("_all", F.concat(F.array(own), F.col("_f")))
     gap = lambda x: F.abs(x.t - t)
-    close = F.get(F.array_sort(F.transform(F.filter("_all", lambda x: gap(x) <= nearest_min * minute), lambda x: F.struct(gap(x).alias("g"), x.t.alias("t"), x.pop.alias("pop"), x.level.alias("level")))), F.lit(0))
-    df = df.withColumns({"_e": exact, "_b": before, "_a": after, "_c": close})
-    ahead = t - micros(F.col(observed))
-    share = (t - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
-    between = F.col("_b").isNotNull() & F.col("_a").isNotNull() & (F.col("_a.t") - F.col("_b.t") <= gap_min * minute)
-    valid = (ahead >= 0) & (ahead <= horizon_min * minute)
-    method = F.when(~valid, "none").when(F.col("_e").isNotNull(), "exact").when(between, "interpolated").when(F.col("_c").isNotNull(), "nearest").otherwise("none")
+    close = F.array_min(F.transform(F.filter("_f", lambda x: gap(x) <= nearest_min * MINUTE), lambda x: F.struct(gap(x).alias("g"), x.t.alias("t"), x.pop.alias("pop"), x.level.alias("level"))))
+    df = df.withColumns(
+        {
+            "_e": F.get(F.filter("_f", lambda x: x.t == t), F.lit(0)),
+            "_b": F.try_element_at(F.filter("_all", lambda x: x.t < t), F.lit(-1)),
+            "_a": F.get(F.filter("_all", lambda x: x.t > t), F.lit(0)),
+            "_c": close,
+        }
+    )
+    between = F.col("_b").isNotNull() & F.col("_a").isNotNull() & (F.col("_a.t") - F.col("_b.t") <= gap_min * MINUTE)
+    inside = (t >= seen) & (t - seen <= horizon_min * MINUTE)
+    method = (
+        F.when(~F.coalesce(inside, F.lit(False)), "none")
+        .when(conflict, "invalid_forecast")
+        .when(F.size("_f") == 0, "none")
+        .when(F.col("_e").isNotNull(), "exact")
+        .when(between, "interpolated")
+        .when(F.col("_c").isNotNull(), "nearest")
+        .otherwise("none")
+    )
     df = df.withColumn("method", method)
+    share = (t - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
 
     def value(c: str) -> Column:
         return F.when(F.col("method") == "exact", F.col(f"_e.{c}")).when(F.col("method") == "interpolated", F.col(f"_b.{c}") + (F.col(f"_a.{c}") - F.col(f"_b.{c}")) * share).when(F.col("method") == "nearest", F.col(f"_c.{c}"))
 
-    return df.withColumn("est_pop", value("pop")).withColumn("est_level", half_up_level(value("level"))).drop("_g", "_all", "_e", "_b", "_a", "_c")
+    return df.withColumn("est_pop", value("pop")).withColumn("est_level", half_up_level(value("level"))).drop("_g", "_f", "_all", "_e", "_b", "_a", "_c")
+
+
+def with_actual(estimated: DataFrame, actual: DataFrame, tolerance_min: float = 10.0) -> DataFrame:
+    """Each estimate, with unique _id, observed_at, fetched_at and target, with the actual of its hotspot nearest to target.
+
+    actual has hotspot_id, seen_at and seen_fetched_at and what else is
+    wanted. It has to be observed and fetched after the estimate's own
+    observation; equally near ones go by observation, then by fetch. Estimates
+    without one are left out.
+    """
+    later = (F.col("seen_at") > F.col("observed_at")) & (F.col("seen_fetched_at") > F.col("fetched_at"))
+    return nearest_in_time(estimated, actual, "hotspot_id", "target", "seen_at", tolerance_min, later, ["seen_fetched_at"])
+
+
+def backtest(origins: DataFrame, actual: DataFrame, tolerance_min: float = 10.0, gates: NowcastGates = NowcastGates()) -> DataFrame:
+    """One row: why origins were skipped, how estimates and persistence did, and which gates block.
+
+    origins are estimated rows with _id, hotspot_id, observed_at, fetched_at,
+    target, pop, level, forecast, method, est_pop and est_level; actual has
+    hotspot_id, seen_at, seen_fetched_at, actual_pop and actual_level. A row
+    is skipped for the first reason that holds, in the order of the columns.
+    """
+    reason = F.when(F.coalesce(F.size("forecast"), F.lit(0)) <= 0, "no_forecast").when(F.col("method") == "invalid_forecast", "invalid_forecast").when(F.col("method") == "none", "no_target_estimate")
+    rows = origins.withColumn("_reason", reason)
+    pairs = with_actual(rows.where("_reason IS NULL"), actual, tolerance_min)
+    count = lambda r: F.count_if(F.col("_reason") == r).alias(f"skipped_{r}")
+    asked = rows.agg(F.count(F.lit(1)).alias("origins"), *map(count, ["no_forecast", "invalid_forecast", "no_target_estimate"]))
+    off = lambda c: F.abs(F.col(c) - F.col("actual_pop"))
+    share = lambda ok: F.avg(ok.cast("double"))
+    near = lambda c: F.abs(F.col(c) - F.col("actual_level")) <= 1
+    done = pairs.agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.count_distinct("hotspot_id").alias("hotspots"),
+        F.coalesce((F.max(micros(F.col("target"))) - F.min(micros(F.col("target")))) / (1440.0 * MINUTE), F.lit(0.0)).alias("span_days"),
+        F.avg(minutes_between(F.col("fetched_at"), F.col("observed_at"))).alias("mean_lag_min"),
+        F.try_divide(F.sum(off("est_pop")), F.sum("actual_pop")).alias("wape"),
+        F.try_divide(F.sum(off("pop")), F.sum("actual_pop")).alias("persistence_wape"),
+        F.avg(F.col("est_pop") - F.col("actual_pop")).alias("bias"),
+        share(F.col("est_level") == F.col("actual_level")).alias("exact"),
+        share(F.col("level") == F.col("actual_level")).alias("persistence_exact"),
+        share(near("est_level")).alias("adjacent"),
+        share(near("level")).alias("persistence_adjacent"),
+    )
+    out = asked.crossJoin(done)  # a row each
+    out = out.withColumn("skipped_actual_outside_tolerance", F.col("origins") - F.col("skipped_no_forecast") - F.col("skipped_invalid_forecast") - F.col("skipped_no_target_estimate") - F.col("samples"))
+    good = {
+        "insufficient_samples": F.col("samples") >= gates.min_samples,
+        "insufficient_hotspots": F.col("hotspots") >= gates.min_hotspots,
+        "insufficient_span": F.col("span_days") >= gates.min_span_days,
+        "population_wape_failed": F.col("wape") <= gates.max_wape,
+        "population_regressed": F.col("wape") <= F.col("persistence_wape"),
+        "level_exact_failed": F.col("exact") >= gates.min_exact,
+        "level_exact_regressed": F.col("exact") >= F.col("persistence_exact"),
+        "level_adjacent_failed": F.col("adjacent") >= gates.min_adjacent,
+        "level_adjacent_regressed": F.col("adjacent") >= F.col("persistence_adjacent"),
+    }
+    blockers = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in good.items()]))
+    return out.withColumn("blockers", blockers).withColumn("eligible", F.size("blockers") == 0)

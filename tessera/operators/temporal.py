@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.timing import minutes_between
@@ -29,9 +29,11 @@ def as_of(asked: DataFrame, history: DataFrame, key: str, time: str, observed: s
     return merged.select(key, time, *[F.col(f"_best.{c}").alias(c) for c in best])
 
 
-def nearest_in_time(asked: DataFrame, actual: DataFrame, key: str, target: str, at: str, tolerance_min: float) -> DataFrame:
+def nearest_in_time(asked: DataFrame, actual: DataFrame, key: str, target: str, at: str, tolerance_min: float, allowed: Column | None = None, ties: list[str] | None = None) -> DataFrame:
     """Joins each asked row with the actual of its key nearest to target within the tolerance, the earlier of two.
 
+    allowed says which pairs count; equal times go by the columns ties.
+
     Times are put into buckets as wide as the tolerance and met in the
     bucket itself and its neighbours. asked must have the unique column _id.
     """
@@ -41,5 +43,7 @@ def nearest_in_time(asked: DataFrame, actual: DataFrame, key: str, target: str,
     b = actual.withColumn("_b", bucket(at))
     gap = F.abs(minutes_between(F.col(at), F.col(target)))
     pairs = a.join(b, [key, "_b"]).withColumn("_gap", gap).where(F.col("_gap") <= tolerance_min)
-    order = Window.partitionBy("_id").orderBy("_gap", at)
+    if allowed is not None:
+        pairs = pairs.where(allowed)
+    order = Window.partitionBy("_id").orderBy("_gap", at, *(ties or []))
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_b", "_gap")

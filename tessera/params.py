@@ -57,6 +57,26 @@ class SourceDelay:
     slot_min: int = 2
 
 
+@dataclass(frozen=True)
+class NowcastGates:
+    min_samples: int = 1000
+    min_hotspots: int = 80
+    min_span_days: float = 7.0
+    max_wape: float = 0.20
+    min_exact: float = 0.70
+    min_adjacent: float = 0.95
+
+
+@dataclass(frozen=True)
+class Search:
+    shortest: int = 2
+    longest: int = 80
+    limit: int = 20
+    most: int = 50
+    # Fixed value: west, south, east, north of the region
+    box: tuple[float, float, float, float] = (126.76, 37.41, 127.20, 37.72)
+
+
 @dataclass(frozen=True)
 class Reconcile:
     name_m: float = 50.0

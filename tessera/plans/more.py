@@ -105,10 +105,13 @@ def confidence_v2(spark, sf_dir):
 AHEAD = "f AS (SELECT hotspot_id, event_id, observed_at, level, (ppltn_min + ppltn_max) / CAST(2 AS DOUBLE) AS pop, 15 * (3 + event_id % 7) AS ahead FROM snapshots)"
 
 
-def nowcasts(spark, sf_dir):
-    s = load(spark, sf_dir, "snapshots").select("hotspot_id", "event_id", "observed_at", "level", ((F.col("ppltn_min") + F.col("ppltn_max")) / 2.0).alias("pop"))
+def nowcasts(spark, sf_dir, faults=False):
+    s = load(spark, sf_dir, "snapshots").select("hotspot_id", "event_id", "observed_at", "fetched_at", "level", ((F.col("ppltn_min") + F.col("ppltn_max")) / 2.0).alias("pop"))
     later = lambda m: F.expr(f"observed_at + INTERVAL {m} MINUTE")
     forecast = F.array(*[F.struct(later(60 * k).alias("at"), (F.col("pop") + 100.0 * k).alias("pop"), F.least(F.lit(4), F.col("level") + k).alias("level")) for k in (1, 2)])
+    if faults:
+        again = F.array(F.struct(later(60).alias("at"), F.col("pop").alias("pop"), F.col("level").alias("level")))
+        forecast = F.when(F.col("event_id") % 11 == 0, F.slice(forecast, 1, 0)).when(F.col("event_id") % 13 == 0, F.concat(forecast, again)).otherwise(forecast)
     rows = s.withColumn("forecast", forecast).withColumn("ahead", (15 * (3 + F.col("event_id") % 7)).cast("int")).withColumn("target", F.expr("observed_at + make_dt_interval(0, 0, ahead, 0)"))
     return nowcast.estimate(rows, "observed_at", "target", "pop", "level", "forecast")
 
@@ -123,26 +126,68 @@ def nowcast_estimate(spark, sf_dir):
     return nowcasts(spark, sf_dir).select("event_id", "method", F.round("est_pop", 6).alias("est_pop"), "est_level")
 
 
-@query(f"""WITH {AHEAD}, {EST}, m AS (SELECT e.event_id, e.method, e.est_pop, e.pop, (a.ppltn_min + a.ppltn_max) / CAST(2 AS DOUBLE) AS actual, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(a.observed_at) - epoch_us(e.observed_at) - e.ahead * CAST(60000000 AS BIGINT)), a.observed_at) AS rn
-  FROM e JOIN snapshots a ON a.hotspot_id = e.hotspot_id AND abs(epoch_us(a.observed_at) - epoch_us(e.observed_at) - e.ahead * CAST(60000000 AS BIGINT)) <= 600000000 AND a.observed_at > e.observed_at WHERE e.est_pop IS NOT NULL)
-SELECT method, count(*) AS n, round(sum(abs(est_pop - actual)) / sum(actual), 9) AS wape, round(sum(abs(pop - actual)) / sum(actual), 9) AS persistence_wape FROM m WHERE rn = 1 GROUP BY method""")
+# the actual nearest to each target, within ten minutes, of those observed and fetched later
+ACTUAL = """m AS (
+  SELECT e.*, a.event_id AS actual_id, (a.ppltn_min + a.ppltn_max) / CAST(2 AS DOUBLE) AS actual, a.level AS actual_level,
+    row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(a.observed_at) - epoch_us(e.observed_at) - e.ahead * CAST(60000000 AS BIGINT)), a.observed_at, a.fetched_at, a.event_id) AS rn
+  FROM {of} e JOIN snapshots a ON a.hotspot_id = e.hotspot_id
+    AND abs(epoch_us(a.observed_at) - epoch_us(e.observed_at) - e.ahead * CAST(60000000 AS BIGINT)) <= 600000000
+    AND a.observed_at > e.observed_at AND a.fetched_at > e.observed_at + INTERVAL 30 MINUTE)"""
+
+
+def asked(estimated):
+    return estimated.withColumn("_id", F.col("event_id"))
+
+
+def actuals(spark, sf_dir):
+    s = load(spark, sf_dir, "snapshots")
+    return s.select("hotspot_id", F.col("observed_at").alias("seen_at"), F.col("fetched_at").alias("seen_fetched_at"), F.col("event_id").alias("actual_id"), ((F.col("ppltn_min") + F.col("ppltn_max")) / 2.0).alias("actual_pop"), F.col("level").alias("actual_level"))
+
+
+@query(f"""WITH {AHEAD}, {EST}, {ACTUAL.format(of="e")}
+SELECT method, count(*) AS n, round(sum(abs(est_pop - actual)) / sum(actual), 9) AS wape, round(sum(abs(pop - actual)) / sum(actual), 9) AS persistence_wape
+FROM m WHERE rn = 1 AND est_pop IS NOT NULL GROUP BY method""")
 def nowcast_backtest(spark, sf_dir):
-    """Estimates and persistence against what came within ten minutes of the target."""
-    asked = nowcasts(spark, sf_dir).where("est_pop IS NOT NULL").select("hotspot_id", F.col("event_id").alias("_id"), "target", "observed_at", "est_pop", "pop", "method")
-    actual = load(spark, sf_dir, "snapshots").select("hotspot_id", F.col("observed_at").alias("seen_at"), ((F.col("ppltn_min") + F.col("ppltn_max")) / 2.0).alias("actual"))
-    m = temporal.nearest_in_time(asked, actual, "hotspot_id", "target", "seen_at", 10.0).where("seen_at > observed_at")
-    share = lambda c: F.round(F.sum(F.abs(F.col(c) - F.col("actual"))) / F.sum("actual"), 9)
+    """Estimates and persistence by method against what came within ten minutes of the target."""
+    m = nowcast.with_actual(asked(nowcasts(spark, sf_dir)).where("est_pop IS NOT NULL"), actuals(spark, sf_dir))
+    share = lambda c: F.round(F.sum(F.abs(F.col(c) - F.col("actual_pop"))) / F.sum("actual_pop"), 9)
     return m.groupBy("method").agg(F.count(F.lit(1)).alias("n"), share("est_pop").alias("wape"), share("pop").alias("persistence_wape"))
 
 
-@query(f"""WITH {AHEAD}, m AS (SELECT f.event_id, a.event_id AS actual_id, row_number() OVER (PARTITION BY f.event_id ORDER BY abs(epoch_us(a.observed_at) - epoch_us(f.observed_at) - f.ahead * CAST(60000000 AS BIGINT)), a.observed_at) AS rn
-  FROM f JOIN snapshots a ON a.hotspot_id = f.hotspot_id AND abs(epoch_us(a.observed_at) - epoch_us(f.observed_at) - f.ahead * CAST(60000000 AS BIGINT)) <= 600000000) SELECT event_id, actual_id FROM m WHERE rn = 1""")
+@query(f"WITH {AHEAD}, {ACTUAL.format(of='f')} SELECT event_id, actual_id FROM m WHERE rn = 1")
 def nowcast_actual(spark, sf_dir):
-    """The observation nearest to each target, within ten minutes."""
-    asked = nowcasts(spark, sf_dir).select("hotspot_id", F.col("event_id").alias("_id"), "target")
-    actual = load(spark, sf_dir, "snapshots").select("hotspot_id", F.col("observed_at").alias("seen_at"), F.col("event_id").alias("actual_id"))
-    m = temporal.nearest_in_time(asked, actual, "hotspot_id", "target", "seen_at", 10.0)
-    return m.select(F.col("_id").alias("event_id"), "actual_id")
+    """The observation nearest to each target, within ten minutes, of those observed and fetched later."""
+    rows = asked(nowcasts(spark, sf_dir)).select("_id", "hotspot_id", "target", "observed_at", "fetched_at")
+    return nowcast.with_actual(rows, actuals(spark, sf_dir)).select(F.col("_id").alias("event_id"), "actual_id")
+
+
+@query(f"""WITH {AHEAD}, {EST},
+skipped AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'no_forecast' WHEN event_id % 13 = 0 THEN 'invalid_forecast' WHEN method = 'none' THEN 'no_target_estimate' END AS reason,
+  CASE WHEN lv IS NOT NULL THEN CAST(greatest(1, least(4, floor(lv + 0.5))) AS INT) END AS est_level FROM e),
+kept AS (SELECT * FROM skipped WHERE reason IS NULL),
+{ACTUAL.format(of="kept")},
+one AS (SELECT * FROM m WHERE rn = 1),
+done AS (SELECT count(*) AS samples, count(DISTINCT hotspot_id) AS hotspots,
+    coalesce((max(epoch_us(observed_at) + ahead * CAST(60000000 AS BIGINT)) - min(epoch_us(observed_at) + ahead * CAST(60000000 AS BIGINT))) / CAST(86400000000 AS DOUBLE), 0) AS span_days,
+    sum(abs(est_pop - actual)) / sum(actual) AS wape, sum(abs(pop - actual)) / sum(actual) AS persistence_wape, avg(est_pop - actual) AS bias,
+    avg(CASE WHEN est_level = actual_level THEN 1.0 ELSE 0.0 END) AS exact, avg(CASE WHEN level = actual_level THEN 1.0 ELSE 0.0 END) AS persistence_exact,
+    avg(CASE WHEN abs(est_level - actual_level) <= 1 THEN 1.0 ELSE 0.0 END) AS adjacent, avg(CASE WHEN abs(level - actual_level) <= 1 THEN 1.0 ELSE 0.0 END) AS persistence_adjacent FROM one),
+asked AS (SELECT count(*) AS origins, count(*) FILTER (WHERE reason = 'no_forecast') AS no_forecast, count(*) FILTER (WHERE reason = 'invalid_forecast') AS invalid_forecast,
+    count(*) FILTER (WHERE reason = 'no_target_estimate') AS no_target_estimate FROM skipped)
+SELECT origins, samples, hotspots, round(span_days, 9) AS span_days, no_forecast, invalid_forecast, no_target_estimate, origins - no_forecast - invalid_forecast - no_target_estimate - samples AS actual_outside_tolerance,
+  round(wape, 9) AS wape, round(bias, 6) AS bias, round(exact, 9) AS exact, round(adjacent, 9) AS adjacent,
+  concat_ws(',', CASE WHEN samples < 1000 THEN 'insufficient_samples' END, CASE WHEN hotspots < 80 THEN 'insufficient_hotspots' END, CASE WHEN span_days < 7 THEN 'insufficient_span' END,
+    CASE WHEN coalesce(wape, 9) > 0.2 THEN 'population_wape_failed' END, CASE WHEN coalesce(wape, 9) > coalesce(persistence_wape, 0) THEN 'population_regressed' END,
+    CASE WHEN coalesce(exact, 0) < 0.7 THEN 'level_exact_failed' END, CASE WHEN exact IS NULL OR exact < persistence_exact THEN 'level_exact_regressed' END,
+    CASE WHEN coalesce(adjacent, 0) < 0.95 THEN 'level_adjacent_failed' END, CASE WHEN adjacent IS NULL OR adjacent < persistence_adjacent THEN 'level_adjacent_regressed' END) AS blockers
+FROM asked CROSS JOIN done""")
+def nowcast_gates(spark, sf_dir):
+    """The backtest's whole report, where some origins have no forecast and some one that contradicts itself."""
+    rows = asked(nowcasts(spark, sf_dir, faults=True))
+    r = nowcast.backtest(rows, actuals(spark, sf_dir))
+    skips = [F.col(f"skipped_{c}").alias(c) for c in ("no_forecast", "invalid_forecast", "no_target_estimate", "actual_outside_tolerance")]
+    rounded = [F.round(c, n).alias(c) for c, n in (("span_days", 9), ("wape", 9), ("bias", 6), ("exact", 9), ("adjacent", 9))]
+    return r.select("origins", "samples", "hotspots", *skips, *rounded, F.array_join("blockers", ",").alias("blockers"))
 
 
 @query("SELECT event_id, lag(level) OVER w AS before_level, lead(level) OVER w AS after_level, (epoch_us(lead(observed_at) OVER w) - epoch_us(lag(observed_at) OVER w)) / 6e7 <= 90 AS bracketed FROM snapshots WINDOW w AS (PARTITION BY hotspot_id ORDER BY observed_at, event_id)")
@@ -246,7 +291,6 @@ shared("angle_diff", "SELECT zone_id, round(least(abs(a - b), 360 - abs(a - b)),
 shared("aged_state", "SELECT event_id, CASE WHEN observed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 25 MINUTE THEN 'fresh' WHEN observed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 120 MINUTE THEN 'delayed' ELSE 'stale' END AS now_state, CASE WHEN observed_at >= TIMESTAMP '2024-01-31 01:00:00' - INTERVAL 25 MINUTE THEN 'fresh' WHEN observed_at >= TIMESTAMP '2024-01-31 01:00:00' - INTERVAL 120 MINUTE THEN 'delayed' ELSE 'stale' END AS later_state FROM snapshots")
 shared("is_open", "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority IS NOT NULL AND o_totalprice > 0 AS is_open FROM orders")
 shared("link_precedence", "SELECT c.cafe_id, CASE WHEN b.place_id IS NOT NULL AND b.phone IS NULL THEN NULL WHEN b.place_id IS NOT NULL THEN concat('row:', b.phone) ELSE concat('json:', c.name) END AS link FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000")
-shared("tile_merge", "SELECT DISTINCT cafe_id, name FROM (SELECT cafe_id, name, lat, lng FROM cafes WHERE lng < 127.0 UNION ALL SELECT cafe_id, name, lat, lng FROM cafes WHERE lng > 126.95) t WHERE lat BETWEEN 37.5 AND 37.6")
 shared("changed_fields", "SELECT CAST(sum(CASE WHEN a.norm_name <> b.norm_name THEN 1 ELSE 0 END) AS BIGINT) AS names, CAST(sum(CASE WHEN coalesce(a.phone, '') <> coalesce(b.phone, '') THEN 1 ELSE 0 END) AS BIGINT) AS phones, CAST(sum(CASE WHEN abs(a.lat - b.lat) > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS places FROM catalogue_a a JOIN catalogue_b b ON b.place_id = a.place_id + 1000000")
 shared("catalog_gap_report", "SELECT origin_provider, count(*) AS places, count(b.place_id) AS linked, CAST(ceil((count(*) - count(b.place_id)) / CAST(50 AS DOUBLE)) AS INT) AS batches FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000 WHERE c.active GROUP BY origin_provider")
 shared("od_stability", """WITH t AS (SELECT destination_id AS zone_id, arrival_hour AS hour, sum(CASE WHEN purpose <= 3 THEN flow ELSE 0 END) AS a, sum(CASE WHEN purpose > 3 THEN flow ELSE 0 END) AS b FROM od_flows WHERE arrival_hour IN (8, 14, 18) GROUP BY destination_id, arrival_hour),

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geo import haversine_m, tile_x, tile_y
 from tessera.functions.timing import freshness, whole_age
-from tessera.operators import scoring, spatial, temporal
-from tessera.plans.registry import query, shared
+from tessera.operators import materialize, scoring, spatial, temporal
+from tessera.operators import search as reads
+from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF, load
 
 
@@ -164,25 +165,82 @@ def trend_12h(spark, sf_dir):
     return rows.where("observed_at > _last - INTERVAL 12 HOURS AND observed_at <= _last").drop("_last")
 
 
-shared("search_text", "SELECT cafe_id, name FROM cafes WHERE active AND contains(lower(name), '0012')")
-shared(
-    "search_rank",
-    """SELECT cafe_id, name, CASE WHEN lower(name) = 'customer#000000012' THEN 0 WHEN lower(name) LIKE 'customer#00000001%' THEN 1 ELSE 2 END AS relevance
-  FROM cafes WHERE active AND contains(lower(name), '0001') ORDER BY relevance, lower(name), cafe_id LIMIT 20""",
-)
-shared("search_near", "SELECT cafe_id, round(pow(lat - 37.56, 2) + pow((lng - 126.97) * CAST(0.7926 AS DOUBLE), 2), 12) AS squared FROM cafes WHERE active ORDER BY pow(lat - 37.56, 2) + pow((lng - 126.97) * CAST(0.7926 AS DOUBLE), 2), cafe_id LIMIT 20")
-shared(
-    "search_brand",
-    """WITH alias AS (SELECT 'build' AS brand, 'BUILDING' AS name UNION ALL SELECT 'build', 'MACHINERY' UNION ALL SELECT 'auto', 'AUTOMOBILE')
-SELECT c.cafe_id, c.origin_provider FROM cafes c WHERE EXISTS (SELECT 1 FROM alias a WHERE a.brand = 'build' AND a.name = c.origin_provider)""",
-)
-shared("keyset_page", "SELECT cafe_id, name FROM cafes WHERE cafe_id > 100 ORDER BY cafe_id LIMIT 50")
-shared(
-    "health_stats",
-    f"""SELECT (SELECT count(*) FROM hotspots) AS hotspots, (SELECT count(*) FROM hotspots WHERE is_polled) AS polled, (SELECT count(*) FROM snapshots) AS snapshots,
+REGION = "active AND lng BETWEEN 126.76 AND 127.20 AND lat BETWEEN 37.41 AND 37.72"
+
+
+@query(f"SELECT cafe_id, name FROM cafes WHERE {REGION} AND contains(lower(name), '0012') ORDER BY lower(name), cafe_id LIMIT 50")
+def search_text(spark, sf_dir, q: str = " 0012 ", limit: int = 50):
+    return reads.search(load(spark, sf_dir, "cafes"), q, limit=limit).select("cafe_id", "name")
+
+
+@query(f"""SELECT cafe_id, name, CASE WHEN lower(name) = 'customer#00000001' THEN 0 WHEN starts_with(lower(name), 'customer#00000001') THEN 1 WHEN contains(lower(name), 'customer#00000001') THEN 2 ELSE 3 END AS relevance
+FROM cafes WHERE {REGION} AND contains(lower(name), 'customer#00000001') ORDER BY relevance, lower(name), cafe_id LIMIT 20""")
+def search_rank(spark, sf_dir, q: str = "Customer#00000001"):
+    return reads.search(load(spark, sf_dir, "cafes"), q).select("cafe_id", "name", "relevance")
+
+
+@query(f"""SELECT cafe_id, round((lat - 37.56) * (lat - 37.56) + pow((lng - 126.97) * cos(radians(37.565)), 2), 12) AS squared FROM cafes
+WHERE {REGION} AND contains(lower(name), 'customer') ORDER BY (lat - 37.56) * (lat - 37.56) + pow((lng - 126.97) * cos(radians(37.565)), 2), cafe_id LIMIT 20""")
+def search_near(spark, sf_dir, lat: float = 37.56, lng: float = 126.97):
+    found = reads.search(load(spark, sf_dir, "cafes"), "customer", origin=(lat, lng))
+    return found.select("cafe_id", F.round(reads.squared_degrees(F.col("lat"), F.col("lng"), (lat, lng)), 12).alias("squared"))
+
+
+BRANDS = {"first": ["#00000002", "#00000003"], "second": ["#00000004"]}
+
+
+@query(f"""SELECT cafe_id, name FROM cafes WHERE {REGION} AND (contains(lower(name), '#00000002') OR contains(lower(name), '#00000003'))
+ORDER BY CASE WHEN starts_with(lower(name), 'first') THEN 1 WHEN contains(lower(name), 'first') THEN 2 ELSE 3 END, lower(name), cafe_id LIMIT 20""")
+def search_brand(spark, sf_dir, brand: str = "First"):
+    return reads.search(load(spark, sf_dir, "cafes"), brand=brand, aliases=BRANDS).select("cafe_id", "name")
+
+
+@query("SELECT cafe_id, name FROM cafes WHERE cafe_id > 100 ORDER BY cafe_id LIMIT 50")
+def keyset_page(spark, sf_dir, after: int = 100, limit: int = 50):
+    return reads.page(load(spark, sf_dir, "cafes").select("cafe_id", "name"), "cafe_id", after, limit)
+
+
+@query("SELECT cafe_id, round(12742000 * asin(sqrt(pow(sin(radians(lat - 37.5) / 2), 2) + cos(radians(37.5)) * cos(radians(lat)) * pow(sin(radians(lng - 127) / 2), 2))), 3) AS distance_m FROM cafes")
+def by_distance(spark, sf_dir):
+    return reads.by_distance(load(spark, sf_dir, "cafes"), (37.5, 127.0), "cafe_id").select("cafe_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("SELECT cafe_id, name FROM cafes WHERE lat BETWEEN 37.5 AND 37.6 AND lng BETWEEN 126.9 AND 127.1")
+def tile_merge(spark, sf_dir):
+    """The cafes of a viewport, out of two tiles that overlap."""
+    cafes = load(spark, sf_dir, "cafes").select("cafe_id", "name", "lat", "lng")
+    return reads.merge_tiles([cafes.where("lng < 127.0"), cafes.where("lng > 126.95")], "cafe_id", (126.9, 37.5, 127.1, 37.6)).select("cafe_id", "name")
+
+
+@query(f"""SELECT (SELECT count(*) FROM hotspots) AS hotspots, (SELECT count(*) FROM hotspots WHERE is_polled) AS polled, (SELECT count(*) FROM snapshots) AS snapshots,
   (SELECT count(*) FROM cafes WHERE active) AS active_cafes, (SELECT max(observed_at) FROM snapshots) AS newest, (SELECT max(started_at) FROM cycles) AS last_cycle,
-  (SELECT CAST(sum(failed) AS BIGINT) FROM cycles) AS failed, (SELECT count(DISTINCT hotspot_id) FROM snapshots WHERE observed_at > {AS_OF} - INTERVAL 1 DAY) AS seen""",
-)
+  (SELECT CAST(sum(failed) AS BIGINT) FROM cycles) AS failed, (SELECT count(DISTINCT hotspot_id) FROM snapshots WHERE observed_at > {AS_OF} - INTERVAL 24 HOUR) AS seen""")
+def health_stats(spark, sf_dir):
+    return reads.health(*(load(spark, sf_dir, t) for t in ("hotspots", "snapshots", "cafes", "cycles")), now())
+
+
+@query(f"""WITH {SCORES},
+w AS (SELECT cafe_id, rank, hotspot_id, level, 1 / pow(greatest(d, 50), 2) / sum(1 / pow(greatest(d, 50), 2)) OVER (PARTITION BY cafe_id) AS weight FROM near),
+c AS (SELECT cafe_id, string_agg(concat(hotspot_id, ':', level, ':', CAST(round(weight * 10000) AS BIGINT)), ',' ORDER BY rank) AS contributors FROM w GROUP BY cafe_id)
+SELECT s.cafe_id, CASE WHEN s.score IS NOT NULL THEN s.level END AS level, s.coverage, s.primary_hotspot_id, s.source_observed_at, c.contributors
+FROM scores s JOIN cafes k ON k.cafe_id = s.cafe_id AND k.active LEFT JOIN c ON c.cafe_id = s.cafe_id""")
+def materialize_scores(spark, sf_dir):
+    """Scores of active cafes with what contributed, weights in ten-thousandths."""
+    made = materialize.materialize_scores(*(load(spark, sf_dir, t) for t in ("cafes", "hotspots", "snapshots")), now())
+    text = F.array_join(F.transform("contributors", lambda x: F.concat_ws(":", x.hotspot_id, x.level, F.round(x.weight * 10000).cast("long"))), ",")
+    return made.select("cafe_id", "level", "coverage", "primary_hotspot_id", "source_observed_at", text.alias("contributors"))
+
+
+@query(f"""WITH r AS (SELECT s.* FROM snapshots s JOIN hotspots h ON h.hotspot_id = s.hotspot_id WHERE h.is_polled AND s.observed_at >= {AS_OF} - INTERVAL 12 HOUR),
+l AS (SELECT *, row_number() OVER (PARTITION BY hotspot_id ORDER BY observed_at DESC, event_id DESC) AS rn FROM r),
+t AS (SELECT hotspot_id, string_agg(CAST(level AS VARCHAR), ',' ORDER BY observed_at, event_id) AS trend FROM r GROUP BY hotspot_id)
+SELECT t.hotspot_id, l.observed_at, t.trend, l.ppltn_min + 70 AS forecast_pop FROM t JOIN l ON l.hotspot_id = t.hotspot_id AND l.rn = 1""")
+def serving_states(spark, sf_dir):
+    """Trend and forecast of polled hotspots; of forecasts 70 and 50 minutes ahead, the first is taken."""
+    ahead = lambda m: F.struct(F.expr(f"observed_at + INTERVAL {m} MINUTE").alias("at"), (F.col("ppltn_min") + m).alias("pop"))
+    snapshots = load(spark, sf_dir, "snapshots").withColumn("forecast", F.array(ahead(120), ahead(70), ahead(50)))
+    made = materialize.serving_states(load(spark, sf_dir, "hotspots"), snapshots, now())
+    return made.select("hotspot_id", "observed_at", F.array_join(F.transform("trend", lambda x: x.level.cast("string")), ",").alias("trend"), F.col("forecast_1h.pop").alias("forecast_pop"))
 
 
 @query("""SELECT cafe_id, CAST(floor((lng + 180) / 360 * 32768) AS INT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 32768) AS INT) AS y FROM cafes""")
