@@ -135,7 +135,7 @@ def write_catalogue(df: DataFrame, path: str, key: str) -> dict:
 
 def read_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A catalogue whose rows are those of its manifest; anything else is an error."""
-    manifest = json.loads(spark.read.option("wholetext", True).text(f"{path}/manifest.json").first()[0])
+    manifest = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/rows")
     if digest(df, manifest["key"]) != (manifest["count"], manifest["digest"]):
         raise ValueError("the rows aren't those of the manifest")
