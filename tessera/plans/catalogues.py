@@ -10,7 +10,7 @@ from tessera.operators import entity, spatial, stats
 from tessera.plans.flows import BASELINE, CUTOFF, baselines
 from tessera.plans.matching import PAIRS, pairs
 from tessera.plans.more import AHEAD, EDGE, EST, chosen_areas, nowcasts
-from tessera.plans.registry import query, shared
+from tessera.plans.registry import query, sql_of
 from tessera.plans.scores import FRESH, HAVERSINE, HORIZON, LATEST, SCORES, delay_pairs, now, observations, scores
 from tessera.sources.adapters import load
 
@@ -77,7 +77,7 @@ def structural_report(spark, sf_dir):
     return rows.groupBy("before", F.coalesce("after", F.lit("uncovered")).alias("after")).agg(F.count(F.lit(1)).alias("n"))
 
 
-shared("density_report", f"WITH {LATEST}, d AS (SELECT (ppltn_min + ppltn_max) / CAST(2 AS DOUBLE) / 1000000 AS v FROM latest) SELECT count(*) AS n, round(min(v), 9) AS least, round(avg(v), 9) AS mean, round(median(v), 9) AS middle, round(max(v), 9) AS most FROM d")
+sql_of("density_report", f"WITH {LATEST}, d AS (SELECT (ppltn_min + ppltn_max) / CAST(2 AS DOUBLE) / 1000000 AS v FROM latest) SELECT count(*) AS n, round(min(v), 9) AS least, round(avg(v), 9) AS mean, round(median(v), 9) AS middle, round(max(v), 9) AS most FROM d")
 
 
 @query(f"""WITH {BASELINE}, day AS (SELECT cell_id, hour, count(*) AS n, sum(CASE WHEN masked THEN 1 ELSE 0 END) AS m, CAST(sum(known_value) AS DOUBLE) AS v FROM cell_fragments WHERE observed_date = DATE '{CUTOFF}' GROUP BY cell_id, hour)
@@ -102,12 +102,12 @@ def grid_corners(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("id"), text.alias("cell")).select("id", east.alias("east"), north.alias("north"))
 
 
-shared("url_identity", "SELECT cafe_id, CASE WHEN origin_provider = 'FURNITURE' THEN NULL ELSE regexp_extract(concat('https://place.example.com/', CAST(cafe_id AS VARCHAR(20)), '?ref=x'), '^https://place[.]example[.]com/([0-9]+)', 1) END AS provider_id FROM cafes")
-shared("line_segments", "SELECT DISTINCT least(l_partkey % 40, l_suppkey % 40) AS a, greatest(l_partkey % 40, l_suppkey % 40) AS b FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40")
-shared("field_worksheet", "SELECT slot, cafe_id, CAST((row_number() OVER (PARTITION BY slot ORDER BY cafe_id, observed_at) - 1) % 3 AS INT) AS rotation FROM truths")
-shared("display_refresh", "SELECT a.place_id, a.norm_name <> b.norm_name AS name_changed, coalesce(a.phone, '') <> coalesce(b.phone, '') AS phone_changed, round(abs(a.lat - b.lat) * 111320, 3) AS moved_m FROM catalogue_a a JOIN catalogue_b b ON b.place_id = a.place_id + 1000000 WHERE a.norm_name <> b.norm_name OR coalesce(a.phone, '') <> coalesce(b.phone, '') OR abs(a.lat - b.lat) > 1e-12")
-shared("permit_profile", "SELECT o_orderstatus AS status, count(*) AS records, count(DISTINCT o_custkey) AS identities, min(o_orderdate) AS first_update, max(o_orderdate) AS last_update, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM orders GROUP BY o_orderstatus")
-shared("heldout_repeats", """WITH t AS (SELECT destination_id AS zone_id, purpose, sum(CASE WHEN arrival_hour = 8 THEN flow ELSE 0 END) AS a, sum(CASE WHEN departure_hour = 8 THEN flow ELSE 0 END) AS b FROM od_flows GROUP BY destination_id, purpose),
+sql_of("url_identity", "SELECT cafe_id, CASE WHEN origin_provider = 'FURNITURE' THEN NULL ELSE regexp_extract(concat('https://place.example.com/', CAST(cafe_id AS VARCHAR(20)), '?ref=x'), '^https://place[.]example[.]com/([0-9]+)', 1) END AS provider_id FROM cafes")
+sql_of("line_segments", "SELECT DISTINCT least(l_partkey % 40, l_suppkey % 40) AS a, greatest(l_partkey % 40, l_suppkey % 40) AS b FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40")
+sql_of("field_worksheet", "SELECT slot, cafe_id, CAST((row_number() OVER (PARTITION BY slot ORDER BY cafe_id, observed_at) - 1) % 3 AS INT) AS rotation FROM truths")
+sql_of("display_refresh", "SELECT a.place_id, a.norm_name <> b.norm_name AS name_changed, coalesce(a.phone, '') <> coalesce(b.phone, '') AS phone_changed, round(abs(a.lat - b.lat) * 111320, 3) AS moved_m FROM catalogue_a a JOIN catalogue_b b ON b.place_id = a.place_id + 1000000 WHERE a.norm_name <> b.norm_name OR coalesce(a.phone, '') <> coalesce(b.phone, '') OR abs(a.lat - b.lat) > 1e-12")
+sql_of("permit_profile", "SELECT o_orderstatus AS status, count(*) AS records, count(DISTINCT o_custkey) AS identities, min(o_orderdate) AS first_update, max(o_orderdate) AS last_update, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM orders GROUP BY o_orderstatus")
+sql_of("heldout_repeats", """WITH t AS (SELECT destination_id AS zone_id, purpose, sum(CASE WHEN arrival_hour = 8 THEN flow ELSE 0 END) AS a, sum(CASE WHEN departure_hour = 8 THEN flow ELSE 0 END) AS b FROM od_flows GROUP BY destination_id, purpose),
 r AS (SELECT purpose, rank() OVER (PARTITION BY purpose ORDER BY a) + (count(*) OVER (PARTITION BY purpose, a) - 1) / CAST(2 AS DOUBLE) AS x, rank() OVER (PARTITION BY purpose ORDER BY b) + (count(*) OVER (PARTITION BY purpose, b) - 1) / CAST(2 AS DOUBLE) AS y FROM t),
 k AS (SELECT purpose, (count(*) * sum(x * y) - sum(x) * sum(y)) / sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) * (count(*) * sum(y * y) - sum(y) * sum(y))) AS rho FROM r GROUP BY purpose)
 SELECT count(*) AS repeats, round(median(rho), 9) AS middle, round(min(rho), 9) AS least, CAST(sum(CASE WHEN rho > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM k""")

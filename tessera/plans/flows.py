@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import flows
-from tessera.plans.registry import query, shared
+from tessera.plans.registry import query, sql_of
 from tessera.sources.adapters import load
 
 NET = """a AS (SELECT destination_id AS zone_id, arrival_hour AS hour, sum(flow) AS inbound, sum(CASE WHEN origin_id = destination_id THEN flow ELSE 0 END) AS intrazonal FROM od_flows GROUP BY destination_id, arrival_hour),
@@ -37,32 +37,32 @@ def od_purpose_ratio(spark, sf_dir):
     return g.withColumn("ratio", F.round(F.col("flow") / F.sum("flow").over(Window.partitionBy("destination_id")), 9))
 
 
-shared("od_coverage", """SELECT count(*) AS n, count(DISTINCT f.origin_id) AS origins, CAST(sum(CASE WHEN a.zone_id IS NULL OR b.zone_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS uncovered, sum(CASE WHEN f.origin_id = f.destination_id THEN f.flow ELSE 0 END) AS intrazonal
+sql_of("od_coverage", """SELECT count(*) AS n, count(DISTINCT f.origin_id) AS origins, CAST(sum(CASE WHEN a.zone_id IS NULL OR b.zone_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS uncovered, sum(CASE WHEN f.origin_id = f.destination_id THEN f.flow ELSE 0 END) AS intrazonal
   FROM od_flows f LEFT JOIN od_centroids a ON a.zone_id = f.origin_id LEFT JOIN od_centroids b ON b.zone_id = f.destination_id""")
-shared("od_missing_codes", "SELECT DISTINCT f.origin_id AS zone_id FROM od_flows f LEFT JOIN od_centroids a ON a.zone_id = f.origin_id WHERE a.zone_id IS NULL")
-shared("od_centroid_join", "SELECT f.origin_id, f.destination_id, sum(f.flow) AS flow, max(a.lat) AS o_lat, max(b.lat) AS d_lat FROM od_flows f LEFT JOIN od_centroids a ON a.zone_id = f.origin_id LEFT JOIN od_centroids b ON b.zone_id = f.destination_id GROUP BY f.origin_id, f.destination_id")
-shared("od_weighted_means", "SELECT origin_id, round(sum(flow * abs(arrival_hour - departure_hour)) / sum(flow), 6) AS mean_hours, sum(flow) AS flow FROM od_flows GROUP BY origin_id")
-shared("key_union", "SELECT origin_id AS zone_id, departure_hour AS hour FROM od_flows UNION SELECT destination_id, arrival_hour FROM od_flows")
-shared("complete_zones", "SELECT destination_id AS zone_id FROM od_flows WHERE arrival_hour IN (7, 8, 9) GROUP BY destination_id HAVING count(DISTINCT arrival_hour) = 3")
-shared("set_difference", "SELECT origin_id AS zone_id FROM od_flows EXCEPT SELECT zone_id FROM od_centroids")
-shared("code_set_diff", "SELECT coalesce(a.n_nationkey, b.zone_id) AS zone_id, CASE WHEN b.zone_id IS NULL THEN 'left' WHEN a.n_nationkey IS NULL THEN 'right' ELSE 'both' END AS side FROM nation a FULL JOIN od_centroids b ON a.n_nationkey = b.zone_id")
-shared("paired_stock", """WITH a AS (SELECT destination_id AS zone_id, sum(flow) AS stock FROM od_flows WHERE arrival_hour = 8 AND purpose = 1 GROUP BY destination_id),
+sql_of("od_missing_codes", "SELECT DISTINCT f.origin_id AS zone_id FROM od_flows f LEFT JOIN od_centroids a ON a.zone_id = f.origin_id WHERE a.zone_id IS NULL")
+sql_of("od_centroid_join", "SELECT f.origin_id, f.destination_id, sum(f.flow) AS flow, max(a.lat) AS o_lat, max(b.lat) AS d_lat FROM od_flows f LEFT JOIN od_centroids a ON a.zone_id = f.origin_id LEFT JOIN od_centroids b ON b.zone_id = f.destination_id GROUP BY f.origin_id, f.destination_id")
+sql_of("od_weighted_means", "SELECT origin_id, round(sum(flow * abs(arrival_hour - departure_hour)) / sum(flow), 6) AS mean_hours, sum(flow) AS flow FROM od_flows GROUP BY origin_id")
+sql_of("key_union", "SELECT origin_id AS zone_id, departure_hour AS hour FROM od_flows UNION SELECT destination_id, arrival_hour FROM od_flows")
+sql_of("complete_zones", "SELECT destination_id AS zone_id FROM od_flows WHERE arrival_hour IN (7, 8, 9) GROUP BY destination_id HAVING count(DISTINCT arrival_hour) = 3")
+sql_of("set_difference", "SELECT origin_id AS zone_id FROM od_flows EXCEPT SELECT zone_id FROM od_centroids")
+sql_of("code_set_diff", "SELECT coalesce(a.n_nationkey, b.zone_id) AS zone_id, CASE WHEN b.zone_id IS NULL THEN 'left' WHEN a.n_nationkey IS NULL THEN 'right' ELSE 'both' END AS side FROM nation a FULL JOIN od_centroids b ON a.n_nationkey = b.zone_id")
+sql_of("paired_stock", """WITH a AS (SELECT destination_id AS zone_id, sum(flow) AS stock FROM od_flows WHERE arrival_hour = 8 AND purpose = 1 GROUP BY destination_id),
 b AS (SELECT destination_id AS zone_id, sum(flow) AS stock FROM od_flows WHERE arrival_hour = 9 AND purpose = 2 GROUP BY destination_id)
 SELECT coalesce(a.zone_id, b.zone_id) AS zone_id, coalesce(a.stock, 0) AS before_stock, coalesce(b.stock, 0) AS after_stock, coalesce(b.stock, 0) - coalesce(a.stock, 0) AS change FROM a FULL JOIN b ON a.zone_id = b.zone_id""")
-shared("jaccard_decile", """WITH t AS (SELECT destination_id AS zone_id, purpose, sum(flow) AS flow FROM od_flows WHERE purpose IN (1, 2) GROUP BY destination_id, purpose),
+sql_of("jaccard_decile", """WITH t AS (SELECT destination_id AS zone_id, purpose, sum(flow) AS flow FROM od_flows WHERE purpose IN (1, 2) GROUP BY destination_id, purpose),
 r AS (SELECT zone_id, purpose, row_number() OVER (PARTITION BY purpose ORDER BY flow DESC, zone_id) AS rn, count(*) OVER (PARTITION BY purpose) AS k FROM t),
 top AS (SELECT zone_id, purpose FROM r WHERE rn <= ceil(k * 0.2))
 SELECT count(*) AS both_sets, CAST(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) AS BIGINT) AS shared_zones, round(CAST(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 9) AS jaccard FROM (SELECT zone_id, count(*) AS n FROM top GROUP BY zone_id) z""")
-shared("weekly_pairs", "SELECT a.cell_id, a.observed_date AS first_date, b.observed_date AS second_date FROM (SELECT DISTINCT cell_id, observed_date FROM cell_fragments) a JOIN (SELECT DISTINCT cell_id, observed_date FROM cell_fragments) b ON a.cell_id = b.cell_id AND b.observed_date = date_add(a.observed_date, 7)".replace("date_add(a.observed_date, 7)", "a.observed_date + INTERVAL 7 DAY"))
+sql_of("weekly_pairs", "SELECT a.cell_id, a.observed_date AS first_date, b.observed_date AS second_date FROM (SELECT DISTINCT cell_id, observed_date FROM cell_fragments) a JOIN (SELECT DISTINCT cell_id, observed_date FROM cell_fragments) b ON a.cell_id = b.cell_id AND b.observed_date = date_add(a.observed_date, 7)".replace("date_add(a.observed_date, 7)", "a.observed_date + INTERVAL 7 DAY"))
 
-shared("validation_counts", """SELECT count(*) AS n, CAST(sum(CASE WHEN masked THEN 1 ELSE 0 END) AS BIGINT) AS masked_rows, CAST(sum(CASE WHEN known_value < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative,
+sql_of("validation_counts", """SELECT count(*) AS n, CAST(sum(CASE WHEN masked THEN 1 ELSE 0 END) AS BIGINT) AS masked_rows, CAST(sum(CASE WHEN known_value < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative,
   CAST(sum(CASE WHEN masked AND known_value IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS masked_known, CAST(sum(CASE WHEN hour NOT BETWEEN 0 AND 23 THEN 1 ELSE 0 END) AS BIGINT) AS bad_hour FROM cell_fragments""")
-shared("dup_fragments", "SELECT cell_id, observed_date, hour, count(*) AS n FROM cell_fragments GROUP BY cell_id, observed_date, hour HAVING count(*) > 1 ORDER BY cell_id, observed_date, hour LIMIT 1")
-shared("mask_summary", """WITH g AS (SELECT cell_id, observed_date, hour, count(*) AS n, sum(CASE WHEN masked THEN 1 ELSE 0 END) AS m FROM cell_fragments GROUP BY cell_id, observed_date, hour)
+sql_of("dup_fragments", "SELECT cell_id, observed_date, hour, count(*) AS n FROM cell_fragments GROUP BY cell_id, observed_date, hour HAVING count(*) > 1 ORDER BY cell_id, observed_date, hour LIMIT 1")
+sql_of("mask_summary", """WITH g AS (SELECT cell_id, observed_date, hour, count(*) AS n, sum(CASE WHEN masked THEN 1 ELSE 0 END) AS m FROM cell_fragments GROUP BY cell_id, observed_date, hour)
 SELECT count(*) AS cell_hours, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS multi, CAST(sum(CASE WHEN m > 0 AND m < n THEN 1 ELSE 0 END) AS BIGINT) AS partial_masked, CAST(sum(CASE WHEN m = n THEN 1 ELSE 0 END) AS BIGINT) AS all_masked, max(n) AS most FROM g""")
-shared("missing_cells", "SELECT a.cell_id FROM (SELECT CAST(n_nationkey AS INT) AS cell_id FROM nation) a LEFT JOIN (SELECT DISTINCT cell_id FROM cell_fragments) f ON f.cell_id = a.cell_id WHERE f.cell_id IS NULL")
-shared("allowlist_semi", "SELECT cell_id, count(*) AS n FROM cell_fragments WHERE cell_id IN (SELECT CAST(r_regionkey AS INT) FROM region WHERE r_regionkey < 3) GROUP BY cell_id")
-shared("owner_conflict", "SELECT known_value, count(DISTINCT cell_id) AS owners FROM cell_fragments WHERE known_value IS NOT NULL GROUP BY known_value HAVING count(DISTINCT cell_id) > 1")
+sql_of("missing_cells", "SELECT a.cell_id FROM (SELECT CAST(n_nationkey AS INT) AS cell_id FROM nation) a LEFT JOIN (SELECT DISTINCT cell_id FROM cell_fragments) f ON f.cell_id = a.cell_id WHERE f.cell_id IS NULL")
+sql_of("allowlist_semi", "SELECT cell_id, count(*) AS n FROM cell_fragments WHERE cell_id IN (SELECT CAST(r_regionkey AS INT) FROM region WHERE r_regionkey < 3) GROUP BY cell_id")
+sql_of("owner_conflict", "SELECT known_value, count(DISTINCT cell_id) AS owners FROM cell_fragments WHERE known_value IS NOT NULL GROUP BY known_value HAVING count(DISTINCT cell_id) > 1")
 
 
 @query("""SELECT cell_id, observed_date, hour, sum(known_value) AS known_total, count(*) AS fragment_count, CAST(sum(CASE WHEN masked THEN 1 ELSE 0 END) AS BIGINT) AS masked_fragment_count,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import entity
-from tessera.plans.registry import query, shared
+from tessera.plans.registry import query, sql_of
 from tessera.plans.scores import HAVERSINE
 from tessera.sources.adapters import load
 
@@ -104,17 +104,17 @@ def hash_round_robin(spark, sf_dir):
     return load(spark, sf_dir, "cafes").select("cafe_id", "origin_provider", F.row_number().over(w).alias("turn")).orderBy("turn", "origin_provider").limit(40)
 
 
-shared("provider_matrix", """WITH o AS (SELECT DISTINCT origin_provider FROM cafes), b AS (SELECT 'low' AS band UNION ALL SELECT 'high'), c AS (SELECT origin_provider, CASE WHEN source_confidence >= 0.8 THEN 'high' ELSE 'low' END AS band, cafe_id FROM cafes WHERE active)
+sql_of("provider_matrix", """WITH o AS (SELECT DISTINCT origin_provider FROM cafes), b AS (SELECT 'low' AS band UNION ALL SELECT 'high'), c AS (SELECT origin_provider, CASE WHEN source_confidence >= 0.8 THEN 'high' ELSE 'low' END AS band, cafe_id FROM cafes WHERE active)
 SELECT o.origin_provider, b.band, count(c.cafe_id) AS n FROM o CROSS JOIN b LEFT JOIN c ON c.origin_provider = o.origin_provider AND c.band = b.band GROUP BY o.origin_provider, b.band""")
-shared("curated_admission", "SELECT c.cafe_id, CASE WHEN c.source_confidence >= 0.8 THEN 'confidence' ELSE 'match' END AS reason FROM cafes c LEFT JOIN (SELECT DISTINCT place_id - 1000000 AS cafe_id FROM catalogue_b WHERE phone IS NOT NULL AND place_id < 2000000) m ON m.cafe_id = c.cafe_id WHERE c.source_confidence >= 0.8 OR m.cafe_id IS NOT NULL")
-shared("region_gate", "SELECT cafe_id, lat BETWEEN 37.41 AND 37.72 AND lng BETWEEN 126.76 AND 127.20 AND name LIKE 'Customer%' AS inside_region FROM cafes")
-shared("exact_dups", "SELECT count(*) AS n, count(*) - count(DISTINCT concat(norm_name, '|', coalesce(phone, ''))) AS duplicates FROM catalogue_b")
-shared("conflict_reasons", """SELECT norm_name, count(*) AS n, CASE WHEN count(DISTINCT coalesce(phone, '')) > 1 THEN 'phone' END AS phone_conflict, CASE WHEN count(DISTINCT lat) > 1 THEN 'lat' END AS lat_conflict FROM catalogue_b GROUP BY norm_name HAVING count(*) > 1""")
-shared("latest_by_update", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn = 1")
-shared("observer_assign", "SELECT cafe_id, slot, observed_at, CASE WHEN (row_number() OVER (PARTITION BY slot ORDER BY observed_at, cafe_id)) % 2 = 1 THEN 'a' ELSE 'b' END AS observer FROM truths")
-shared("area_nearest_rank", "SELECT origin_provider, percentile_disc(0.5) WITHIN GROUP (ORDER BY source_confidence) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY source_confidence) AS p95 FROM cafes GROUP BY origin_provider")
-shared("decimal_profile", """SELECT count(*) AS n, CAST(sum(CASE WHEN c_acctbal = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives, CAST(sum(CASE WHEN c_acctbal > 9000 THEN 1 ELSE 0 END) AS BIGINT) AS extremes, min(c_acctbal) AS least, max(c_acctbal) AS most FROM customer""")
-shared("constraint_violations", """SELECT 'lat' AS rule, CAST(sum(CASE WHEN lat BETWEEN -90 AND 90 THEN 0 ELSE 1 END) AS BIGINT) AS n FROM hotspots UNION ALL
+sql_of("curated_admission", "SELECT c.cafe_id, CASE WHEN c.source_confidence >= 0.8 THEN 'confidence' ELSE 'match' END AS reason FROM cafes c LEFT JOIN (SELECT DISTINCT place_id - 1000000 AS cafe_id FROM catalogue_b WHERE phone IS NOT NULL AND place_id < 2000000) m ON m.cafe_id = c.cafe_id WHERE c.source_confidence >= 0.8 OR m.cafe_id IS NOT NULL")
+sql_of("region_gate", "SELECT cafe_id, lat BETWEEN 37.41 AND 37.72 AND lng BETWEEN 126.76 AND 127.20 AND name LIKE 'Customer%' AS inside_region FROM cafes")
+sql_of("exact_dups", "SELECT count(*) AS n, count(*) - count(DISTINCT concat(norm_name, '|', coalesce(phone, ''))) AS duplicates FROM catalogue_b")
+sql_of("conflict_reasons", """SELECT norm_name, count(*) AS n, CASE WHEN count(DISTINCT coalesce(phone, '')) > 1 THEN 'phone' END AS phone_conflict, CASE WHEN count(DISTINCT lat) > 1 THEN 'lat' END AS lat_conflict FROM catalogue_b GROUP BY norm_name HAVING count(*) > 1""")
+sql_of("latest_by_update", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn = 1")
+sql_of("observer_assign", "SELECT cafe_id, slot, observed_at, CASE WHEN (row_number() OVER (PARTITION BY slot ORDER BY observed_at, cafe_id)) % 2 = 1 THEN 'a' ELSE 'b' END AS observer FROM truths")
+sql_of("area_nearest_rank", "SELECT origin_provider, percentile_disc(0.5) WITHIN GROUP (ORDER BY source_confidence) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY source_confidence) AS p95 FROM cafes GROUP BY origin_provider")
+sql_of("decimal_profile", """SELECT count(*) AS n, CAST(sum(CASE WHEN c_acctbal = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives, CAST(sum(CASE WHEN c_acctbal > 9000 THEN 1 ELSE 0 END) AS BIGINT) AS extremes, min(c_acctbal) AS least, max(c_acctbal) AS most FROM customer""")
+sql_of("constraint_violations", """SELECT 'lat' AS rule, CAST(sum(CASE WHEN lat BETWEEN -90 AND 90 THEN 0 ELSE 1 END) AS BIGINT) AS n FROM hotspots UNION ALL
 SELECT 'level', CAST(sum(CASE WHEN level BETWEEN 1 AND 4 THEN 0 ELSE 1 END) AS BIGINT) FROM snapshots UNION ALL SELECT 'bounds', CAST(sum(CASE WHEN ppltn_min <= ppltn_max AND ppltn_min >= 0 THEN 0 ELSE 1 END) AS BIGINT) FROM snapshots UNION ALL
 SELECT 'natural_key', count(*) FROM (SELECT hotspot_id, observed_at FROM snapshots GROUP BY hotspot_id, observed_at HAVING count(*) > 1) k UNION ALL
 SELECT 'orphan', count(*) FROM snapshots s LEFT JOIN hotspots h ON h.hotspot_id = s.hotspot_id WHERE h.hotspot_id IS NULL""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry, nowcast, permits, scoring, stations, sweep, temporal
-from tessera.plans.registry import query, shared
+from tessera.plans.registry import query, sql_of
 from tessera.plans.scores import AGE, HAVERSINE, LATEST, NEAR, PAIR, SCORES, now, observations, scores
 from tessera.sources.adapters import load
 
@@ -287,15 +287,15 @@ def observation_level(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", level.alias("derived_level"))
 
 
-shared("angle_diff", "SELECT zone_id, round(least(abs(a - b), 360 - abs(a - b)), 6) AS gap FROM (SELECT n_nationkey AS zone_id, CAST((n_nationkey * 47) % 360 AS DOUBLE) AS a, CAST((n_nationkey * 113) % 360 AS DOUBLE) AS b FROM nation) z")
-shared("aged_state", "SELECT event_id, CASE WHEN observed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 25 MINUTE THEN 'fresh' WHEN observed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 120 MINUTE THEN 'delayed' ELSE 'stale' END AS now_state, CASE WHEN observed_at >= TIMESTAMP '2024-01-31 01:00:00' - INTERVAL 25 MINUTE THEN 'fresh' WHEN observed_at >= TIMESTAMP '2024-01-31 01:00:00' - INTERVAL 120 MINUTE THEN 'delayed' ELSE 'stale' END AS later_state FROM snapshots")
-shared("is_open", "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority IS NOT NULL AND o_totalprice > 0 AS is_open FROM orders")
-shared("link_precedence", "SELECT c.cafe_id, CASE WHEN b.place_id IS NOT NULL AND b.phone IS NULL THEN NULL WHEN b.place_id IS NOT NULL THEN concat('row:', b.phone) ELSE concat('json:', c.name) END AS link FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000")
-shared("changed_fields", "SELECT CAST(sum(CASE WHEN a.norm_name <> b.norm_name THEN 1 ELSE 0 END) AS BIGINT) AS names, CAST(sum(CASE WHEN coalesce(a.phone, '') <> coalesce(b.phone, '') THEN 1 ELSE 0 END) AS BIGINT) AS phones, CAST(sum(CASE WHEN abs(a.lat - b.lat) > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS places FROM catalogue_a a JOIN catalogue_b b ON b.place_id = a.place_id + 1000000")
-shared("catalog_gap_report", "SELECT origin_provider, count(*) AS places, count(b.place_id) AS linked, CAST(ceil((count(*) - count(b.place_id)) / CAST(50 AS DOUBLE)) AS INT) AS batches FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000 WHERE c.active GROUP BY origin_provider")
-shared("od_stability", """WITH t AS (SELECT destination_id AS zone_id, arrival_hour AS hour, sum(CASE WHEN purpose <= 3 THEN flow ELSE 0 END) AS a, sum(CASE WHEN purpose > 3 THEN flow ELSE 0 END) AS b FROM od_flows WHERE arrival_hour IN (8, 14, 18) GROUP BY destination_id, arrival_hour),
+sql_of("angle_diff", "SELECT zone_id, round(least(abs(a - b), 360 - abs(a - b)), 6) AS gap FROM (SELECT n_nationkey AS zone_id, CAST((n_nationkey * 47) % 360 AS DOUBLE) AS a, CAST((n_nationkey * 113) % 360 AS DOUBLE) AS b FROM nation) z")
+sql_of("aged_state", "SELECT event_id, CASE WHEN observed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 25 MINUTE THEN 'fresh' WHEN observed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 120 MINUTE THEN 'delayed' ELSE 'stale' END AS now_state, CASE WHEN observed_at >= TIMESTAMP '2024-01-31 01:00:00' - INTERVAL 25 MINUTE THEN 'fresh' WHEN observed_at >= TIMESTAMP '2024-01-31 01:00:00' - INTERVAL 120 MINUTE THEN 'delayed' ELSE 'stale' END AS later_state FROM snapshots")
+sql_of("is_open", "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority IS NOT NULL AND o_totalprice > 0 AS is_open FROM orders")
+sql_of("link_precedence", "SELECT c.cafe_id, CASE WHEN b.place_id IS NOT NULL AND b.phone IS NULL THEN NULL WHEN b.place_id IS NOT NULL THEN concat('row:', b.phone) ELSE concat('json:', c.name) END AS link FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000")
+sql_of("changed_fields", "SELECT CAST(sum(CASE WHEN a.norm_name <> b.norm_name THEN 1 ELSE 0 END) AS BIGINT) AS names, CAST(sum(CASE WHEN coalesce(a.phone, '') <> coalesce(b.phone, '') THEN 1 ELSE 0 END) AS BIGINT) AS phones, CAST(sum(CASE WHEN abs(a.lat - b.lat) > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS places FROM catalogue_a a JOIN catalogue_b b ON b.place_id = a.place_id + 1000000")
+sql_of("catalog_gap_report", "SELECT origin_provider, count(*) AS places, count(b.place_id) AS linked, CAST(ceil((count(*) - count(b.place_id)) / CAST(50 AS DOUBLE)) AS INT) AS batches FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000 WHERE c.active GROUP BY origin_provider")
+sql_of("od_stability", """WITH t AS (SELECT destination_id AS zone_id, arrival_hour AS hour, sum(CASE WHEN purpose <= 3 THEN flow ELSE 0 END) AS a, sum(CASE WHEN purpose > 3 THEN flow ELSE 0 END) AS b FROM od_flows WHERE arrival_hour IN (8, 14, 18) GROUP BY destination_id, arrival_hour),
 r AS (SELECT hour, rank() OVER (PARTITION BY hour ORDER BY a) + (count(*) OVER (PARTITION BY hour, a) - 1) / CAST(2 AS DOUBLE) AS x, rank() OVER (PARTITION BY hour ORDER BY b) + (count(*) OVER (PARTITION BY hour, b) - 1) / CAST(2 AS DOUBLE) AS y FROM t)
 SELECT hour, count(*) AS n, round((count(*) * sum(x * y) - sum(x) * sum(y)) / sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) * (count(*) * sum(y * y) - sum(y) * sum(y))), 9) AS rho FROM r GROUP BY hour""")
-shared("stock_flow_screen", """WITH f AS (SELECT destination_id AS zone_id, sum(CASE WHEN arrival_hour = 8 THEN flow ELSE 0 END) AS net, sum(CASE WHEN arrival_hour = 9 THEN flow ELSE 0 END) - sum(CASE WHEN arrival_hour = 7 THEN flow ELSE 0 END) AS change FROM od_flows GROUP BY destination_id),
+sql_of("stock_flow_screen", """WITH f AS (SELECT destination_id AS zone_id, sum(CASE WHEN arrival_hour = 8 THEN flow ELSE 0 END) AS net, sum(CASE WHEN arrival_hour = 9 THEN flow ELSE 0 END) - sum(CASE WHEN arrival_hour = 7 THEN flow ELSE 0 END) AS change FROM od_flows GROUP BY destination_id),
 r AS (SELECT rank() OVER (ORDER BY net) + (count(*) OVER (PARTITION BY net) - 1) / CAST(2 AS DOUBLE) AS x, rank() OVER (ORDER BY change) + (count(*) OVER (PARTITION BY change) - 1) / CAST(2 AS DOUBLE) AS y FROM f)
 SELECT count(*) AS zones, round((count(*) * sum(x * y) - sum(x) * sum(y)) / sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) * (count(*) * sum(y * y) - sum(y) * sum(y))), 9) AS rho FROM r""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.adapters import run_sql, with_adapters
+from tessera.sources.adapters import with_adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,7 +24,6 @@ def query(sql: str | None = None):
     return put
 
 
-def shared(name: str, sql: str) -> None:
-    """Registers a statement that both engines run as it is."""
-    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
+def sql_of(name: str, sql: str) -> None:
+    """DuckDB SQL for the rows of a query that another module registers."""
     SQL[name] = with_adapters(sql)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import stats
-from tessera.plans.registry import query, shared
+from tessera.plans.registry import query, sql_of
 from tessera.sources.adapters import AS_OF, load
 
 RANKS = """r AS (SELECT hotspot_id, rank() OVER (PARTITION BY hotspot_id ORDER BY level) + (count(*) OVER (PARTITION BY hotspot_id, level) - 1) / CAST(2 AS DOUBLE) AS rx,
@@ -78,9 +78,9 @@ def lag_buckets(spark, sf_dir):
     return spark.createDataFrame([(15,), (30,), (60,), (120,), (-1,)], "edge int").join(F.broadcast(counts), "edge", "left").na.fill(0, ["n"])
 
 
-shared("strata_grouping_sets", "SELECT part, day, count(*) AS n, CAST(sum(level) AS BIGINT) AS levels FROM (SELECT CAST(hotspot_id % 4 AS INT) AS part, CAST(observed_at AS DATE) AS day, level FROM snapshots) x GROUP BY GROUPING SETS ((), (part), (day), (part, day))")
-shared("win_rate", """WITH m AS (SELECT abs(ppltn_min - 5000) AS a, abs(ppltn_max - 5250) AS b FROM snapshots) SELECT CAST(sum(CASE WHEN abs(a - b) <= 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(sum(CASE WHEN a < b - 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN a > b + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS losses FROM m""")
-shared("missing_hotspots", f"SELECT h.hotspot_id FROM hotspots h LEFT JOIN (SELECT DISTINCT hotspot_id FROM snapshots WHERE observed_at > {AS_OF} - INTERVAL 6 HOUR) s ON s.hotspot_id = h.hotspot_id WHERE h.is_polled AND s.hotspot_id IS NULL")
+sql_of("strata_grouping_sets", "SELECT part, day, count(*) AS n, CAST(sum(level) AS BIGINT) AS levels FROM (SELECT CAST(hotspot_id % 4 AS INT) AS part, CAST(observed_at AS DATE) AS day, level FROM snapshots) x GROUP BY GROUPING SETS ((), (part), (day), (part, day))")
+sql_of("win_rate", """WITH m AS (SELECT abs(ppltn_min - 5000) AS a, abs(ppltn_max - 5250) AS b FROM snapshots) SELECT CAST(sum(CASE WHEN abs(a - b) <= 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(sum(CASE WHEN a < b - 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN a > b + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS losses FROM m""")
+sql_of("missing_hotspots", f"SELECT h.hotspot_id FROM hotspots h LEFT JOIN (SELECT DISTINCT hotspot_id FROM snapshots WHERE observed_at > {AS_OF} - INTERVAL 6 HOUR) s ON s.hotspot_id = h.hotspot_id WHERE h.is_polled AND s.hotspot_id IS NULL")
 
 
 @query("SELECT cycle_id, started_at, round((epoch_us(started_at) - epoch_us(lag(started_at) OVER (ORDER BY started_at))) / 6e7, 9) AS gap_min FROM cycles")
