@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,20 @@ def reconcile(pairs: DataFrame) -> DataFrame:
 
 
 def two_signals(a: DataFrame, b: DataFrame, signals: list[str], least: int = 2) -> DataFrame:
-    """Pairs (a_id, b_id, n_signals, status) that share at least so many signals, each by an equality join.
+    """Pairs (a_id, b_id, n_signals, status) that share at least so many signals.
 
-    An id claimed by two partners makes all its claimants ambiguous.
+    Rows meet by an equality join for each choice of least signals, so what
+    a chain's places share, such as their name, makes no pairs by itself. An
+    id claimed by two partners makes all its claimants ambiguous.
     """
-    hits = None
-    for s in signals:
-        x = a.where(F.col(s).isNotNull()).select(F.col("place_id").alias("a_id"), F.col(s).alias("_v"))
-        y = b.where(F.col(s).isNotNull()).select(F.col("place_id").alias("b_id"), F.col(s).alias("_v"))
-        one = x.join(y, "_v").select("a_id", "b_id", F.lit(s).alias("signal")).distinct()
-        hits = one if hits is None else hits.union(one)
-    found = hits.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).cast("int").alias("n_signals")).where(F.col("n_signals") >= least)
+    left = a.select(F.col("place_id").alias("a_id"), *(F.col(s).alias(f"_a_{s}") for s in signals))
+    right = b.select(F.col("place_id").alias("b_id"), *(F.col(s).alias(f"_b_{s}") for s in signals))
+    shared = sum((F.coalesce(F.col(f"_a_{s}") == F.col(f"_b_{s}"), F.lit(False)).cast("int") for s in signals), F.lit(0))
+    found = None
+    for chosen in combinations(signals, least):
+        met = left.join(right, [F.col(f"_a_{s}") == F.col(f"_b_{s}") for s in chosen]).select("a_id", "b_id", shared.alias("n_signals"))
+        found = met if found is None else found.union(met)
+    found = found.groupBy("a_id", "b_id").agg(F.max("n_signals").alias("n_signals"))
     n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
     return found.withColumn("status", F.when((n("a_id") > 1) | (n("b_id") > 1), "ambiguous").otherwise("verified"))
 

@@ -47,27 +47,46 @@ def score_points(points: DataFrame, observations: DataFrame, now: Column, p: Poi
     return out.select("cafe_id", "score", half_up_level(F.col("score")).alias("level"), coverage.alias("coverage"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "confidence", tier.alias("tier"), "primary_hotspot_id", "primary_distance_m", "source_observed_at")
 
 
-def confidence_v2(contributors: DataFrame, now: Column, health: Column, radius_m: float = 1500.0, tau_min: float = 15.0, w: ConfidenceWeights = ConfidenceWeights()) -> DataFrame:
+def cycle_health(saved: Column, targets: Column, status: Column, w: ConfidenceWeights = ConfidenceWeights()) -> Column:
+    """The share of targets that a cycle saved, by its status: complete, partial or failed; another status is an error."""
+    factor = F.when(status == "complete", 1.0).when(status == "partial", w.partial).when(status == "failed", 0.0)
+    share = F.when(targets > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), saved / targets))).otherwise(0.0)
+    return share * F.coalesce(factor, F.raise_error(F.lit("unknown cycle status")).cast("double"))
+
+
+def confidence_v2(contributors: DataFrame, now: Column, health: Column, radius_m: float = 1500.0, tau_min: float = 15.0, w: ConfidenceWeights = ConfidenceWeights(), samples: Column | None = None) -> DataFrame:
     """Four parts of confidence for each cafe_id of contributors (distance_m, weight, level, observed_at).
 
-    health is the share of targets saved by the last cycle, already reduced
-    for partial and failed ones.
+    health, the same for all rows, is that of the last cycle. A column inside,
+    if there is one, marks contributors whose area holds the cafe: then the
+    spatial part is 1. An observation further in the future than skew_min is
+    an error. sufficiency, the share of validation samples that are wanted,
+    is reported if samples is given and never enters the confidence.
     """
-    age = F.greatest(F.lit(0.0), minutes_between(now, F.col("observed_at")))
+    signed = minutes_between(now, F.col("observed_at"))
+    fail = F.raise_error(F.lit("observed in the future")).cast("double")
+    age = F.when(signed < -w.skew_min, fail).otherwise(F.greatest(F.lit(0.0), signed))
     share = F.col("weight")
+    inside = F.max("inside") if "inside" in contributors.columns else F.lit(False)
     parts = contributors.groupBy("cafe_id").agg(
-        F.greatest(F.lit(0.0), 1.0 - F.min("distance_m") / radius_m).alias("spatial"),
+        F.greatest(F.lit(0.0), 1.0 - F.min("distance_m") / radius_m).alias("_near"),
+        F.coalesce(inside, F.lit(False)).alias("_inside"),
         (F.sum(share * F.exp(-age / tau_min)) / F.sum(share)).alias("freshness"),
         (F.sum(share * F.col("level")) / F.sum(share)).alias("_mean"),
         (F.sum(share * F.col("level") * F.col("level")) / F.sum(share)).alias("_square"),
         (minutes_between(F.max("observed_at"), F.min("observed_at"))).alias("_span"),
         F.count(F.lit(1)).alias("_n"),
+        F.max(health).alias("health"),
+        F.max(samples if samples is not None else F.lit(None).cast("double")).alias("_samples"),
     )
+    spatial = F.when(F.col("_inside"), 1.0).otherwise(F.col("_near"))
     sigma = F.sqrt(F.greatest(F.lit(0.0), F.col("_square") - F.col("_mean") * F.col("_mean")))
     together = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - sigma / 1.5)) * F.exp(-F.col("_span") / w.tau_align_min)
     agreement = F.when(F.col("_n") == 1, F.lit(w.single)).otherwise(together)
-    total = w.spatial * F.col("spatial") + w.freshness * F.col("freshness") + w.agreement * agreement + w.health * health
-    return parts.select("cafe_id", "spatial", "freshness", agreement.alias("agreement"), total.alias("confidence"))
+    weights = w.spatial + w.freshness + w.agreement + w.health
+    total = (w.spatial * spatial + w.freshness * F.col("freshness") + w.agreement * agreement + w.health * F.col("health")) / weights
+    sufficiency = F.least(F.lit(1.0), F.col("_samples") / w.samples)
+    return parts.select("cafe_id", spatial.alias("spatial"), "freshness", agreement.alias("agreement"), "health", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("confidence"), sufficiency.alias("sufficiency"))
 
 
 def capacity_pressure(demand: Column, area: Column, p: Capacity = Capacity()) -> Column:

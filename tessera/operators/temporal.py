@@ -47,3 +47,19 @@ def nearest_in_time(asked: DataFrame, actual: DataFrame, key: str, target: str,
         pairs = pairs.where(allowed)
     order = Window.partitionBy("_id").orderBy("_gap", at, *(ties or []))
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_b", "_gap")
+
+
+def running_cycle(snapshots: DataFrame, cycles: DataFrame, as_of: Column, longest_h: int = 48) -> DataFrame:
+    """Each snapshot (event_id, fetched_at) with the latest cycle that was running when it was fetched, or null.
+
+    A cycle without an end runs until as_of. Cycles meet snapshots by the
+    hours that they touch; one that never closed would touch all hours, so
+    beyond longest_h hours it counts as broken off.
+    """
+    hour = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 3_600_000_000)
+    end = F.least(F.coalesce(F.col("completed_at"), as_of), F.col("started_at") + F.expr(f"INTERVAL {longest_h} HOUR"))
+    spans = cycles.withColumn("_end", end).where("_end >= started_at").select("cycle_id", "started_at", "_end", F.explode(F.sequence(hour(F.col("started_at")), hour(F.col("_end")))).alias("_h"))
+    rows = snapshots.select("event_id", "fetched_at").withColumn("_h", hour(F.col("fetched_at")))
+    met = rows.join(spans, "_h").where(F.col("fetched_at").between(F.col("started_at"), F.col("_end")))
+    last = met.groupBy("event_id").agg(F.max_by("cycle_id", F.struct("started_at", "cycle_id")).alias("cycle_id"))
+    return snapshots.select("event_id").join(last, "event_id", "left")

@@ -92,3 +92,5 @@ class ConfidenceWeights:
     single: float = 0.5
     tau_align_min: float = 10.0
     partial: float = 0.5
+    skew_min: float = 2.0
+    samples: float = 120.0

@@ -94,11 +94,10 @@ def confidence_v2(spark, sf_dir):
     near = nearest_k(radius_pairs(load(spark, sf_dir, "cafes").select("cafe_id", "lat", "lng"), observations(spark, sf_dir), 1500.0), "cafe_id", "hotspot_id", 3)
     near = near.withColumn("weight", 1.0 / F.pow(F.greatest(F.col("distance_m"), F.lit(50.0)), 2.0))
     last = load(spark, sf_dir, "cycles").orderBy(F.desc("started_at")).limit(1)
-    state = F.when(F.col("failed") == 0, 1.0).when(F.col("saved") > 0, 0.5).otherwise(0.0)
-    h = last.select((F.col("saved") / F.col("targets") * state).alias("health"))
-    rows = near.crossJoin(F.broadcast(h))
-    one = scoring.confidence_v2(rows, now(), F.lit(0.0))
-    return one.crossJoin(F.broadcast(h)).select("cafe_id", F.round(F.col("confidence") + 0.15 * F.col("health"), 6).alias("confidence"))
+    status = F.when(F.col("failed") == 0, "complete").when(F.col("saved") > 0, "partial").otherwise("failed")
+    h = last.select(scoring.cycle_health(F.col("saved"), F.col("targets"), status).alias("health"))
+    made = scoring.confidence_v2(near.crossJoin(F.broadcast(h)), now(), F.col("health"))  # h is one row
+    return made.select("cafe_id", F.round("confidence", 6).alias("confidence"))
 
 
 # forecasts one and two hours ahead of each observation, and targets 45 to 135 minutes ahead

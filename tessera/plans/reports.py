@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import stats
+from tessera.operators import stats, temporal
 from tessera.plans.registry import query, sql_of
 from tessera.sources.adapters import AS_OF, load
 
@@ -111,16 +111,8 @@ def slo_report(spark, sf_dir):
 
 @query("""WITH m AS (SELECT s.event_id, c.cycle_id, row_number() OVER (PARTITION BY s.event_id ORDER BY c.started_at DESC, c.cycle_id DESC) AS rn FROM snapshots s JOIN cycles c ON s.fetched_at BETWEEN c.started_at AND c.completed_at) SELECT s.event_id, m.cycle_id FROM snapshots s LEFT JOIN m ON m.event_id = s.event_id AND m.rn = 1""")
 def cycle_attribution(spark, sf_dir):
-    """Each snapshot's latest cycle that was running when it was fetched; cycles meet it by the hours they touch."""
-    from pyspark.sql import Window
-
-    hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000)
-    cycles = load(spark, sf_dir, "cycles").withColumn("_h", F.explode(F.sequence(hour("started_at"), hour("completed_at"))))
-    snaps = load(spark, sf_dir, "snapshots").select("event_id", "fetched_at").withColumn("_h", hour("fetched_at"))
-    held = (F.col("started_at") <= F.col("fetched_at")) & (F.col("fetched_at") <= F.col("completed_at"))
-    order = Window.partitionBy("event_id").orderBy(F.desc_nulls_last("started_at"), F.desc("cycle_id"))
-    joined = snaps.alias("s").join(cycles, [snaps["_h"] == cycles["_h"], held], "left")
-    return joined.select("event_id", "cycle_id", "started_at").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("event_id", "cycle_id")
+    """Each snapshot's latest cycle that was running when it was fetched."""
+    return temporal.running_cycle(load(spark, sf_dir, "snapshots"), load(spark, sf_dir, "cycles"), F.expr(AS_OF))
 
 
 @query(f"""WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-02-29', INTERVAL 1 DAY)) AS DATE) AS day), h AS (SELECT day, isodow(day) >= 6 OR day IN (DATE '2024-01-01', DATE '2024-02-09', DATE '2024-02-12') AS is_off, day IN (DATE '2024-01-01', DATE '2024-02-09', DATE '2024-02-12') AS holiday FROM d),

@@ -43,16 +43,30 @@ def latest_state(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.max(row).alias("r")).select(key, "r.*")
 
 
-def limited(events: DataFrame, seconds: int, cap: int) -> DataFrame:
-    """Counts by user and bucket of so many seconds, with how many were accepted; no watermark, so nothing is dropped."""
-    return events.groupBy("user_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n", F.least("n", F.lit(cap)).alias("accepted"))
+def limited(events: DataFrame, seconds: int, cap: int, late: str = "1 hour") -> DataFrame:
+    """Counts by user and bucket of so many seconds, with how many were accepted; buckets that ended before the watermark are rejected, and their state goes."""
+    return events.withWatermark("ts", late).groupBy("user_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n", F.least("n", F.lit(cap)).alias("accepted"))
 
 
-def insert_new(target: str, keys: list[str], on_new: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+def on_target(events: DataFrame, wanted: str, found: str) -> DataFrame:
+    """Rows that are about what was asked for; others are answers to another question."""
+    return events.where(F.coalesce(F.col(wanted) == F.col(found), F.lit(False)))
+
+
+def cycle_row(batch: DataFrame, cycle_id: int, targets: int, ok: str) -> DataFrame:
+    """One row about a cycle: targets, saved, failed and status, which is complete, partial or failed; what never came has failed."""
+    n = batch.agg(F.count_if(F.coalesce(F.col(ok), F.lit(False))).alias("saved"))
+    status = F.when(F.col("saved") >= targets, "complete").when(F.col("saved") > 0, "partial").otherwise("failed")
+    return n.select(F.lit(cycle_id).alias("cycle_id"), F.lit(targets).alias("targets"), "saved", F.greatest(F.lit(targets) - F.col("saved"), F.lit(0)).alias("failed"), status.alias("status"))
+
+
+def insert_new(target: str, keys: list[str], on_new: Callable[[DataFrame], None] | None = None, part: str | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends rows whose keys target doesn't hold yet, once for each key.
 
     A batch that is run again after a failure adds nothing twice. on_new gets
-    the target if rows were added, and isn't called otherwise.
+    the target if rows were added, and isn't called otherwise. With part, a
+    column that follows from the keys, such as a day, target is partitioned by
+    it and only the batch's parts are read.
     """
 
     def write(batch: DataFrame, _: int) -> None:
@@ -62,11 +76,15 @@ def insert_new(target: str, keys: list[str], on_new: Callable[[DataFrame], None]
         there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         fresh = batch.dropDuplicates(keys)
         if there:
-            fresh = fresh.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
+            held = spark.read.parquet(target)
+            if part:
+                held = held.where(F.col(part).isin([r[0] for r in batch.select(part).distinct().collect()]))  # a batch's few days
+            fresh = fresh.join(held.select(*keys), keys, "left_anti")
         fresh = fresh.persist()
         try:
             if not fresh.isEmpty():
-                fresh.write.mode("append").parquet(target)
+                writer = fresh.write.mode("append")
+                (writer.partitionBy(part) if part else writer).parquet(target)
                 if on_new:
                     on_new(spark.read.parquet(target))
         finally:

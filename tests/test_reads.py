@@ -118,3 +118,54 @@ def test_serving_tables(spark):
     assert rows[1].source_observed_at == minutes(-5)
     r = materialize.coverage_report(scores).first()
     assert (r.cafes, r.covered, r.fringe, r.uncovered) == (5, 1, 0, 4)
+
+
+def test_cycles_without_an_end(spark):
+    from tessera.operators.temporal import running_cycle
+
+    cycles = spark.createDataFrame([(1, minutes(0), minutes(90)), (2, minutes(30), None), (3, minutes(40), minutes(50)), (4, minutes(-9000), None)], "cycle_id int, started_at timestamp, completed_at timestamp")
+    snaps = spark.createDataFrame([(i, minutes(m)) for i, m in enumerate((-1, 0, 45, 60, 119, 121, -8000, -1000))], "event_id int, fetched_at timestamp")
+    got = {r.event_id: r.cycle_id for r in running_cycle(snaps, cycles, F.lit(minutes(120))).collect()}
+    assert got == {0: None, 1: 1, 2: 3, 3: 2, 4: 2, 5: None, 6: 4, 7: None}
+
+
+def test_confidence_parts(spark):
+    from tessera.operators.scoring import confidence_v2, cycle_health
+
+    rows = [(1, 300.0, 1.0, 2, minutes(-15), False), (2, 1500.0, 3.0, 1, minutes(0), True), (2, 900.0, 1.0, 4, minutes(-10), False)]
+    df = spark.createDataFrame(rows, "cafe_id int, distance_m double, weight double, level int, observed_at timestamp, inside boolean")
+    got = {r.cafe_id: r for r in confidence_v2(df, F.lit(T), F.lit(0.8), samples=F.lit(50)).collect()}
+    import math
+
+    assert got[1].spatial == pytest.approx(0.8) and got[1].agreement == 0.5 and got[1].sufficiency < 1
+    assert got[1].confidence == pytest.approx(0.3 * 0.8 + 0.3 * math.exp(-1) + 0.25 * 0.5 + 0.15 * 0.8)
+    assert got[2].spatial == 1.0 and got[2].agreement == pytest.approx((1 - math.sqrt(0.75 * 0.75**2 + 0.25 * 2.25**2) / 1.5) * math.exp(-1))
+    with pytest.raises(Exception, match="future"):
+        confidence_v2(df.withColumn("observed_at", F.lit(minutes(3))), F.lit(T), F.lit(0.8)).collect()
+    c = spark.createDataFrame([(5, 10, "complete"), (5, 10, "partial"), (5, 10, "failed"), (0, 0, "complete"), (20, 10, "complete")], "s int, t int, k string")
+    assert [r.h for r in c.select(cycle_health(F.col("s"), F.col("t"), F.col("k")).alias("h")).collect()] == [0.5, 0.25, 0.0, 0.0, 1.0]
+
+
+def test_signals_that_a_chain_shares_make_no_pairs(spark):
+    from tessera.operators.entity import two_signals
+
+    a = spark.createDataFrame([(i, "chain", str(i), None) for i in range(50)] + [(99, "x", None, "r")], "place_id int, name string, phone string, road string")
+    b = spark.createDataFrame([(100 + i, "chain", str(i), None) for i in range(50)] + [(199, "x", None, "r"), (198, "x", "p", "r")], "place_id int, name string, phone string, road string")
+    got = {(r.a_id, r.b_id): (r.n_signals, r.status) for r in two_signals(a, b, ["name", "phone", "road"]).collect()}
+    assert got == {**{(i, 100 + i): (2, "verified") for i in range(50)}, (99, 199): (2, "ambiguous"), (99, 198): (2, "ambiguous")}
+
+
+def test_streaming_by_parts(spark, tmp_path):
+    from tessera.streaming.snapshots import cycle_row, insert_new, on_target
+
+    target = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "2024-01-01", "a", "a"), (2, "2024-01-02", "a", "b"), (1, "2024-01-01", "a", "a")], "k int, day string, wanted string, found string")
+    seen = []
+    write = insert_new(target, ["k", "day"], lambda t: seen.append(t.count()), part="day")
+    write(rows, 0)
+    write(rows, 0)
+    write(spark.createDataFrame([(1, "2024-01-02", "a", "a")], rows.schema), 1)
+    assert seen == [2, 3] and sorted(p.name for p in (tmp_path / "t").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]
+    assert on_target(rows, "wanted", "found").count() == 2
+    ok = rows.withColumn("ok", F.col("wanted") == F.col("found"))
+    assert [tuple(cycle_row(ok.limit(n), 7, m, "ok").first()) for n, m in ((3, 2), (3, 4), (0, 1))] == [(7, 2, 2, 0, "complete"), (7, 4, 2, 2, "partial"), (7, 1, 0, 1, "failed")]
