@@ -48,9 +48,9 @@ def weighted_stats(w: Column, x: Column) -> tuple[Column, Column, Column]:
 
 
 def js_distance(df: DataFrame, group: list[str], p: str, q: str) -> DataFrame:
-    """Jensen-Shannon distance of two distributions over each group's rows, by base 2."""
+    """Jensen-Shannon distance of two distributions over each group's rows, by base 2; null if one has no mass."""
     w = Window.partitionBy(*group)
-    a, b = F.col(p) / F.sum(p).over(w), F.col(q) / F.sum(q).over(w)
+    a, b = F.try_divide(F.col(p), F.sum(p).over(w)), F.try_divide(F.col(q), F.sum(q).over(w))
     rows = df.select(*group, a.alias("_a"), b.alias("_b")).withColumn("_m", (F.col("_a") + F.col("_b")) / 2.0)
-    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / F.col("_m"))).otherwise(0.0)
-    return rows.groupBy(*group).agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(part("_a") + part("_b")) / 2.0)).alias("js_distance"))
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / F.col("_m"))).when(F.col(c) == 0, 0.0)
+    return rows.groupBy(*group).agg(F.sqrt(F.when(F.sum(part("_a") + part("_b")) < 0, 0.0).otherwise(F.sum(part("_a") + part("_b")) / 2.0)).alias("js_distance"))

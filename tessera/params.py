@@ -94,3 +94,53 @@ class ConfidenceWeights:
     partial: float = 0.5
     skew_min: float = 2.0
     samples: float = 120.0
+
+
+@dataclass(frozen=True)
+class Promotion:
+    min_spearman: float = 0.50
+    min_adjacent: float = 0.80
+    max_regression: float = 0.0
+
+
+@dataclass(frozen=True)
+class Stability:
+    hours: tuple[int, ...] = (8, 14, 18)
+    net_median: float = 0.80
+    net_least: float = 0.60
+    conditional_median: float = 0.60
+    conditional_least: float = 0.50
+    flow_median: float = 0.85
+    tail: float = 0.10
+    tail_jaccard: float = 0.50
+    purpose_median: float = 0.05
+    purpose_p90: float = 0.10
+    known_share: float = 0.95
+    strength: float = 0.20
+    eligible_share: float = 0.20
+    angle_median: float = 30.0
+    angle_p90: float = 75.0
+    within_45: float = 0.70
+    strength_change: float = 0.10
+
+
+@dataclass(frozen=True)
+class SameDay:
+    hours: tuple[int, ...] = (8, 14, 18)
+    # People assumed in (a masked cell, an absent cell); the first pair is the primary one
+    variants: tuple[tuple[float, float], ...] = ((2.0, 0.0), (0.0, 0.0), (3.0, 0.0), (2.0, 2.0), (2.0, 3.0))
+    code_coverage: float = 0.95
+    cell_jaccard: float = 0.99
+    screening_median: float = 0.30
+    conditional_median: float = 0.20
+    conditional_positive: int = 2
+    rho_range: float = 0.02
+
+
+@dataclass(frozen=True)
+class Repeats:
+    days: int = 3
+    supported_median: float = 0.30
+    conditional_days: int = 2
+    conditional_median: float = 0.20
+    conditional_positive: int = 7

@@ -288,31 +288,6 @@ def permit_profile(spark, sf_dir):
     return load(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("o_custkey").alias("identities"), F.min("o_orderdate").alias("first_update"), F.max("o_orderdate").alias("last_update"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
 
 
-def flow_at(hour, side):
-    return F.sum(F.when(F.col(f"{side}_hour") == hour, F.col("flow")).otherwise(0.0))
-
-
-@query()
-def heldout_repeats(spark, sf_dir):
-    t = by_purpose(spark, sf_dir).agg(flow_at(8, "arrival").alias("a"), flow_at(8, "departure").alias("b"))
-    rho = stats.spearman(t, ["purpose"], "a", "b")
-    return rho.agg(F.count(F.lit(1)).alias("repeats"), F.round(F.median("rho"), 9).alias("middle"), F.round(F.min("rho"), 9).alias("least"), F.count_if(F.col("rho") > 0).alias("positive"))
-
-
-@query()
-def od_stability(spark, sf_dir):
-    part = lambda c: F.sum(F.when(c, F.col("flow")).otherwise(0.0))
-    f = load(spark, sf_dir, "od_flows").where("arrival_hour IN (8, 14, 18)")
-    t = f.groupBy("destination_id", F.col("arrival_hour").alias("hour")).agg(part(F.col("purpose") <= 3).alias("a"), part(F.col("purpose") > 3).alias("b"))
-    return stats.spearman(t, ["hour"], "a", "b").withColumn("rho", F.round("rho", 9))
-
-
-@query()
-def stock_flow_screen(spark, sf_dir):
-    f = load(spark, sf_dir, "od_flows").groupBy("destination_id").agg(flow_at(8, "arrival").alias("net"), (flow_at(9, "arrival") - flow_at(7, "arrival")).alias("change"))
-    return stats.spearman(f.withColumn("all", F.lit(1)), ["all"], "net", "change").select(F.col("n").alias("zones"), F.round("rho", 9).alias("rho"))
-
-
 @query()
 def strata_grouping_sets(spark, sf_dir):
     s = load(spark, sf_dir, "snapshots").select((F.col("hotspot_id") % 4).cast("int").alias("part"), F.col("observed_at").cast("date").alias("day"), "level")

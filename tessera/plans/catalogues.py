@@ -107,7 +107,3 @@ sql_of("line_segments", "SELECT DISTINCT least(l_partkey % 40, l_suppkey % 40) A
 sql_of("field_worksheet", "SELECT slot, cafe_id, CAST((row_number() OVER (PARTITION BY slot ORDER BY cafe_id, observed_at) - 1) % 3 AS INT) AS rotation FROM truths")
 sql_of("display_refresh", "SELECT a.place_id, a.norm_name <> b.norm_name AS name_changed, coalesce(a.phone, '') <> coalesce(b.phone, '') AS phone_changed, round(abs(a.lat - b.lat) * 111320, 3) AS moved_m FROM catalogue_a a JOIN catalogue_b b ON b.place_id = a.place_id + 1000000 WHERE a.norm_name <> b.norm_name OR coalesce(a.phone, '') <> coalesce(b.phone, '') OR abs(a.lat - b.lat) > 1e-12")
 sql_of("permit_profile", "SELECT o_orderstatus AS status, count(*) AS records, count(DISTINCT o_custkey) AS identities, min(o_orderdate) AS first_update, max(o_orderdate) AS last_update, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM orders GROUP BY o_orderstatus")
-sql_of("heldout_repeats", """WITH t AS (SELECT destination_id AS zone_id, purpose, sum(CASE WHEN arrival_hour = 8 THEN flow ELSE 0 END) AS a, sum(CASE WHEN departure_hour = 8 THEN flow ELSE 0 END) AS b FROM od_flows GROUP BY destination_id, purpose),
-r AS (SELECT purpose, rank() OVER (PARTITION BY purpose ORDER BY a) + (count(*) OVER (PARTITION BY purpose, a) - 1) / CAST(2 AS DOUBLE) AS x, rank() OVER (PARTITION BY purpose ORDER BY b) + (count(*) OVER (PARTITION BY purpose, b) - 1) / CAST(2 AS DOUBLE) AS y FROM t),
-k AS (SELECT purpose, (count(*) * sum(x * y) - sum(x) * sum(y)) / sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) * (count(*) * sum(y * y) - sum(y) * sum(y))) AS rho FROM r GROUP BY purpose)
-SELECT count(*) AS repeats, round(median(rho), 9) AS middle, round(min(rho), 9) AS least, CAST(sum(CASE WHEN rho > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM k""")

@@ -18,11 +18,11 @@ def od_net_flow(spark, sf_dir):
     return flows.net_flow(load(spark, sf_dir, "od_flows"))
 
 
-@query("""WITH f AS (SELECT origin_id, destination_id, departure_hour AS hour, sum(flow) AS flow FROM od_flows WHERE origin_id <> destination_id GROUP BY 1, 2, 3),
+@query("""WITH f AS (SELECT origin_id, destination_id, arrival_hour AS hour, sum(flow) AS flow FROM od_flows WHERE origin_id <> destination_id GROUP BY 1, 2, 3),
 v AS (SELECT a.zone_id AS origin_id, b.zone_id AS destination_id, sin(radians(b.lng - a.lng)) * cos(radians(b.lat)) AS e, cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng - a.lng)) AS n FROM od_centroids a CROSS JOIN od_centroids b),
 u AS (SELECT origin_id, destination_id, e / sqrt(e * e + n * n) AS e, n / sqrt(e * e + n * n) AS n FROM v WHERE sqrt(e * e + n * n) > 7.2e-15),
-g AS (SELECT f.origin_id AS zone_id, hour, sum(flow) AS eligible, sum(CASE WHEN u.e IS NOT NULL THEN flow ELSE 0 END) AS known, sum(CASE WHEN u.e IS NOT NULL THEN flow * u.e ELSE 0 END) AS e, sum(CASE WHEN u.n IS NOT NULL THEN flow * u.n ELSE 0 END) AS n FROM f LEFT JOIN u ON u.origin_id = f.origin_id AND u.destination_id = f.destination_id GROUP BY f.origin_id, hour)
-SELECT zone_id, hour, eligible, round(known / eligible, 9) AS coverage, round(CASE WHEN known > 0 THEN sqrt(e * e + n * n) / known END, 9) AS strength,
+g AS (SELECT f.destination_id AS zone_id, hour, sum(flow) AS eligible, sum(CASE WHEN u.e IS NOT NULL THEN flow ELSE 0 END) AS known, sum(CASE WHEN u.e IS NOT NULL THEN flow * u.e ELSE 0 END) AS e, sum(CASE WHEN u.n IS NOT NULL THEN flow * u.n ELSE 0 END) AS n FROM f LEFT JOIN u ON u.origin_id = f.origin_id AND u.destination_id = f.destination_id GROUP BY f.destination_id, hour)
+SELECT zone_id, hour, eligible, round(known / eligible, 9) AS coverage, round(CASE WHEN known > 0 THEN least(1, sqrt(e * e + n * n) / known) END, 9) AS strength,
   round(CASE WHEN known > 0 AND sqrt(e * e + n * n) / known > 1e-9 THEN CASE WHEN atan2(e, n) < 0 THEN degrees(atan2(e, n)) + 360 ELSE degrees(atan2(e, n)) END END, 6) AS bearing FROM g""")
 def od_direction(spark, sf_dir):
     d = flows.direction(load(spark, sf_dir, "od_flows"), load(spark, sf_dir, "od_centroids"))

@@ -268,17 +268,6 @@ def evaluation_by_slot(spark, sf_dir):
     return evaluated(spark, sf_dir).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), share(F.col("level") == truth).alias("exact_share"), share(F.abs(F.col("level") - truth) <= 1).alias("adjacent_share"), F.round(F.avg(F.abs(F.col("score") - truth)), 6).alias("mae"))
 
 
-@query(f"""WITH {EVAL}, p AS (SELECT slot, truth, level, 2 AS challenger FROM j), g AS (SELECT count(*) AS n, avg(CASE WHEN abs(level - truth) <= 1 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS a, avg(CASE WHEN abs(challenger - truth) <= 1 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS b FROM p)
-SELECT n, round(b - a, 9) AS gain, n >= 30 AS enough, b >= 0.8 AS accurate, b >= a AS no_regression, n >= 30 AND b >= 0.8 AND b >= a AS promoted FROM g""")
-def promotion_gate(spark, sf_dir):
-    """Whether a challenger that always says level 2 may replace the score: all checks have to pass."""
-    near = lambda c: F.avg(F.when(F.abs(c - F.col("observed_area_level")) <= 1, 1.0).otherwise(0.0))
-    g = evaluated(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), near(F.col("level")).alias("a"), near(F.lit(2)).alias("b"))
-    checks = {"enough": F.col("n") >= 30, "accurate": F.col("b") >= 0.8, "no_regression": F.col("b") >= F.col("a")}
-    g = g.withColumns(checks)
-    return g.select("n", F.round(F.col("b") - F.col("a"), 9).alias("gain"), *checks, (F.col("enough") & F.col("accurate") & F.col("no_regression")).alias("promoted"))
-
-
 @query("""WITH e AS (SELECT event_id, value, event_type = 'error' AS obstructed FROM events) SELECT event_id, CAST(CASE WHEN obstructed THEN 4 WHEN value < 5 THEN 1 WHEN value < 15 THEN 2 WHEN value < 30 THEN 3 ELSE 4 END AS INT) AS derived_level FROM e""")
 def observation_level(spark, sf_dir):
     v = F.col("value")
@@ -292,9 +281,3 @@ sql_of("is_open", "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority IS
 sql_of("link_precedence", "SELECT c.cafe_id, CASE WHEN b.place_id IS NOT NULL AND b.phone IS NULL THEN NULL WHEN b.place_id IS NOT NULL THEN concat('row:', b.phone) ELSE concat('json:', c.name) END AS link FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000")
 sql_of("changed_fields", "SELECT CAST(sum(CASE WHEN a.norm_name <> b.norm_name THEN 1 ELSE 0 END) AS BIGINT) AS names, CAST(sum(CASE WHEN coalesce(a.phone, '') <> coalesce(b.phone, '') THEN 1 ELSE 0 END) AS BIGINT) AS phones, CAST(sum(CASE WHEN abs(a.lat - b.lat) > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS places FROM catalogue_a a JOIN catalogue_b b ON b.place_id = a.place_id + 1000000")
 sql_of("catalog_gap_report", "SELECT origin_provider, count(*) AS places, count(b.place_id) AS linked, CAST(ceil((count(*) - count(b.place_id)) / CAST(50 AS DOUBLE)) AS INT) AS batches FROM cafes c LEFT JOIN catalogue_b b ON b.place_id = c.cafe_id + 1000000 WHERE c.active GROUP BY origin_provider")
-sql_of("od_stability", """WITH t AS (SELECT destination_id AS zone_id, arrival_hour AS hour, sum(CASE WHEN purpose <= 3 THEN flow ELSE 0 END) AS a, sum(CASE WHEN purpose > 3 THEN flow ELSE 0 END) AS b FROM od_flows WHERE arrival_hour IN (8, 14, 18) GROUP BY destination_id, arrival_hour),
-r AS (SELECT hour, rank() OVER (PARTITION BY hour ORDER BY a) + (count(*) OVER (PARTITION BY hour, a) - 1) / CAST(2 AS DOUBLE) AS x, rank() OVER (PARTITION BY hour ORDER BY b) + (count(*) OVER (PARTITION BY hour, b) - 1) / CAST(2 AS DOUBLE) AS y FROM t)
-SELECT hour, count(*) AS n, round((count(*) * sum(x * y) - sum(x) * sum(y)) / sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) * (count(*) * sum(y * y) - sum(y) * sum(y))), 9) AS rho FROM r GROUP BY hour""")
-sql_of("stock_flow_screen", """WITH f AS (SELECT destination_id AS zone_id, sum(CASE WHEN arrival_hour = 8 THEN flow ELSE 0 END) AS net, sum(CASE WHEN arrival_hour = 9 THEN flow ELSE 0 END) - sum(CASE WHEN arrival_hour = 7 THEN flow ELSE 0 END) AS change FROM od_flows GROUP BY destination_id),
-r AS (SELECT rank() OVER (ORDER BY net) + (count(*) OVER (PARTITION BY net) - 1) / CAST(2 AS DOUBLE) AS x, rank() OVER (ORDER BY change) + (count(*) OVER (PARTITION BY change) - 1) / CAST(2 AS DOUBLE) AS y FROM f)
-SELECT count(*) AS zones, round((count(*) * sum(x * y) - sum(x) * sum(y)) / sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) * (count(*) * sum(y * y) - sum(y) * sum(y))), 9) AS rho FROM r""")

@@ -33,6 +33,20 @@ ADAPTERS = {
   CAST(1 + l_partkey % 7 AS INT) AS purpose, CAST(l_quantity AS DOUBLE) AS flow
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer c ON c.c_custkey = o_custkey JOIN supplier s ON s.s_suppkey = l_suppkey""",
+    "dated_flows": """SELECT CASE l_partkey % 5 WHEN 0 THEN DATE '2024-01-02' WHEN 1 THEN DATE '2024-01-09' WHEN 2 THEN DATE '2024-01-16'
+    WHEN 3 THEN DATE '2024-01-23' ELSE DATE '2024-01-27' END AS observed_date, c.c_nationkey AS origin_id, s.s_nationkey AS destination_id,
+  CAST(CASE l_orderkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 14 ELSE 18 END AS INT) AS departure_hour,
+  CAST(CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 8 WHEN 1 THEN 14 ELSE 18 END AS INT) AS arrival_hour,
+  CAST(1 + (l_partkey + l_linenumber) % 7 AS INT) AS purpose, CAST(l_quantity AS DOUBLE) AS flow
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer c ON c.c_custkey = o_custkey JOIN supplier s ON s.s_suppkey = l_suppkey""",
+    "cell_stock": """SELECT observed_date, zone_id, cell_id, hour, (zone_id * 31 + cell_id * 7 + hour) % 11 = 0 AS masked,
+  CASE WHEN (zone_id * 31 + cell_id * 7 + hour) % 11 = 0 THEN NULL ELSE sum(quantity) END AS population
+  FROM (SELECT observed_date, zone_id, cell_id, quantity, CAST(CASE WHEN i < 3 THEN 7 + i WHEN i < 6 THEN 10 + i ELSE 11 + i END AS INT) AS hour
+    FROM (SELECT CASE l_partkey % 5 WHEN 0 THEN DATE '2024-01-02' WHEN 1 THEN DATE '2024-01-09' WHEN 2 THEN DATE '2024-01-16'
+    WHEN 3 THEN DATE '2024-01-23' ELSE DATE '2024-01-27' END AS observed_date, CAST(l_orderkey % 25 AS INT) AS zone_id, CAST((l_orderkey + l_suppkey % 4) % 25 AS INT) AS cell_id,
+      (CAST(floor(l_orderkey / 25) AS BIGINT) + l_linenumber) % 9 AS i, CAST(l_quantity AS DOUBLE) AS quantity FROM lineitem) h) r
+  GROUP BY observed_date, zone_id, cell_id, hour""",
     "od_centroids": """SELECT n_nationkey AS zone_id, n_name AS name,
   37.43 + CAST((n_nationkey * 7) % 25 AS DOUBLE) * 0.011 AS lat,
   126.80 + CAST((n_nationkey * 11) % 25 AS DOUBLE) * 0.015 AS lng FROM nation WHERE n_nationkey % 12 <> 11""",

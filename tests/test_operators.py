@@ -85,13 +85,13 @@ def test_kappa_needs_two_levels(spark):
 
 
 def test_opposite_flows_cancel(spark):
-    f = spark.createDataFrame([(1, 2, 8, 9, 3.0), (1, 3, 8, 9, 3.0), (1, 1, 8, 9, 5.0), (4, 1, 8, 9, 1.0)], "origin_id int, destination_id int, departure_hour int, arrival_hour int, flow double")
+    f = spark.createDataFrame([(2, 1, 8, 9, 3.0), (3, 1, 8, 9, 3.0), (1, 1, 8, 9, 5.0), (1, 4, 8, 9, 1.0)], "origin_id int, destination_id int, departure_hour int, arrival_hour int, flow double")
     c = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 0.0, -1.0)], "zone_id int, lat double, lng double")
     got = {r.zone_id: r for r in flows.direction(f, c).collect()}
     assert got[1].strength == pytest.approx(0.0, abs=1e-12) and got[1].bearing is None and got[1].coverage == 1.0
     assert got[4].coverage == 0.0 and got[4].strength is None
     net = {(r.zone_id, r.hour): (r.inbound, r.outbound, r.net, r.intrazonal) for r in flows.net_flow(f).collect()}
-    assert net[(1, 9)] == (6.0, 0.0, 6.0, 5.0) and net[(1, 8)] == (0.0, 11.0, -11.0, 0.0)
+    assert net[(1, 9)] == (11.0, 0.0, 11.0, 5.0) and net[(1, 8)] == (0.0, 6.0, -6.0, 0.0)
 
 
 def test_baseline_excludes_the_cutoff_and_shrinks(spark):
