@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.spatial import radius_pairs
 
+# Fixed value: the radius that clusters are measured with
+RADIUS_M = 6_371_000.0
+
 
 def cluster_stops(stops: DataFrame, near_m: float = 350.0) -> DataFrame:
     """Adds station_id to stops (stop_id, name, lat, lng): the least stop_id linked by steps up to near_m within a name.
@@ -19,7 +21,8 @@ def cluster_stops(stops: DataFrame, near_m: float = 350.0) -> DataFrame:
     """
 
     def group(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("stop_id").reset_index(drop=True)
+        f = f.sort_values(["lat", "stop_id"]).reset_index(drop=True)
+        ids, lat, lng = f["stop_id"].to_numpy(), np.radians(f["lat"].to_numpy(float)), np.radians(f["lng"].to_numpy(float))
         root = list(range(len(f)))
 
         def find(i: int) -> int:
@@ -28,14 +31,17 @@ def cluster_stops(stops: DataFrame, near_m: float = 350.0) -> DataFrame:
                 i = root[i]
             return i
 
+        # only stops in a band of latitude can be near; a little wider than the bound, as rounding may differ
+        first = np.searchsorted(lat, lat - near_m / RADIUS_M * (1 + 1e-9) - 1e-12)
         for i in range(len(f)):
-            for j in range(i):
-                a, b = f.loc[i], f.loc[j]
-                h = math.sin(math.radians(a.lat - b.lat) / 2) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(math.radians(a.lng - b.lng) / 2) ** 2
-                if 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(h))) <= near_m:
-                    x, y = sorted((find(i), find(j)))
+            band = slice(first[i], i)
+            h = np.sin((lat[band] - lat[i]) / 2) ** 2 + np.cos(lat[band]) * np.cos(lat[i]) * np.sin((lng[band] - lng[i]) / 2) ** 2
+            for j in first[i] + np.flatnonzero(2 * RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= near_m):
+                x, y = find(i), find(int(j))
+                if x != y:
+                    x, y = (x, y) if ids[x] < ids[y] else (y, x)
                     root[y] = x
-        f["station_id"] = [int(f.loc[find(i), "stop_id"]) for i in range(len(f))]
+        f["station_id"] = [int(ids[find(i)]) for i in range(len(f))]
         return f[["stop_id", "name", "lat", "lng", "station_id"]]
 
     return stops.select("stop_id", "name", "lat", "lng").groupBy("name").applyInPandas(group, "stop_id bigint, name string, lat double, lng double, station_id bigint")

@@ -247,11 +247,11 @@ def exit_links(spark, sf_dir):
     return stations.link_exits(exits, places).select("exit_id", "station_id")
 
 
-@query("""WITH d AS (SELECT unnest(range(0, 9)) AS depth), c AS (SELECT CAST(depth AS INT) AS depth, CAST(least(pow(2, depth) - 1, floor((lat - CAST(37.41 AS DOUBLE)) / (CAST(37.72 AS DOUBLE) - CAST(37.41 AS DOUBLE)) * pow(2, depth))) AS BIGINT) AS qy, CAST(least(pow(2, depth) - 1, floor((lng - CAST(126.76 AS DOUBLE)) / (CAST(127.20 AS DOUBLE) - CAST(126.76 AS DOUBLE)) * pow(2, depth))) AS BIGINT) AS qx FROM cafes CROSS JOIN d WHERE lng BETWEEN 126.76 AND 127.20 AND lat BETWEEN 37.41 AND 37.72),
+@query("""WITH d AS (SELECT unnest(range(0, 15)) AS depth), c AS (SELECT CAST(depth AS INT) AS depth, CAST(least(pow(2, depth) - 1, floor((lat - CAST(37.41 AS DOUBLE)) / (CAST(37.72 AS DOUBLE) - CAST(37.41 AS DOUBLE)) * pow(2, depth))) AS BIGINT) AS qy, CAST(least(pow(2, depth) - 1, floor((lng - CAST(126.76 AS DOUBLE)) / (CAST(127.20 AS DOUBLE) - CAST(126.76 AS DOUBLE)) * pow(2, depth))) AS BIGINT) AS qx FROM cafes CROSS JOIN d WHERE lng BETWEEN 126.76 AND 127.20 AND lat BETWEEN 37.41 AND 37.72),
 n AS (SELECT depth, qy, qx, count(*) AS n FROM c GROUP BY depth, qy, qx)
-SELECT a.depth, a.qy, a.qx, a.n, a.n > 45 AS capped FROM n a LEFT JOIN n b ON b.depth = a.depth - 1 AND b.qy = a.qy // 2 AND b.qx = a.qx // 2 WHERE (a.depth = 0 OR b.n > 45) AND (a.n <= 45 OR a.depth = 8)""")
+SELECT a.depth, a.qy, a.qx, a.n, a.n > 45 AS capped FROM n a LEFT JOIN n b ON b.depth = a.depth - 1 AND b.qy = a.qy // 2 AND b.qx = a.qx // 2 WHERE (a.depth = 0 OR b.n > 45) AND (a.n <= 45 OR a.depth = 14)""")
 def quadtree_sweep(spark, sf_dir):
-    return sweep.sweep(load(spark, sf_dir, "cafes"), (126.76, 37.41, 127.20, 37.72), 45, 8)
+    return sweep.sweep(load(spark, sf_dir, "cafes"), (126.76, 37.41, 127.20, 37.72), 45, 14)
 
 
 EVAL = f"""{SCORES}, j AS (SELECT t.slot, t.observed_area_level AS truth, s.level, s.score FROM truths t JOIN scores s ON s.cafe_id = t.cafe_id WHERE s.score IS NOT NULL)"""
