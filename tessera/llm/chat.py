@@ -8,6 +8,8 @@ joined under a template that marks turns, with a mask over assistant text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +43,35 @@ def two_lines(role: Column) -> Column:
     return F.array_join(F.transform(F.split(role, r"\\\\"), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def flatten(parts: Column) -> tuple[Column, Column]:
     """The visitor: the text of parts with placeholders, and the parts behind the placeholders.
 
     A part of type text, or without a type, is text; letter case is ignored.
-    KINDS have placeholders of their own and any other type shows as OTHER, so
-    that no type can spell a control string. Null text is empty, a null list
-    has no parts.
+    Text parts that follow each other are one text before it is escaped, so
+    that no control string comes about where they join. KINDS have
+    placeholders of their own and any other type shows as OTHER, so that no
+    type can spell a control string. Null text is empty, a null list or part
+    has no text.
     """
     is_text = lambda p: F.lower(F.coalesce(p.type, F.lit("text"))) == "text"
     mark = lambda p: F.when(F.lower(p.type).isin(*KINDS), F.lower(p.type)).otherwise(OTHER)
-    shown = lambda p: F.when(is_text(p), escape(F.coalesce(p.text, F.lit("")))).otherwise(F.concat(F.lit("<|"), mark(p), F.lit("|>")))
     parts = F.coalesce(parts, F.from_json(F.lit("[]"), f"array<{PART}>"))
-    return F.array_join(F.transform(parts, shown), ""), F.filter(parts, lambda p: ~is_text(p))
+    # 1-based places of parts that aren't text, between 0 and one past the last
+    places = F.concat(F.array(F.lit(0)), F.filter(F.transform(parts, lambda p, i: F.when(~is_text(p), i + 1)), lambda i: i.isNotNull()), F.array(F.size(parts) + 1))
+
+    def run(x: Column, at: Column) -> Column:
+        begin = F.get(x.places, at)
+        text = F.array_join(F.transform(F.slice(x.parts, begin + 1, F.get(x.places, at + 1) - begin - 1), lambda p: F.coalesce(p.text, F.lit(""))), "")
+        before = F.when(begin > 0, F.concat(F.lit("<|"), mark(F.get(x.parts, begin - 1)), F.lit("|>"))).otherwise("")
+        return F.concat(before, escape(text))
+
+    shown = let(F.struct(parts.alias("parts"), places.alias("places")), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.size(x.places) - 2), lambda at: run(x, at)), ""))
+    return shown, F.filter(parts, lambda p: ~is_text(p))
 
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.names import set_aside
 from tessera.llm.store import cut, table
 
 # The rules of the query (host, path, verdict).
@@ -83,19 +84,26 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = R
     The verdict is the rule's or, without one, block where the score lies
     below the threshold. URLs without characters, null ones, and all URLs if
     rules accept or reject none, are allowed. Equal URLs count once in the
-    models and get equal scores; columns of df with these names are replaced.
+    models and get equal scores. Columns of df with the names of those added
+    are replaced, without regard to letter case; url must not be one
+    of them, nor have the name of an own column (ValueError).
+    An URL of any length is scored whole, as one row for each character while
+    it is.
     """
-    names = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    ruled = add_rule(df.select(*names), url, rules)
-    distinct = cut(ruled.select(F.col(url).alias("_url"), F.col("_by_rule").alias("_v")).where("_url IS NOT NULL").distinct())
+    added = ["host", "path", "rule", "verdict", "score"]
+    if url.lower() in {*added, "_url", "_by_rule", "_limit", "_of"}:
+        raise ValueError("name the column of URLs otherwise")
+    safe, back = set_aside(df.select(*(c for c in df.columns if c.lower() not in added)), "_url", "_by_rule", "_limit", "_of")
+    ruled = add_rule(safe.withColumn("_of", F.col(url)), "_of", rules)
+    distinct = cut(ruled.select(F.col("_of").alias("_url"), F.col("_by_rule").alias("_v")).where("_url IS NOT NULL").distinct())
     model = cut(gram_scores(distinct, "_url", F.col("_v") == "allow", F.col("_v") == "block"))
     scored = grams(distinct, "_url").join(F.broadcast(model), "gram").groupBy("_url", "_v").agg(F.avg("score").alias("score"))
     scores = cut(scored)
     mean = lambda v: F.avg(F.when(F.col("_v") == v, F.col("score")))
     limit = scores.agg(((mean("allow") + mean("block")) / 2).alias("_limit"))
-    joined = ruled.join(scores.drop("_v"), F.col(url) == F.col("_url"), "left").crossJoin(F.broadcast(limit))  # one row
+    joined = ruled.join(scores.drop("_v"), F.col("_of") == F.col("_url"), "left").crossJoin(F.broadcast(limit))  # one row
     verdict = F.coalesce("_by_rule", F.when(F.col("score") < F.col("_limit"), "block").otherwise("allow"))
-    return joined.withColumn("verdict", verdict).select(*names, "host", "path", "rule", "verdict", "score")
+    return back(joined.withColumn("verdict", verdict).select(*safe.columns, *added))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
