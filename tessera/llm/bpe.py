@@ -16,7 +16,6 @@ removals and kept once they are known.
 from __future__ import annotations
 
 import json
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -25,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm.batches import slices
 from tessera.llm.store import table
@@ -226,41 +226,37 @@ class Model:
         self.vocab = dict(model["vocab"])
         self.automaton = Automaton(self.vocab, [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        #: The file without its vocabulary: how the library splits text.
+        self.splitter = json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}})
         self.labels = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
 
     def start(self) -> None:
         """Prepares what a worker needs besides the tables."""
         self.encoder = Encoder(self.automaton, self.word_end)
-        self.split = regex.compile(self.pattern).findall
-        self.letters = byte_letters()
+        self.library = Tokenizer.from_str(self.splitter)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if self.specials else lambda t: [t]
         self.odd = regex.compile("[\x1c-\x1f]").search
         self.words = Known(self.word, KEPT)
         self.pieces = Known(self.piece, KEPT_PIECES)
 
     def word(self, word: str) -> bytes:
-        """Ids of a word after splitting, as 32-bit numbers."""
-        plain = word.isascii() and word.isalpha()
-        return array("i", self.encoder.encode(word if plain else "".join(self.letters[b] for b in word.encode()))).tobytes()
+        """Ids of a word after splitting, in the letters of its bytes, as 32-bit numbers."""
+        return array("i", self.encoder.encode(word)).tobytes()
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece of text between white space."""
-        # most pieces are letters and at most one sign after them, and need no pattern
+        # most pieces are letters and at most one sign after them; their letters are their bytes
         body, sign = (piece[:-1], piece[-1]) if piece[-1] in ",.;:!?" else (piece, "")
-        if body.isascii() or ("Σ" not in body and unicodedata.is_normalized("NFC", body)):
+        if body.isascii() and body.isalpha():
             low = body.lower()
-            if low.isalpha():
-                return self.words[low] + self.words[sign] if sign else self.words[low]
+            return self.words[low] + self.words[sign] if sign else self.words[low]
         out = []
         for part in self.cut(piece):
             if part in self.specials:
                 out.append(array("i", [self.specials[part]]).tobytes())
-                continue
-            # one letter at a time: the form of a letter doesn't depend on its place here
-            low = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
-            out += map(self.words.__getitem__, self.split(low))
+            elif part:  # the library's own tables say what is a letter and which is its lower case
+                low = self.library.normalizer.normalize_str(part)
+                out += [self.words[word] for word, _ in self.library.pre_tokenizer.pre_tokenize_str(low)]
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -285,7 +281,7 @@ def load(path: str | None = None) -> Model:
 def encode(df: DataFrame, model: Model, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the array<int> column out, the token ids of the whole text.
 
-    A null or empty text has no ids. The tables go to each executor once;
+    A null or empty text has no ids. A column named out is replaced. The tables go to each executor once;
     their size follows the model file, not the data.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -308,17 +304,17 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
     """Adds the string column out: the arcs' labels, joined by a space.
 
     This is how a model file without a decoder is decoded. Word ends and
-    special tokens are kept; null or empty ids give an empty text and ids
-    without a label are left out.
+    special tokens are kept; null or empty ids give an empty text, and null ids
+    and those without a label are left out. A column named out is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model.labels)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        label = shared.value.__getitem__
+        label = shared.value.get
         for rows in slices(batches):
-            flat, ends = rows.flatten().to_numpy(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy())
-            yield pa.array([" ".join(map(label, part.tolist())) for part in np.split(flat, ends[:-1])] if len(rows) else [], pa.string())
+            flat, ends = rows.flatten().fill_null(-1).to_numpy(), np.cumsum(rows.value_lengths().fill_null(0).to_numpy())
+            yield pa.array([" ".join(t for i in part.tolist() if (t := label(i)) is not None) for part in np.split(flat, ends[:-1])] if len(rows) else [], pa.string())
 
     return df.withColumn(out, run(F.col(ids)))
 

@@ -270,3 +270,21 @@ def test_very_long_texts():
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in [" " * 1_500_000, "a" + " " * 120_000 + "bc \n" + "\n" * 20_000 + "d", "\t" * 60_000 + "x" * 60_000, " " * 200_000 + "<|endoftext|> a"]:
         assert np.frombuffer(m.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_every_code_point_as_in_the_library(model):
+    """What is a letter, a number or lower case follows the library's own tables, of whatever Unicode version."""
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        # each beside a letter and alone; runs that differ show which
+        texts = [" ".join(f"a{chr(c)}B{chr(c)} {chr(c)}" for c in points[i : i + 256]) for i in range(at, min(at + 4096, len(points)), 256)]
+        want = lib.encode_batch(texts, add_special_tokens=False)
+        for text, w in zip(texts, want):
+            assert np.frombuffer(model.encode(text), np.int32).tolist() == w.ids, hex(ord(text[1]))
+
+
+def test_ids_without_a_label_are_left_out(spark, model):
+    df = spark.createDataFrame([([320, 999_999, None, 320],), ([],), (None,)], "ids array<int>")
+    a = model.labels[320]
+    assert [r.decoded for r in bpe.decode(df, model).collect()] == [f"{a} {a}", "", ""]
