@@ -13,7 +13,7 @@ go, and so on with what is left. So each line that goes is one word apart
 from a line that stays, and no two lines that stay are.
 
 Two steps come before, both exact. Equal lines are one class, found by an
-aggregation. And only lines that share their first or last half with another
+aggregation over 128 bits of hashes. And only lines that share their first or last half with another
 enter the join: one edit leaves one of the halves whole.
 """
 
@@ -113,7 +113,7 @@ def explode_lines(bounds: Bounds):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, ids, nos, sizes, wholes, half = [], [], [], [], [], []
+            keys, ids, nos, wholes, checks, half = [], [], [], [], [], []
             for k, d, text in zip(*(batch.column(i) for i in range(3))):
                 raw = (text.as_py() or "").encode()
                 lines = [(no, w) for no, line in enumerate(raw.split(b"\n")) if len(w := line.split()) >= bounds.min_words]
@@ -123,24 +123,25 @@ def explode_lines(bounds: Bounds):
                 ids += [d.as_py()] * len(lines)
                 for no, words in lines:
                     nos.append(no)
-                    sizes.append(len(words))
-                    wholes.append(signed(xxhash.xxh64_intdigest(b" ".join(words), 7)))
+                    joined = b" ".join(words)
+                    wholes.append(signed(xxhash.xxh64_intdigest(joined, 7)))
+                    checks.append(signed(xxhash.xxh64_intdigest(joined, 11)))
                     half.append(halves(words) if len(words) >= bounds.near_words else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(sizes, pa.int32()), pa.array(wholes, pa.int64()), pa.array(half, pa.list_(pa.int64()))],
-                names=["_k", "doc_id", "line_no", "n_words", "whole", "halves"],
+                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(wholes, pa.int64()), pa.array(checks, pa.int64()), pa.array(half, pa.list_(pa.int64()))],
+                names=["_k", "doc_id", "line_no", "h1", "h2", "halves"],
             )
 
     return run
 
 
 def take_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (_k, text, line_no, whole, doc_id), the last three arrays: a row for each line named."""
+    """For mapInArrow over (_k, doc_id, text, line_no, whole), the last two arrays: a row for each line named."""
     for batch in batches:
         rows = []
-        for k, text, nos, wholes, ids in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for k, d, text, nos, wholes in zip(*(batch.column(i).to_pylist() for i in range(5))):
             lines = text.split("\n")
-            rows += [(w, d, k, no, lines[no]) for no, w, d in zip(nos, wholes, ids)]
+            rows += [(w, d, k, no, lines[no]) for no, w in zip(nos, wholes)]
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["whole", "doc_id", "_k", "line_no", "line"])
 
@@ -307,16 +308,18 @@ def find(df: DataFrame, bounds: Bounds = BOUNDS) -> DataFrame:
     fate. A null text has no lines.
     """
     docs = df.select(F.xxhash64("doc_id", "text").alias("_k"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("text"))
-    lines = cut(docs.mapInArrow(explode_lines(bounds), "_k bigint, doc_id bigint, line_no int, n_words int, whole bigint, halves array<bigint>"))
+    lines = cut(docs.mapInArrow(explode_lines(bounds), "_k bigint, doc_id bigint, line_no int, h1 bigint, h2 bigint, halves array<bigint>"))
     when = F.struct("doc_id", "_k", "line_no")
-    classes = cut(lines.groupBy("whole").agg(F.min(when).alias("first"), F.max(when).alias("last"), F.first("halves").alias("halves")))
+    # a class is a line by 128 bits of hashes; once written, its number names it
+    classes = lines.groupBy("h1", "h2").agg(F.min(when).alias("first"), F.max(when).alias("last"), F.first("halves").alias("halves"))
+    classes = cut(classes.withColumn("whole", F.monotonically_increasing_id()))
 
     half = cut(classes.where("halves IS NOT NULL").select("whole", F.explode("halves").alias("half")))
     shared = cut(half.groupBy("half").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("half"))
     suspects = cut(half.join(shared, "half", "left_semi").select("whole").distinct())
     places = classes.join(suspects, "whole", "left_semi").select("whole", "first.*")
-    by_doc = cut(places.groupBy("_k").agg(F.collect_list(F.struct("line_no", "whole", "doc_id")).alias("at")))  # lines of one document
-    texts = docs.select("_k", "text").hint("merge").join(by_doc, "_k").select("_k", "text", "at.line_no", "at.whole", "at.doc_id")
+    by_doc = cut(places.groupBy("_k", "doc_id").agg(F.collect_list(F.struct("line_no", "whole")).alias("at")))  # lines of one document
+    texts = docs.hint("merge").join(by_doc, ["_k", "doc_id"]).select("_k", "doc_id", "text", "at.line_no", "at.whole")
     held = cut(texts.mapInArrow(take_lines, "whole bigint, doc_id bigint, _k bigint, line_no int, line string"))
 
     keys = held.mapInArrow(spell, "variant bigint, place int, whole bigint, doc_id bigint, _k bigint, line_no bigint")
@@ -330,8 +333,8 @@ def find(df: DataFrame, bounds: Bounds = BOUNDS) -> DataFrame:
     groups = verified(met, held)
     near = settle(groups)
 
-    fates = cut(classes.join(near, "whole", "left").where("near IS NOT NULL OR first <> last").select("whole", "first", "near"))
-    joined = lines.select("_k", "doc_id", "line_no", "whole").join(fates, "whole")
+    fates = cut(classes.join(near, "whole", "left").where("near IS NOT NULL OR first <> last").select("h1", "h2", "first", "near"))
+    joined = lines.select("_k", "doc_id", "line_no", "h1", "h2").join(fates, ["h1", "h2"])
     is_first = F.struct("doc_id", "_k", "line_no") == F.col("first")
     out = joined.where(~is_first | F.col("near").isNotNull()).select(
         "_k",
@@ -353,8 +356,8 @@ def remove(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     lines of the whole text. Texts without such lines stay as they are, null
     ones too. Other columns stay as they are; one named _lines is replaced.
     """
-    df, back = set_aside(df, "_key", "_gone", "_exact")
-    gone = cut(found.groupBy(F.col("_k").alias("_key")).agg(F.collect_list("line_no").alias("_gone"), F.count_if(F.col("kind") == "exact").alias("_exact")))
+    df, back = set_aside(df, "_key", "_doc", "_gone", "_exact")
+    gone = cut(found.groupBy(F.col("_k").alias("_key"), F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_gone"), F.count_if(F.col("kind") == "exact").alias("_exact")))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, lines: pa.Array) -> pa.Array:
@@ -364,14 +367,15 @@ def remove(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
             out.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in bad]) if gone and t is not None and (bad := set(gone)) else t)
         return pa.array(out, pa.string())
 
-    keyed = df.withColumn("_key", F.xxhash64("doc_id", "text")).hint("merge").join(gone, "_key", "left")
+    keyed = df.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    keyed = keyed.hint("merge").join(gone, ["_key", "_doc"], "left")
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
     dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     exact = F.coalesce("_exact", F.lit(0)).cast("long")
     counts = F.struct(n.alias("n_lines"), exact.alias("n_exact"), (dropped - exact).alias("n_near"), (n - dropped).alias("n_kept"))
     touched = F.col("_gone").isNotNull()
     left = F.when(touched, without(F.when(touched, F.col(text)), "_gone")).otherwise(F.col(text))  # other texts needn't go through Python
-    return back(keyed.withColumn("_lines", counts).withColumn(text, left).drop("_key", "_gone", "_exact"))
+    return back(keyed.withColumn("_lines", counts).withColumn(text, left).drop("_key", "_doc", "_gone", "_exact"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Near-duplicates, lines and components against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tessera.llm import components, lines, simhash
@@ -197,3 +199,38 @@ def test_short_lines_and_scripts_without_spaces(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = sorted((r.doc_id, r.line_no, r.kind, r.keeper_doc_id, r.keeper_line_no) for r in lines.find(df).collect())
     assert got == [(1, 1, "exact", 0, 0), (3, 0, "exact", 2, 0), (3, 1, "near", 2, 1), (4, 2, "exact", 1, 0)]
+
+
+def clashing(of, column):
+    """A step whose 64-bit hashes in column are all alike, as if they had collided."""
+
+    def run(batches):
+        for batch in of(batches):
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, column, pa.array([5] * len(batch), pa.int64()))
+
+    return run
+
+
+def test_lines_whose_hashes_collide_stay_apart(spark, monkeypatch, sf_dir, documents):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    want = plain_lines([d for d in documents if d[0] < 60], lines.BOUNDS)
+    real = lines.explode_lines
+    for column in ("h1", "h2"):
+        monkeypatch.setattr(lines, "explode_lines", lambda bounds, c=column: clashing(real(bounds), c))
+        assert found(lines.find(df)) == want
+
+
+def test_query_of_lines_against_plain_lines(spark, sf_dir, documents):
+    """Every document's counts and what is left of it."""
+    gone = plain_lines(documents, lines.BOUNDS)
+    got = {r.doc_id: r for r in lines.op4_lines(spark, sf_dir).collect()}
+    assert sorted(got) == sorted(d for d, _ in documents)
+    for d, text in documents:
+        all_lines = (text or "").split("\n")
+        kinds = [gone.get((d, i), (None,))[0] for i in range(len(all_lines))]
+        left = "\n".join(x for x, k in zip(all_lines, kinds) if k is None)
+        r = got[d]
+        n = len(all_lines) if text is not None else 0
+        assert (r.n_lines, r.n_exact, r.n_near, r.n_kept) == (n, kinds.count("exact"), kinds.count("near"), n - len(kinds) + kinds.count(None))
+        assert r.left_sha256 == hashlib.sha256(left.encode()).hexdigest()
