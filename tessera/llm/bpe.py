@@ -33,7 +33,7 @@ SHIFT = 20
 #: Stands for the end of a word among its letters.
 END = "\0"
 #: Words, and pieces between white space, kept by a worker, twice at most; bounds its memory.
-KEPT, KEPT_PIECES = 250_000, 150_000
+KEPT, KEPT_PIECES = 150_000, 80_000
 
 
 def byte_letters() -> list[str]:
