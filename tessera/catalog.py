@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import audits, catalogues, flows, matching, more, reports, scores, trials  # noqa: F401  each registers its queries
+from tessera.plans import assets, audits, catalogues, evidence, flows, matching, more, proofs, reports, scores, trials  # noqa: F401  each registers its queries
 from tessera.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

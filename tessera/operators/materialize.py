@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.timing import minutes_between
-from tessera.operators.scoring import latest_polled, score_points
+from tessera.operators.scoring import latest_polled, score_points, weighted
 from tessera.operators.spatial import nearest_k, radius_pairs
 from tessera.params import PointScore
 
@@ -14,17 +14,12 @@ from tessera.params import PointScore
 def contributors(points: DataFrame, observations: DataFrame, p: PointScore = PointScore()) -> DataFrame:
     """For each cafe_id with neighbours, the array of (hotspot_id, distance_m, level, weight), nearest first; weights sum to one."""
     near = nearest_k(radius_pairs(points.select("cafe_id", "lat", "lng"), observations, p.radius_m), "cafe_id", "hotspot_id", p.neighbours)
-    w = 1.0 / F.pow(F.greatest(F.col("distance_m"), F.lit(p.floor_m)), 2.0)
-    made = near.groupBy("cafe_id").agg(F.sort_array(F.collect_list(F.struct("rank", "hotspot_id", "distance_m", "level", w.alias("w")))).alias("c"), F.sum(w).alias("total"))
-    item = lambda x: F.struct(x.hotspot_id.alias("hotspot_id"), x.distance_m.alias("distance_m"), x.level.alias("level"), (x.w / F.col("total")).alias("weight"))
-    return made.select("cafe_id", F.transform("c", item).alias("contributors"))
+    return weighted(near, ["cafe_id"], p, True).select("cafe_id", "contributors")
 
 
 def materialize_scores(cafes: DataFrame, hotspots: DataFrame, snapshots: DataFrame, now: Column, p: PointScore = PointScore()) -> DataFrame:
-    """Scores of the active cafes with their contributors; both are null where nothing is near."""
-    seen = latest_polled(snapshots, hotspots)
-    points = cafes.where("active")
-    return score_points(points, seen, now, p).join(contributors(points, seen, p), "cafe_id", "left").withColumn("computed_at", now)
+    """Scores of the active cafes with their contributors; both are null where nothing is near. One radius join makes both."""
+    return score_points(cafes.where("active"), latest_polled(snapshots, hotspots), now, p, True).withColumn("computed_at", now)
 
 
 def one_hour_on(forecast: Column, observed: Column) -> Column:

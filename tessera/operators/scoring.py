@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,34 +19,55 @@ def latest_polled(snapshots: DataFrame, hotspots: DataFrame) -> DataFrame:
     return latest(snapshots.join(polled, "hotspot_id"), "hotspot_id", "observed_at", "event_id")
 
 
-def score_points(points: DataFrame, observations: DataFrame, now: Column, p: PointScore = PointScore()) -> DataFrame:
-    """A row for each point (cafe_id, lat, lng) from observations (hotspot_id, p_lat, p_lng, level, observed_at).
+def weighted(near: DataFrame, keys: Sequence[str], p: PointScore = PointScore(), contributors: bool = False) -> DataFrame:
+    """What a score is made of, for each key of near (rank, hotspot_id, distance_m, level, observed_at): one aggregation.
 
-    The k nearest within the radius are weighted by the inverse square of
-    their distance, floored. Coverage goes by the nearest; confidence by its
-    distance, the age of the newest of the k and their number, a single one
-    giving half at most. source_observed_at is the nearest one's. A point
-    without neighbours is uncovered and has nulls otherwise.
+    With contributors, also the array of (hotspot_id, distance_m, level,
+    weight), nearest first; weights sum to one.
     """
-    near = nearest_k(radius_pairs(points.select("cafe_id", "lat", "lng"), observations, p.radius_m), "cafe_id", "hotspot_id", p.neighbours)
-    w = 1.0 / F.pow(F.greatest(F.col("distance_m"), F.lit(p.floor_m)), 2.0)
+    near = near.withColumn("_w", 1.0 / F.pow(F.greatest(F.col("distance_m"), F.lit(p.floor_m)), 2.0))
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
-    made = near.groupBy("cafe_id").agg(
-        (F.sum(w * F.col("level")) / F.sum(w)).alias("score"),
+    parts = [F.sort_array(F.collect_list(F.struct("rank", "hotspot_id", "distance_m", "level", "_w"))).alias("_parts"), F.sum("_w").alias("_sum")] if contributors else []
+    made = near.groupBy(*keys).agg(
+        (F.sum(F.col("_w") * F.col("level")) / F.sum("_w")).alias("score"),
         F.count(F.lit(1)).cast("int").alias("neighbours"),
         F.max("observed_at").alias("_newest"),
         first("distance_m").alias("primary_distance_m"),
         first("hotspot_id").alias("primary_hotspot_id"),
         first("observed_at").alias("source_observed_at"),
+        *parts,
     )
+    if not contributors:
+        return made
+    item = lambda x: F.struct(x.hotspot_id.alias("hotspot_id"), x.distance_m.alias("distance_m"), x.level.alias("level"), (x._w / F.col("_sum")).alias("weight"))
+    return made.withColumn("contributors", F.transform("_parts", item)).drop("_parts", "_sum")
+
+
+def rated(points: DataFrame, made: DataFrame, keys: Sequence[str], now: Column, p: PointScore = PointScore()) -> DataFrame:
+    """points (keys) with their scores, levels, coverage and confidence out of made; without neighbours uncovered."""
     d = F.col("primary_distance_m")
     age = F.greatest(F.lit(0.0), minutes_between(now, F.col("_newest")))
     close = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - d / p.radius_m))
     made = made.withColumn("confidence", close * F.exp(-age / p.tau_min) * F.least(F.lit(1.0), F.col("neighbours") / 2.0))
     tier = F.when(F.col("confidence") >= p.high, "high").when(F.col("confidence") >= p.mid, "medium").when(F.col("confidence").isNotNull(), "low")
     coverage = F.when(d.isNull(), "uncovered").when(d <= p.covered_m, "covered").otherwise("fringe")
-    out = points.select("cafe_id").join(made, "cafe_id", "left")
-    return out.select("cafe_id", "score", half_up_level(F.col("score")).alias("level"), coverage.alias("coverage"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "confidence", tier.alias("tier"), "primary_hotspot_id", "primary_distance_m", "source_observed_at")
+    out = points.select(*keys).join(made, list(keys), "left")
+    more = ["contributors"] if "contributors" in made.columns else []
+    return out.select(*keys, "score", half_up_level(F.col("score")).alias("level"), coverage.alias("coverage"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "confidence", tier.alias("tier"), "primary_hotspot_id", "primary_distance_m", "source_observed_at", *more)
+
+
+def score_points(points: DataFrame, observations: DataFrame, now: Column, p: PointScore = PointScore(), contributors: bool = False) -> DataFrame:
+    """A row for each point (cafe_id, lat, lng) from observations (hotspot_id, p_lat, p_lng, level, observed_at).
+
+    The k nearest within the radius are weighted by the inverse square of
+    their distance, floored. Coverage goes by the nearest; confidence by its
+    distance, the age of the newest of the k and their number, a single one
+    giving half at most. source_observed_at is the nearest one's. A point
+    without neighbours is uncovered and has nulls otherwise. With
+    contributors, those are a column, too.
+    """
+    near = nearest_k(radius_pairs(points.select("cafe_id", "lat", "lng"), observations, p.radius_m), "cafe_id", "hotspot_id", p.neighbours)
+    return rated(points, weighted(near, ["cafe_id"], p, contributors), ["cafe_id"], now, p)
 
 
 def cycle_health(saved: Column, targets: Column, status: Column, w: ConfidenceWeights = ConfidenceWeights()) -> Column:
@@ -67,13 +90,14 @@ def confidence_v2(contributors: DataFrame, now: Column, health: Column, radius_m
     fail = F.raise_error(F.lit("observed in the future")).cast("double")
     age = F.when(signed < -w.skew_min, fail).otherwise(F.greatest(F.lit(0.0), signed))
     share = F.col("weight")
+    level = F.col("level") - 2.5  # levels are 1 to 4: centred, squares lose no digits
     inside = F.max("inside") if "inside" in contributors.columns else F.lit(False)
     parts = contributors.groupBy("cafe_id").agg(
         F.greatest(F.lit(0.0), 1.0 - F.min("distance_m") / radius_m).alias("_near"),
         F.coalesce(inside, F.lit(False)).alias("_inside"),
         (F.sum(share * F.exp(-age / tau_min)) / F.sum(share)).alias("freshness"),
-        (F.sum(share * F.col("level")) / F.sum(share)).alias("_mean"),
-        (F.sum(share * F.col("level") * F.col("level")) / F.sum(share)).alias("_square"),
+        (F.sum(share * level) / F.sum(share)).alias("_mean"),
+        (F.sum(share * level * level) / F.sum(share)).alias("_square"),
         (minutes_between(F.max("observed_at"), F.min("observed_at"))).alias("_span"),
         F.count(F.lit(1)).alias("_n"),
         F.max(health).alias("health"),

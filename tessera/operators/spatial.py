@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import M_PER_DEGREE, haversine_m
+from tessera.params import EARTH_M
 
 
 def with_cells(df: DataFrame, lat: str, lng: str, size_m: float, spread: bool, max_lat: float = 60.0) -> DataFrame:
@@ -36,23 +38,31 @@ def radius_pairs(points: DataFrame, places: DataFrame, radius_m: float, max_lat:
     return a.join(b, ["_cy", "_cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_cy", "_cx")
 
 
-def nearest_k(pairs: DataFrame, point: str, place: str, k: int) -> DataFrame:
-    """Adds rank from 1 and keeps the k nearest places of each point; equal distances go by place."""
-    order = Window.partitionBy(point).orderBy("distance_m", place)
+def nearest_k(pairs: DataFrame, point: str | Sequence[str], place: str, k: int) -> DataFrame:
+    """Adds rank from 1 and keeps the k nearest places of each point, named by one column or several; equal distances go by place."""
+    order = Window.partitionBy(*([point] if isinstance(point, str) else point)).orderBy("distance_m", place)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ecef_pairs(points: DataFrame, places: DataFrame, within_m: float) -> DataFrame:
-    """Pairs by straight-line distance within within_m, met in cubes of the sphere's own space; fit for any latitude."""
-    from tessera.params import EARTH_M
+def cube_pairs(points: DataFrame, places: DataFrame, size_m: float) -> DataFrame:
+    """Pairs of points (lat, lng) and places (p_lat, p_lng) whose cubes of size_m in the sphere's own space are equal or touch.
+
+    Adds the coordinates _ax to _az and _bx to _bz. All pairs within size_m
+    are among them, at any latitude.
+    """
 
     def placed(df: DataFrame, lat: str, lng: str, p: str) -> DataFrame:
         a, b = F.radians(lat), F.radians(lng)
         return df.withColumns({f"{p}x": EARTH_M * F.cos(a) * F.cos(b), f"{p}y": EARTH_M * F.cos(a) * F.sin(b), f"{p}z": EARTH_M * F.sin(a)})
 
-    cube = lambda c, d=0: F.floor(F.col(c) / within_m) + d
+    cube = lambda c, d=0: F.floor(F.col(c) / size_m) + d
     a = placed(points, "lat", "lng", "_a").withColumns({"_i": cube("_ax"), "_j": cube("_ay"), "_k": cube("_az")})
     steps = [F.struct(*(cube(c, d).alias(n) for c, d, n in zip(("_bx", "_by", "_bz"), ds, ("i", "j", "k")))) for ds in ((x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1))]
     b = placed(places, "p_lat", "p_lng", "_b").withColumn("_c", F.explode(F.array(*steps))).select("*", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), F.col("_c.k").alias("_k")).drop("_c")
+    return a.join(b, ["_i", "_j", "_k"]).drop("_i", "_j", "_k")
+
+
+def ecef_pairs(points: DataFrame, places: DataFrame, within_m: float) -> DataFrame:
+    """Pairs by straight-line distance within within_m, met in cubes of the sphere's own space; fit for any latitude."""
     gap = F.sqrt(F.pow(F.col("_ax") - F.col("_bx"), 2.0) + F.pow(F.col("_ay") - F.col("_by"), 2.0) + F.pow(F.col("_az") - F.col("_bz"), 2.0))
-    return a.join(b, ["_i", "_j", "_k"]).withColumn("distance_m", gap).where(F.col("distance_m") <= within_m).drop("_i", "_j", "_k", "_ax", "_ay", "_az", "_bx", "_by", "_bz")
+    return cube_pairs(points, places, within_m).withColumn("distance_m", gap).where(F.col("distance_m") <= within_m).drop("_ax", "_ay", "_az", "_bx", "_by", "_bz")

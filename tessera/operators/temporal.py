@@ -14,19 +14,27 @@ def latest(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def as_of(asked: DataFrame, history: DataFrame, key: str, time: str, observed: str, fetched: str, tie: str) -> DataFrame:
+def as_of(asked: DataFrame, history: DataFrame, key: str, time: str, observed: str, fetched: str, tie: str, slice_hours: float = 24.0) -> DataFrame:
     """For each asked (key, time), the latest of history observed and fetched by then; unanswered rows stay.
 
-    Both sides are merged into one sequence for each key instead of being
-    joined by range: a row of history applies from the later of its two
-    times, and the best so far runs along.
+    Both sides are merged into sequences instead of being joined by range: a
+    row of history applies from the later of its two times, and the best so
+    far runs along. A sequence is a key's in one slice of time; the best of
+    each slice is carried over to those after it, so a key with a long history
+    is spread over as many tasks as it has slices.
     """
     best = [c for c in history.columns if c != key]
-    known = history.select(key, F.greatest(observed, fetched).alias("_t"), F.lit(0).alias("_q"), F.struct(F.col(observed).alias("_o"), F.col(tie).alias("_tie"), *best).alias("_row"), F.lit(None).cast(asked.schema[time].dataType).alias(time))
+    width = int(slice_hours * 3_600_000_000)
+    known = history.where(F.col(observed).isNotNull() & F.col(fetched).isNotNull()).select(key, F.greatest(observed, fetched).alias("_t"), F.lit(0).alias("_q"), F.struct(F.col(observed).alias("_o"), F.col(tie).alias("_tie"), *best).alias("_row"), F.lit(None).cast(asked.schema[time].dataType).alias(time))
     wanted = asked.select(key, time).distinct().select(key, F.col(time).alias("_t"), F.lit(1).alias("_q"), F.lit(None).cast(known.schema["_row"].dataType).alias("_row"), time)
-    run = Window.partitionBy(key).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    merged = known.unionByName(wanted).withColumn("_best", F.max("_row").over(run)).where("_q = 1")
-    return merged.select(key, time, *[F.col(f"_best.{c}").alias(c) for c in best])
+    merged = known.unionByName(wanted).withColumn("_slice", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / width))
+    slices = merged.groupBy(key, "_slice").agg(F.max("_row").alias("_last"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select(key, "_slice", F.max("_last").over(before).alias("_carried"))
+    run = Window.partitionBy(key, "_slice").orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    inside = merged.withColumn("_best", F.max("_row").over(run)).where("_q = 1")
+    met = inside.join(carried, [key, "_slice"]).withColumn("_best", F.greatest("_best", "_carried"))
+    return met.select(key, time, *[F.col(f"_best.{c}").alias(c) for c in best])
 
 
 def nearest_in_time(asked: DataFrame, actual: DataFrame, key: str, target: str, at: str, tolerance_min: float, allowed: Column | None = None, ties: list[str] | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import geometry, nowcast, permits, scoring, stations, sweep, temporal
 from tessera.plans.registry import query, sql_of
-from tessera.plans.scores import AGE, HAVERSINE, LATEST, NEAR, PAIR, SCORES, now, observations, scores
+from tessera.plans.scores import AGE, HAVERSINE, LATEST, NEAR, PAIR, now, observations
 from tessera.sources.adapters import load
+from tessera.sources.inputs import area_level
 
 # rectangles around hotspots, of a size that follows from the id
 HALF = "0.002 + CAST({h} % 5 AS DOUBLE) * 0.001"
@@ -254,25 +255,13 @@ def quadtree_sweep(spark, sf_dir):
     return sweep.sweep(load(spark, sf_dir, "cafes"), (126.76, 37.41, 127.20, 37.72), 45, 14)
 
 
-EVAL = f"""{SCORES}, j AS (SELECT t.slot, t.observed_area_level AS truth, s.level, s.score FROM truths t JOIN scores s ON s.cafe_id = t.cafe_id WHERE s.score IS NOT NULL)"""
-
-
-def evaluated(spark, sf_dir):
-    return load(spark, sf_dir, "truths").join(scores(spark, sf_dir).where("score IS NOT NULL").select("cafe_id", "score", "level"), "cafe_id")
-
-
-@query(f"WITH {EVAL} SELECT slot, count(*) AS n, round(avg(CASE WHEN level = truth THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS exact_share, round(avg(CASE WHEN abs(level - truth) <= 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS adjacent_share, round(avg(abs(score - truth)), 6) AS mae FROM j GROUP BY slot")
-def evaluation_by_slot(spark, sf_dir):
-    truth = F.col("observed_area_level")
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 9)
-    return evaluated(spark, sf_dir).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), share(F.col("level") == truth).alias("exact_share"), share(F.abs(F.col("level") - truth) <= 1).alias("adjacent_share"), F.round(F.avg(F.abs(F.col("score") - truth)), 6).alias("mae"))
-
-
-@query("""WITH e AS (SELECT event_id, value, event_type = 'error' AS obstructed FROM events) SELECT event_id, CAST(CASE WHEN obstructed THEN 4 WHEN value < 5 THEN 1 WHEN value < 15 THEN 2 WHEN value < 30 THEN 3 ELSE 4 END AS INT) AS derived_level FROM e""")
+@query("""WITH e AS (SELECT event_id, event_type, CASE WHEN value <= 5 THEN 1 WHEN value <= 15 THEN 2 WHEN value <= 30 THEN 3 ELSE 4 END AS level FROM events)
+SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 4 WHEN event_id % 7 = 0 THEN greatest(level, 3) ELSE level END AS INT) AS derived_level FROM e""")
 def observation_level(spark, sf_dir):
-    v = F.col("value")
-    level = F.when(F.col("event_type") == "error", 4).when(v < 5, 1).when(v < 15, 2).when(v < 30, 3).otherwise(4)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", level.alias("derived_level"))
+    """The level that a count of people stands for, raised where the way is blocked or avoided."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    obstruction = F.when(F.col("event_type") == "error", "blocked").when(F.col("event_id") % 7 == 0, "repeated_avoidance").otherwise("none")
+    return e.select("event_id", area_level(F.col("value"), obstruction).alias("derived_level"))
 
 
 sql_of("angle_diff", "SELECT zone_id, round(least(abs(a - b), 360 - abs(a - b)), 6) AS gap FROM (SELECT n_nationkey AS zone_id, CAST((n_nationkey * 47) % 360 AS DOUBLE) AS a, CAST((n_nationkey * 113) % 360 AS DOUBLE) AS b FROM nation) z")

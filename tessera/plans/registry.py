@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,19 @@ def query(sql: str | None = None):
     return put
 
 
+def stored(f):
+    """Registers a function (spark, sf_dir) with the DuckDB SQL in the file of its name; a line `-- include x` stands for x.inc.sql."""
+    QUERIES[f.__name__] = f
+    SQL[f.__name__] = with_adapters(read_sql(f"{f.__name__}.sql"))
+    return f
+
+
+def read_sql(name: str) -> str:
+    folder = Path(__file__).parent / "sql"
+    lines = (folder / name).read_text(encoding="utf-8").splitlines()
+    return "\n".join(read_sql(f"{line.split()[2]}.inc.sql") if line.startswith("-- include ") else line for line in lines)
+
+
 def sql_of(name: str, sql: str) -> None:
     """DuckDB SQL for the rows of a query that another module registers."""
     SQL[name] = with_adapters(sql)

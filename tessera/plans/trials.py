@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import params
-from tessera.operators import scoring, trials
-from tessera.plans.registry import query
-from tessera.plans.scores import SCORES, now, observations
+from tessera.operators import trials
+from tessera.plans.evidence import points_then
+from tessera.plans.registry import query, stored
 from tessera.sources.adapters import load
 
 # Fixed value: the days of the trials and their roles
@@ -24,33 +24,14 @@ def rho_sql(x: str, y: str) -> str:
 
 
 def points(spark, sf_dir, neighbours):
-    """The score at every true observation, from that many hotspots."""
-    s = scoring.score_points(load(spark, sf_dir, "cafes"), observations(spark, sf_dir), now(), params.PointScore(neighbours=neighbours))
-    s = s.select("cafe_id", F.round("score", 9).alias("score"), F.when(F.col("score").isNotNull(), F.col("level")).alias("level"), "coverage")
-    return load(spark, sf_dir, "truths").withColumnRenamed("observed_area_level", "truth").join(s, "cafe_id", "left")
-
-
-@query(f"""WITH {SCORES},
-j AS (SELECT t.slot, t.observed_area_level AS truth, s.coverage, round(s.score, 9) AS bs, s.level AS bl, CAST(n.level AS DOUBLE) AS cs, n.level AS cl
-  FROM truths t LEFT JOIN scores s ON s.cafe_id = t.cafe_id AND s.score IS NOT NULL LEFT JOIN near n ON n.cafe_id = t.cafe_id AND n.rank = 1),
-keys AS (SELECT count(*) AS n, count(DISTINCT (cafe_id, observed_at, slot)) AS k FROM truths),
-lost AS (SELECT count(*) AS n FROM j WHERE bs IS NOT NULL AND cs IS NULL),
-seg AS (SELECT 'overall' AS segment, * FROM j WHERE bs IS NOT NULL AND cs IS NOT NULL UNION ALL SELECT coverage AS segment, * FROM j WHERE bs IS NOT NULL AND cs IS NOT NULL AND coverage IN ('covered', 'fringe')),
-r AS (SELECT segment, slot, {rank_sql('segment, slot', 'bs')} AS b, {rank_sql('segment, slot', 'cs')} AS c, {rank_sql('segment, slot', 'truth')} AS t FROM seg),
-slots AS (SELECT segment, slot, {rho_sql('b', 't')} AS b, {rho_sql('c', 't')} AS c FROM r GROUP BY segment, slot),
-rho AS (SELECT segment, round(avg(b), 9) AS rb, round(avg(c), 9) AS rc FROM slots GROUP BY segment),
-adj AS (SELECT segment, round(avg(CASE WHEN abs(bl - truth) <= 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS nb, round(avg(CASE WHEN abs(cl - truth) <= 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS nc FROM seg GROUP BY segment),
-m AS (SELECT adj.segment, rb, rc, nb, nc, rc >= rb AND nc >= nb AS steady FROM adj JOIN rho ON rho.segment = adj.segment),
-checks AS (SELECT 'identical_primary_rows' AS name, n = k AS ok FROM keys
-  UNION ALL SELECT 'no_coverage_loss', n = 0 FROM lost
-  UNION ALL SELECT 'overall_spearman', coalesce(bool_and(rc >= 0.5 AND rc >= rb), false) FROM m WHERE segment = 'overall'
-  UNION ALL SELECT 'overall_adjacent_accuracy', coalesce(bool_and(nc >= 0.8 AND nc >= nb), false) FROM m WHERE segment = 'overall'
-  UNION ALL SELECT 'covered_no_serious_regression', coalesce(bool_and(steady), false) FROM m WHERE segment = 'covered'
-  UNION ALL SELECT 'fringe_no_serious_regression', coalesce(bool_and(steady), false) FROM m WHERE segment = 'fringe'
-  UNION ALL SELECT 'fringe_improvement_evidence', coalesce(bool_and(rc > rb OR nc > nb), false) FROM m WHERE segment = 'fringe')
-SELECT name AS "check", ok AS passed FROM checks UNION ALL SELECT 'promoted', bool_and(ok) FROM checks""")
+    """The score at every true observation as it stood then, from that many hotspots."""
+    s = points_then(spark, sf_dir, p=params.PointScore(neighbours=neighbours))
+    return s.withColumn("score", F.round("score", 9))
+
+
+@stored
 def promotion_gate(spark, sf_dir):
-    """Whether the nearest hotspot alone may replace the score of three."""
+    """Whether the nearest hotspot alone may replace the score of three, each as of the time of observation."""
     return trials.promotion(points(spark, sf_dir, 3), points(spark, sf_dir, 1))
 
 

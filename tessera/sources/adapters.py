@@ -72,12 +72,52 @@ ADAPTERS = {
   CAST(1 + CAST(floor(o_orderkey / 50) AS BIGINT) % 4 AS INT) AS observed_area_level,
   CAST(1 + (CAST(floor(o_orderkey / 50) AS BIGINT) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) % 4 AS INT) AS reliability_level
   FROM orders o JOIN events t ON t.event_id = o.o_orderkey WHERE o_orderkey % 50 = 0""",
+    "transit_stops": """SELECT c_custkey AS stop_id, concat(CASE WHEN c_custkey % 4 = 1 THEN 'S ' ELSE 's' END, CAST(c_custkey % 300 AS VARCHAR(9)), CASE WHEN c_custkey % 4 = 2 THEN '역' ELSE '' END) AS name,
+  concat('line', CAST(c_custkey % 6 AS VARCHAR(9))) AS line,
+  37.5 + CAST(c_custkey % 300 AS DOUBLE) * 0.0003 + CAST(c_custkey % 7 AS DOUBLE) * 0.0012 + CAST(CAST(floor(c_custkey / 300) AS BIGINT) % 2 AS DOUBLE) * 0.02 AS lat,
+  CAST(127 AS DOUBLE) AS lng FROM customer""",
+    "transit_exits": """SELECT c_custkey AS exit_id, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 'A' ELSE CAST(1 + c_custkey % 9 AS VARCHAR(9)) END AS ref,
+  concat('s', CAST(c_custkey % 300 AS VARCHAR(9)), '역', CASE WHEN c_custkey % 3 = 0 THEN concat(' ', CAST(1 + c_custkey % 4 AS VARCHAR(9)), '번 출구') ELSE '' END) AS label,
+  37.5 + CAST(c_custkey % 300 AS DOUBLE) * 0.0003 + CAST(c_custkey % 11 AS DOUBLE) * 0.001 AS lat, CAST(127 AS DOUBLE) AS lng FROM customer""",
+    "track_ways": """SELECT way_id, grp % 3 AS line_id, grp, a, b,
+  CAST(126 AS DOUBLE) + CAST(grp AS DOUBLE) / 1024 AS lng, CAST(37 AS DOUBLE) + CAST(a AS DOUBLE) / 64 AS lat_a, CAST(37 AS DOUBLE) + CAST(b AS DOUBLE) / 64 AS lat_b, way_id % 2 = 1 AS turned FROM (
+  SELECT c_custkey AS way_id, grp, CASE WHEN kind = 3 AND i = 11 THEN 10 WHEN kind = 2 AND i >= 8 THEN 4 ELSE i END AS a,
+    CASE WHEN kind = 3 AND i = 11 THEN 11 WHEN kind = 3 AND i = 5 THEN NULL WHEN kind = 1 THEN (i + 1) % 12 WHEN kind = 2 AND i >= 8 THEN 20 + i ELSE i + 1 END AS b
+  FROM (SELECT c_custkey, CAST(floor(c_custkey / 12) AS BIGINT) AS grp, c_custkey % 12 AS i, CAST(floor(c_custkey / 12) AS BIGINT) % 4 AS kind FROM customer) k) e""",
+    "permit_places": """SELECT c_custkey + extra AS permit_id, c_custkey AS k, c_custkey % 400 AS building, concat('Cafe ', CAST(c_custkey AS VARCHAR(20))) AS name,
+  concat('서울특별시 ', CASE WHEN c_custkey % 400 % 3 = 0 THEN '강남구 테헤란로 ' WHEN c_custkey % 400 % 3 = 1 THEN '중구 세종대로 ' ELSE '마포구 월드컵로12길 ' END, CAST(1 + c_custkey % 400 AS VARCHAR(20)),
+    CASE WHEN c_custkey % 4 = 0 THEN '-2' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN ', 2층' ELSE ' (가동)' END) AS address,
+  concat('02-', CAST(1000000 + c_custkey % 997 AS VARCHAR(20))) AS phone, 37.5 + CAST(c_custkey % 400 AS DOUBLE) * 0.001 + CAST(c_custkey % 5 AS DOUBLE) * 0.00005 AS lat, CAST(127 AS DOUBLE) AS lng,
+  CAST(20 + c_custkey % 90 AS DOUBLE) AS area
+  FROM customer CROSS JOIN (SELECT 0 AS extra UNION ALL SELECT 1000000 AS extra) x WHERE extra = 0 OR c_custkey % 13 = 0""",
+    "cafe_places": """SELECT c_custkey + extra AS cafe_id, c_custkey AS k, c_custkey % 400 AS building, c_custkey % 7 <> 3 AS placed, CASE WHEN c_custkey % 19 = 0 THEN 'permit' ELSE c_mktsegment END AS origin_provider,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Other' ELSE concat('CAFE  ', CAST(c_custkey AS VARCHAR(20))) END AS name,
+  concat(CASE WHEN c_custkey % 7 = 3 THEN '부산시 ' WHEN c_custkey % 2 = 0 THEN '서울시 ' ELSE '서울특별시 ' END, CASE WHEN c_custkey % 400 % 3 = 0 THEN '강남구 테헤란로 ' WHEN c_custkey % 400 % 3 = 1 THEN '중구 세종대로 ' ELSE '마포구 월드컵로12길 ' END, CAST(1 + c_custkey % 400 AS VARCHAR(20)),
+    CASE WHEN c_custkey % 4 = 0 THEN '-2' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN ', 2층' ELSE ' 지하1층' END) AS address,
+  CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 = 1 THEN concat('02) ', CAST(1000000 + c_custkey % 997 AS VARCHAR(20))) ELSE 'ask at the desk' END AS phone,
+  37.5 + CAST(c_custkey % 400 AS DOUBLE) * 0.001 + CAST(c_custkey % 9 AS DOUBLE) * 0.0001 AS lat, CAST(127 AS DOUBLE) AS lng
+  FROM customer CROSS JOIN (SELECT 0 AS extra UNION ALL SELECT 1000000 AS extra) x WHERE extra = 0 OR c_custkey % 17 = 0""",
+    "population_rows": """SELECT replace(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), '-', '') AS date_raw, lpad(CAST(o_orderkey % 4 AS VARCHAR(2)), 2, '0') AS hour_raw,
+  CAST(11000000 + o_custkey % 3 AS VARCHAR(8)) AS administrative_dong_code, concat('다사', lpad(CAST(25 * (o_custkey % 20) AS VARCHAR(4)), 4, '0'), '0025') AS cell_id,
+  CASE WHEN o_orderpriority = '5-LOW' THEN '*' ELSE CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR(30)) END AS total_raw, concat('file', CAST(o_orderkey % 3 AS VARCHAR(2)), '.csv') AS source_file FROM orders""",
+    "moves_of_day": """SELECT observed_date, origin_id, destination_id, departure_hour, arrival_hour, purpose, flow,
+  CAST(500 + (origin_id * 37 + destination_id * 11) % 900 AS DOUBLE) AS distance_m, CAST(5 + (origin_id + 2 * destination_id) % 40 AS DOUBLE) AS duration_min FROM dated_flows WHERE observed_date = DATE '2024-01-09'""",
+    "cycle_states": """SELECT c.cycle_id, c.started_at, CASE WHEN c.started_at = m.newest THEN NULL WHEN c.cycle_id % 23 = 0 THEN c.started_at - INTERVAL 1 MINUTE ELSE c.completed_at END AS completed_at, c.targets, c.saved, c.failed,
+  CASE WHEN c.started_at = m.newest THEN 'running' WHEN c.failed = 0 THEN 'complete' WHEN c.saved > 0 THEN 'partial' ELSE 'failed' END AS status FROM cycles c CROSS JOIN (SELECT max(started_at) AS newest FROM cycles) m""",
+    "viewports": """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN CAST(179.9 AS DOUBLE) ELSE 126.5 + CAST(c_custkey % 97 AS DOUBLE) / 128 END AS west,
+  CASE WHEN c_custkey % 10 = 0 THEN CAST(-179.9 AS DOUBLE) WHEN c_custkey % 50 = 1 THEN CAST(490 AS DOUBLE) ELSE 126.5 + CAST(c_custkey % 97 AS DOUBLE) / 128 + CAST(1 + c_custkey % 13 AS DOUBLE) / 64 END AS east,
+  CASE WHEN c_custkey % 31 = 0 THEN CAST(-89 AS DOUBLE) ELSE 37 + CAST(c_custkey % 89 AS DOUBLE) / 128 END AS south, 37 + CAST(c_custkey % 89 AS DOUBLE) / 128 + CAST(1 + c_custkey % 11 AS DOUBLE) / 64 AS north,
+  CAST(8 + c_custkey % 10 AS DOUBLE) + 0.5 AS zoom FROM customer""",
 }
 
 
 def needed(text: str, names: dict[str, str]) -> list[str]:
-    """Names that occur in text, in the order in which they are defined."""
-    return [n for n in names if re.search(rf"\b{n}\b", text)]
+    """Names that occur in text or in what they stand for, in the order in which they are defined."""
+    found: set[str] = set()
+    for n in reversed(names):  # later ones are made of earlier ones
+        if re.search(rf"\b{n}\b", text) or any(re.search(rf"\b{n}\b", names[m]) for m in found):
+            found.add(n)
+    return [n for n in names if n in found]
 
 
 def with_adapters(body: str) -> str:
@@ -85,10 +125,10 @@ def with_adapters(body: str) -> str:
     ctes = [f"{n} AS ({ADAPTERS[n]})" for n in needed(body, ADAPTERS)]
     if not ctes:
         return body
-    body = body.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {', '.join(ctes)}, {body[5:]}"
-    return f"WITH {', '.join(ctes)} {body}"
+    own = re.match(r"\s*WITH(\s+RECURSIVE)?\s+", body, re.IGNORECASE)
+    if not own:
+        return f"WITH {', '.join(ctes)} {body}"
+    return f"WITH{own[1] or ''} {', '.join(ctes)}, {body[own.end() :]}"
 
 
 def run_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:

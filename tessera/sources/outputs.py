@@ -17,15 +17,17 @@ def canonical_json(value: object) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in one piece: written beside path, then renamed; an existing one is replaced."""
+    """A small file in one piece: written beside path, then renamed over what is there, so that a reader meets the old file or the new one."""
     fs, at = _fs(spark, path)
     _, part = _fs(spark, f"{path}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"{path}.part can't be renamed")
+    jvm = spark._jvm
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(part), fs.makeQualified(at), over)
 
 
 def fixed(number: Column, places: int) -> Column:
