@@ -16,6 +16,7 @@ removals and kept once they are known.
 from __future__ import annotations
 
 import json
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ from tessera.llm.batches import slices
 from tessera.llm.store import table
 
 SHIFT = 20
+#: Letters before it are the same in every version of Unicode; but for one, lower case makes one letter of each.
+SETTLED = "\u0250"
 #: Stands for the end of a word among its letters.
 END = "\0"
 #: Words, and pieces between white space, kept by a worker, twice at most; bounds its memory.
@@ -227,6 +230,8 @@ class Model:
         self.automaton = Automaton(self.vocab, [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         #: The file without its vocabulary: how the library splits text.
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        self.pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.splitter = json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}})
         self.labels = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
 
@@ -234,6 +239,8 @@ class Model:
         """Prepares what a worker needs besides the tables."""
         self.encoder = Encoder(self.automaton, self.word_end)
         self.library = Tokenizer.from_str(self.splitter)
+        self.split = regex.compile(self.pattern).findall
+        self.letters = byte_letters()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if self.specials else lambda t: [t]
         self.odd = regex.compile("[\x1c-\x1f]").search
         self.words = Known(self.word, KEPT)
@@ -243,17 +250,27 @@ class Model:
         """Ids of a word after splitting, in the letters of its bytes, as 32-bit numbers."""
         return array("i", self.encoder.encode(word)).tobytes()
 
+    def spelt(self, text: str) -> str:
+        """Text in lower case, one letter at a time, in the letters of its bytes."""
+        return "".join([self.letters[b] for b in "".join(map(str.lower, text)).encode()])
+
     def piece(self, piece: str) -> bytes:
         """Ids of a piece of text between white space."""
-        # most pieces are letters and at most one sign after them; their letters are their bytes
+        # most pieces are letters and at most one sign after them; letters of ASCII are their bytes
         body, sign = (piece[:-1], piece[-1]) if piece[-1] in ",.;:!?" else (piece, "")
-        if body.isascii() and body.isalpha():
-            low = body.lower()
+        if body.isascii():
+            if body.isalpha():
+                low = body.lower()
+                return self.words[low] + self.words[sign] if sign else self.words[low]
+        elif body.isalpha() and max(body) < SETTLED and "İ" not in body and unicodedata.is_normalized("NFC", body):
+            low = self.spelt(body)
             return self.words[low] + self.words[sign] if sign else self.words[low]
         out = []
         for part in self.cut(piece):
             if part in self.specials:
                 out.append(array("i", [self.specials[part]]).tobytes())
+            elif part.isascii():
+                out += map(self.words.__getitem__, self.split(part.lower()))
             elif part:  # the library's own tables say what is a letter and which is its lower case
                 low = self.library.normalizer.normalize_str(part)
                 out += [self.words[word] for word, _ in self.library.pre_tokenizer.pre_tokenize_str(low)]
