@@ -12,9 +12,14 @@ from pyspark.sql.types import StringType
 # Names of the city, and its 25 districts.
 CITY = ("서울특별시", "서울시", "서울")
 DISTRICTS = "강남구 강동구 강북구 강서구 관악구 광진구 구로구 금천구 노원구 도봉구 동대문구 동작구 마포구 서대문구 서초구 성동구 성북구 송파구 양천구 영등포구 용산구 은평구 종로구 중구 중랑구".split()
-# A road address, and floors and units that may follow it.
-ROAD = rf"^(?:{'|'.join(CITY)}) ([가-힣]+구) ([0-9가-힣·]+(?:로|길)) ?([1-9][0-9]*)(?:-([1-9][0-9]*))?(.*)$"
-UNIT = r"(?:(?:(?:지하|지상)?제? ?[0-9]+ ?층)|b ?[0-9]+ ?층|옥탑층|제? ?[0-9]+ ?호|(?:제? ?[0-9]+|[a-z]) ?동)"
+#: A street's name ends in one of two words, and the building's number, with or without a second one, follows it.
+STREET, NUMBER = "[0-9가-힣·]*[0-9가-힣·][로길]", "[1-9][0-9]*"
+#: What may follow the number: counted things, which are floors, rooms or blocks of a building.
+COUNT = "제? ?[0-9]+ ?"
+FLOOR, ROOM, BLOCK = f"(?:지하|지상)?{COUNT}층|b ?[0-9]+ ?층|옥탑층", f"{COUNT}호", f"(?:{COUNT}|[a-z] ?)동"
+DETAIL = f"(?:{FLOOR}|{ROOM}|{BLOCK})"
+#: Stands for a parenthesis with its content.
+ASIDE = "\x01"
 
 
 @F.pandas_udf(StringType())
@@ -34,20 +39,40 @@ def with_entity_text(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.nullif(F.trim(F.regexp_replace(made, r"(?U)\s+", " ")), F.lit("")))
 
 
+def without_asides(text: Column) -> Column:
+    """Text with ASIDE for each outermost parenthesis, however deep others nest in it; null if one is open, unopened or holds nothing but space."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("held"), F.lit(True).alias("ok"), F.lit("").alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        opens, closes = c == "(", c == ")"
+        inside = s.depth > 0
+        depth = s.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
+        held = F.when(inside & ~opens & ~closes, s.held | (F.trim(c) != "")).when(opens & ~inside, F.lit(False)).otherwise(s.held)
+        ok = s.ok & ~(closes & (~inside | ((depth == 0) & ~s.held)))
+        out = F.when(closes & (depth == 0), F.concat(s.out, F.lit(ASIDE))).when(inside | opens | closes, s.out).otherwise(F.concat(s.out, c))
+        return F.struct(depth.alias("depth"), held.alias("held"), ok.alias("ok"), out.alias("out"))
+
+    done = lambda s: F.when(s.ok & (s.depth == 0), s.out)
+    return F.when(text.contains("(") | text.contains(")"), F.aggregate(F.split(text, ""), start, step, done)).otherwise(text)
+
+
 def ignorable(suffix: Column) -> Column:
-    """Whether what follows a building's number is only floors, units and text in parentheses, which may be nested."""
-    rest = F.trim(suffix)
-    # innermost parentheses become a mark, three levels deep; empty ones don't count, as they hold nothing
-    for _ in range(3):
-        rest = F.regexp_replace(rest, r"\([^()]*[^()\s][^()]*\)", "\x01")
-    return rest.rlike(rf"^(?:(?:, ?)?(?:\x01|{UNIT}) ?)*$") & ~rest.rlike(r"[()]")
+    """Whether what follows a building's number is only floors, rooms, blocks and text in parentheses, which may be nested."""
+    return F.coalesce(without_asides(F.trim(suffix)).rlike(f"^(?:(?:, ?)?(?:{ASIDE}|{DETAIL}) ?)*$"), F.lit(False))
 
 
 def road_address(entity: Column) -> Column:
-    """The struct (district, road, main, sub) of a road address in the city, from entity text; null if any part is otherwise."""
-    part = lambda i: F.regexp_extract(entity, ROAD, i)
-    made = F.struct(part(1).alias("district"), part(2).alias("road"), part(3).cast("int").alias("main"), F.nullif(part(4), F.lit("")).cast("int").alias("sub"))
-    return F.when(entity.rlike(ROAD) & part(1).isin(DISTRICTS) & ignorable(part(5)), made)
+    """The struct (district, road, main, sub) of a road address in the city, from entity text; null if any part is otherwise.
+
+    The first two words name the city and a district; the rest begins with a
+    street and a number.
+    """
+    word = lambda i: F.get(F.split(entity, " ", 3), F.lit(i))
+    rest = f"^({STREET}) ?({NUMBER})(?:-({NUMBER}))?(.*)$"
+    part = lambda i: F.regexp_extract(word(2), rest, i)
+    made = F.struct(word(1).alias("district"), part(1).alias("road"), part(2).cast("int").alias("main"), F.nullif(part(3), F.lit("")).cast("int").alias("sub"))
+    named = word(0).isin(*CITY) & word(1).isin(DISTRICTS)
+    return F.when(named & word(2).rlike(rest) & ignorable(part(4)), made)
 
 
 def address_core(entity: Column) -> Column:

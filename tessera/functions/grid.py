@@ -40,7 +40,7 @@ def corner(cell: Column) -> tuple[Column, Column]:
 
 
 def to_lat_lng(east: Column, north: Column) -> tuple[Column, Column]:
-    """The inverse projection by its series; exact to well under a millimetre inside the country."""
+    """The inverse transverse Mercator projection by the series in J. P. Snyder, Map Projections: A Working Manual (1987)."""
     m = _arc(math.radians(LAT0)) + (north - FALSE_N) / SCALE
     mu = m / (AXIS * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))

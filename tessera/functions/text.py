@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -41,6 +41,13 @@ def folded_name(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()))
 
 
+def with_folded_name(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds out: letters and digits of text after NFKC and case folding; texts of ASCII and Hangul syllables don't leave the engine."""
+    plain = F.col(text).rlike(r"^[\x09-\x0D\x20-\x7E가-힣]*$")
+    quick = F.regexp_replace(F.lower(text), "[^0-9a-z가-힣]", "")
+    return df.withColumn(out, F.when(plain, quick).otherwise(folded_name(F.when(~plain, F.col(text)))))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 

@@ -34,10 +34,10 @@ def orphans(df: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def key_sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Every key of either table once, and whether it stands in the left, the right or both."""
-    a, b = left.select(key).distinct().withColumn("_l", F.lit(True)), right.select(key).distinct().withColumn("_r", F.lit(True))
-    side = F.when(F.col("_r").isNull(), "left").when(F.col("_l").isNull(), "right").otherwise("both")
-    return a.join(b, key, "full").select(key, side.alias("side"))
+    """Every key of either table once, a null one too, and whether it stands in the left, the right or both."""
+    mark = lambda df, n: df.select(F.col(key).alias("_key"), F.lit(n).alias("_side"))
+    seen = mark(left, 1).union(mark(right, 2)).groupBy("_key").agg(F.bit_or("_side").alias("_sides"))
+    return seen.select(F.col("_key").alias(key), F.when(F.col("_sides") == 1, "left").when(F.col("_sides") == 2, "right").otherwise("both").alias("side"))
 
 
 def complete_keys(df: DataFrame, key: str, part: str, wanted: Sequence[int]) -> DataFrame:

@@ -86,10 +86,10 @@ def expansion(candidates: DataFrame, existing: DataFrame, key: str, conflict: li
     advice and never blocks.
     """
     blocked = existing.select(*conflict).distinct().withColumn("_hit", F.lit(True))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*peer)) - 1
-    known = F.reduce(F.array(*[F.col(c).isNotNull() for c in peer]), F.lit(True), lambda a, b: a & b)
-    joined = candidates.withColumn("_peers", F.when(known, n).otherwise(0)).join(blocked, conflict, "left")
-    return joined.select(key, F.when(F.col("_hit"), "blocked").otherwise("admitted").alias("status"), F.col("_peers").alias("peers"))
+    known = candidates.select(*peer).where(" AND ".join(f"`{c}` IS NOT NULL" for c in peer))
+    n = known.groupBy(*peer).agg((F.count(F.lit(1)) - 1).alias("_peers"))  # rows without a peer column meet nothing
+    joined = candidates.join(n, peer, "left").join(blocked, conflict, "left")
+    return joined.select(key, F.when(F.col("_hit"), "blocked").otherwise("admitted").alias("status"), F.coalesce("_peers", F.lit(0)).alias("peers"))
 
 
 def exact_links(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.timing import half_up_level, minutes_between
 from tessera.operators.temporal import nearest_in_time
+from tessera.operators.tracks import once
 from tessera.params import NowcastGates
+from tessera.scratch import written
 
 MINUTE = 60_000_000
 
@@ -27,41 +29,57 @@ def estimate(df: DataFrame, observed: str, target: str, pop: str, level: str, fo
     among them, if they lie gap_min apart or less. nearest: the closest
     forecast, not the observation, within nearest_min, the earlier of two.
     """
-    t, seen = micros(F.col(target)), micros(F.col(observed))
-    given = F.array_distinct(F.transform(F.coalesce(F.col(forecast), F.array()), lambda x: F.struct(micros(x.at).alias("t"), x.pop.cast("double").alias("pop"), x.level.cast("double").alias("level"))))
-    own = F.struct(seen.alias("t"), F.col(pop).cast("double").alias("pop"), F.col(level).cast("double").alias("level"))
-    df = df.withColumn("_g", given)
-    conflict = F.size(F.array_distinct(F.transform("_g", lambda x: x.t))) < F.size("_g")
-    df = df.withColumn("_f", F.array_sort(F.filter("_g", lambda x: (x.t > seen) & (x.t - seen <= horizon_min * MINUTE))))
-    df = df.withColumn("_all", F.concat(F.array(own), F.col("_f")))
-    gap = lambda x: F.abs(x.t - t)
-    close = F.array_min(F.transform(F.filter("_f", lambda x: gap(x) <= nearest_min * MINUTE), lambda x: F.struct(gap(x).alias("g"), x.t.alias("t"), x.pop.alias("pop"), x.level.alias("level"))))
-    df = df.withColumns(
-        {
-            "_e": F.get(F.filter("_f", lambda x: x.t == t), F.lit(0)),
-            "_b": F.try_element_at(F.filter("_all", lambda x: x.t < t), F.lit(-1)),
-            "_a": F.get(F.filter("_all", lambda x: x.t > t), F.lit(0)),
-            "_c": close,
-        }
-    )
-    between = F.col("_b").isNotNull() & F.col("_a").isNotNull() & (F.col("_a.t") - F.col("_b.t") <= gap_min * MINUTE)
-    inside = (t >= seen) & (t - seen <= horizon_min * MINUTE)
-    method = (
-        F.when(~F.coalesce(inside, F.lit(False)), "none")
-        .when(conflict, "invalid_forecast")
-        .when(F.size("_f") == 0, "none")
-        .when(F.col("_e").isNotNull(), "exact")
-        .when(between, "interpolated")
-        .when(F.col("_c").isNotNull(), "nearest")
-        .otherwise("none")
-    )
-    df = df.withColumn("method", method)
-    share = (t - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
-
-    def value(c: str) -> Column:
-        return F.when(F.col("method") == "exact", F.col(f"_e.{c}")).when(F.col("method") == "interpolated", F.col(f"_b.{c}") + (F.col(f"_a.{c}") - F.col(f"_b.{c}")) * share).when(F.col("method") == "nearest", F.col(f"_c.{c}"))
-
-    return df.withColumn("est_pop", value("pop")).withColumn("est_level", half_up_level(value("level"))).drop("_g", "_f", "_all", "_e", "_b", "_a", "_c")
+    point = lambda x, t: F.struct(t.alias("t"), x.pop.cast("double").alias("pop"), x.level.cast("double").alias("level"))
+    given = F.array_distinct(F.transform(F.coalesce(F.col(forecast), F.array()), lambda x: point(x, micros(x.at))))
+    own = F.struct(micros(F.col(observed)).alias("t"), F.col(pop).cast("double").alias("pop"), F.col(level).cast("double").alias("level"))
+    asked = F.struct(given.alias("given"), own.alias("own"), micros(F.col(target)).alias("t"))
+
+    def anchors(x: Column) -> Column:
+        ahead = F.array_sort(F.filter(x.given, lambda f: (f.t > x.own.t) & (f.t - x.own.t <= horizon_min * MINUTE)))
+        twice = F.size(F.array_distinct(F.transform(x.given, lambda f: f.t))) < F.size(x.given)
+        return F.struct(x.own.alias("own"), x.t.alias("t"), ahead.alias("ahead"), twice.alias("twice"))
+
+    def places(x: Column) -> Column:
+        every = F.concat(F.array(x.own), x.ahead)
+        gap = lambda f: F.abs(f.t - x.t)
+        close = F.array_min(F.transform(F.filter(x.ahead, lambda f: gap(f) <= nearest_min * MINUTE), lambda f: F.struct(gap(f).alias("g"), f.t.alias("t"), f.pop.alias("pop"), f.level.alias("level"))))
+        return F.struct(
+            x.own.t.alias("seen"),
+            x.t.alias("t"),
+            x.twice.alias("twice"),
+            F.size(x.ahead).alias("n"),
+            F.get(F.filter(x.ahead, lambda f: f.t == x.t), F.lit(0)).alias("exact"),
+            F.try_element_at(F.filter(every, lambda f: f.t < x.t), F.lit(-1)).alias("before"),
+            F.get(F.filter(every, lambda f: f.t > x.t), F.lit(0)).alias("after"),
+            close.alias("close"),
+        )
+
+    def how(x: Column) -> Column:
+        between = x.before.isNotNull() & x.after.isNotNull() & (x.after.t - x.before.t <= gap_min * MINUTE)
+        inside = (x.t >= x.seen) & (x.t - x.seen <= horizon_min * MINUTE)
+        return (
+            F.when(~F.coalesce(inside, F.lit(False)), "none")
+            .when(x.twice, "invalid_forecast")
+            .when(x.n == 0, "none")
+            .when(x.exact.isNotNull(), "exact")
+            .when(between, "interpolated")
+            .when(x.close.isNotNull(), "nearest")
+            .otherwise("none")
+        )
+
+    def estimated(x: Column) -> Column:
+        share = (x.p.t - x.p.before.t) / (x.p.after.t - x.p.before.t)
+
+        def value(c: str) -> Column:
+            a, b = x.p.before.getField(c), x.p.after.getField(c)
+            return F.when(x.method == "exact", x.p.exact.getField(c)).when(x.method == "interpolated", a + (b - a) * share).when(x.method == "nearest", x.p.close.getField(c))
+
+        return F.struct(x.method.alias("method"), value("pop").alias("pop"), half_up_level(value("level")).alias("level"))
+
+    # every step stands once in the plan, however many columns ask for it
+    found = once(once(once(asked, anchors), places), lambda p: F.struct(p.alias("p"), how(p).alias("method")))
+    df = df.withColumn("_estimate", once(found, estimated))
+    return df.withColumns({"method": F.col("_estimate.method"), "est_pop": F.col("_estimate.pop"), "est_level": F.col("_estimate.level")}).drop("_estimate")
 
 
 def with_actual(estimated: DataFrame, actual: DataFrame, tolerance_min: float = 10.0) -> DataFrame:
@@ -85,7 +103,8 @@ def backtest(origins: DataFrame, actual: DataFrame, tolerance_min: float = 10.0,
     is skipped for the first reason that holds, in the order of the columns.
     """
     reason = F.when(F.coalesce(F.size("forecast"), F.lit(0)) <= 0, "no_forecast").when(F.col("method") == "invalid_forecast", "invalid_forecast").when(F.col("method") == "none", "no_target_estimate")
-    rows = origins.withColumn("_reason", reason)
+    # written, as both what is skipped and what is judged come from it
+    rows = written(origins.withColumn("_reason", reason))
     pairs = with_actual(rows.where("_reason IS NULL"), actual, tolerance_min)
     count = lambda r: F.count_if(F.col("_reason") == r).alias(f"skipped_{r}")
     asked = rows.agg(F.count(F.lit(1)).alias("origins"), *map(count, ["no_forecast", "invalid_forecast", "no_target_estimate"]))

@@ -124,11 +124,14 @@ def brand_name_matches(name: Column, aliases: Sequence[str]) -> Column:
 
 
 def merge_tiles(tiles: Sequence[DataFrame], key: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """Rows of overlapping tiles that lie in the box, once each; of rows with one key any one stays."""
-    out = tiles[0]
-    for t in tiles[1:]:
-        out = out.unionByName(t)
-    return in_box(out, box).dropDuplicates([key])
+    """Rows of overlapping tiles that lie in the box, once each; of rows with one key that of the first tile stays, and of several there the least."""
+    out = None
+    for i, t in enumerate(tiles):
+        numbered = in_box(t, box).withColumn("_tile", F.lit(i))
+        out = numbered if out is None else out.unionByName(numbered)
+    names = [c for c in tiles[0].columns if c != key]
+    row = F.struct("_tile", *names)
+    return out.groupBy(key).agg(F.min(row).alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in tiles[0].columns])
 
 
 def health(hotspots: DataFrame, snapshots: DataFrame, cafes: DataFrame, cycles: DataFrame, now: Column, hours: int = 24) -> DataFrame:

@@ -40,10 +40,17 @@ def weighted_kappa(df: DataFrame, group: list[str], a: str, b: str, levels: int
     return seen.join(expected, group).select(*group, "n", value.alias("kappa"))
 
 
-def weighted_stats(w: Column, x: Column) -> tuple[Column, Column, Column]:
-    """Mean, variance and effective number (the squared sum of weights by the sum of squares)."""
+def weighted_stats(w: Column, x: Column, around: Column | float = 0.0) -> tuple[Column, Column, Column]:
+    """Mean, variance and effective number (the squared sum of weights by the sum of squares).
+
+    Squares are of the distance to around, the same for all rows of a group; a
+    value near the mean keeps the variance's digits where it is small against
+    the mean.
+    """
+    d = x - around
+    off = F.sum(w * d) / F.sum(w)
     mean = F.sum(w * x) / F.sum(w)
-    var = F.greatest(F.lit(0.0), F.sum(w * x * x) / F.sum(w) - mean * mean)
+    var = F.greatest(F.lit(0.0), F.sum(w * d * d) / F.sum(w) - off * off)
     return mean, var, F.sum(w) * F.sum(w) / F.sum(w * w)
 
 

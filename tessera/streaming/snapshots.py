@@ -60,13 +60,14 @@ def cycle_row(batch: DataFrame, cycle_id: int, targets: int, ok: str) -> DataFra
     return n.select(F.lit(cycle_id).alias("cycle_id"), F.lit(targets).alias("targets"), "saved", F.greatest(F.lit(targets) - F.col("saved"), F.lit(0)).alias("failed"), status.alias("status"))
 
 
-def insert_new(target: str, keys: list[str], on_new: Callable[[DataFrame], None] | None = None, part: str | None = None) -> Callable[[DataFrame, int], None]:
+def insert_new(target: str, keys: list[str], on_new: Callable[[DataFrame], None] | None = None, *, part: str | None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends rows whose keys target doesn't hold yet, once for each key.
 
-    A batch that is run again after a failure adds nothing twice. on_new gets
-    the target if rows were added, and isn't called otherwise. With part, a
-    column that follows from the keys, such as a day, target is partitioned by
-    it and only the batch's parts are read.
+    A batch that is run again after a failure adds nothing twice; a null in a
+    key equals a null. on_new gets the target if rows were added, and isn't
+    called otherwise. part is a column that follows from the keys, such as a
+    day: target is partitioned by it, and only the batch's parts are read.
+    None reads the whole target with each batch, which suits small ones only.
     """
 
     def write(batch: DataFrame, _: int) -> None:
@@ -78,8 +79,11 @@ def insert_new(target: str, keys: list[str], on_new: Callable[[DataFrame], None]
         if there:
             held = spark.read.parquet(target)
             if part:
-                held = held.where(F.col(part).isin([r[0] for r in batch.select(part).distinct().collect()]))  # a batch's few days
-            fresh = fresh.join(held.select(*keys), keys, "left_anti")
+                days = [r[0] for r in batch.select(part).distinct().collect()]  # a batch's few days
+                held = held.where(F.col(part).isin([d for d in days if d is not None]) | (F.col(part).isNull() if None in days else F.lit(False)))
+            held = held.select(*[F.col(k).alias(f"_held_{i}") for i, k in enumerate(keys)])
+            on = [F.col(k).eqNullSafe(F.col(f"_held_{i}")) for i, k in enumerate(keys)]
+            fresh = fresh.join(held, on, "left_anti")
         fresh = fresh.persist()
         try:
             if not fresh.isEmpty():

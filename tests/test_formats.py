@@ -14,6 +14,11 @@ ADDRESSES = {
     "서울시 종로구 종로3길 5, 지하1층 101호": ("종로구", "종로3길", 5, None),
     "서울  중구　세종대로 １１０ (태평로1가 (신관))": ("중구", "세종대로", 110, None),
     "서울 중구 세종대로 110 B1층": ("중구", "세종대로", 110, None),
+    "서울 중구 세종대로 110 ((((a) b) (c)) d), 3층 (e)": ("중구", "세종대로", 110, None),
+    "서울시 마포구 월드컵로12길 3-4 제 2동 101호": ("마포구", "월드컵로12길", 3, 4),
+    "서울 중구 세종대로 110 ((a)": None,
+    "서울 중구 세종대로 110 a)(b": None,
+    "서울 중구 세종대로 110 (( ))": None,
     "서울 중구 세종대로 110 ()": None,
     "서울 중구 세종대로 110 (태평로": None,
     "서울 중구 세종대로 110,": None,

@@ -176,3 +176,57 @@ def test_baseline_with_holidays(spark):
     assert (got[4].bucket, got[4].raw_n) == ("nominal", 3)
     plain = {r.cell_id: r for r in baseline.temporal_baseline(df, "2024-03-08", 5, holidays=held).collect()}
     assert (plain[1].bucket, plain[1].raw_n) == ("exact", 7)  # the holiday isn't a working Friday
+
+
+def test_null_keys(spark, tmp_path):
+    from tessera.operators import audit
+    from tessera.streaming.snapshots import insert_new
+
+    rows = spark.createDataFrame([(1, "a"), (None, "a"), (None, None), (2, None)], "k int, day string")
+    for part in (None, "day"):
+        target = f"{tmp_path}/{part}"
+        write = insert_new(target, ["k", "day"], part=part)
+        write(rows, 0)
+        write(rows.union(rows), 1)
+        write(rows.where("k IS NULL").union(spark.createDataFrame([(3, None)], "k int, day string")), 2)
+        assert spark.read.parquet(target).count() == 5
+    left, right = spark.createDataFrame([(1,), (None,), (1,)], "k int"), spark.createDataFrame([(None,), (2,)], "k int")
+    assert sorted(map(str, (tuple(r) for r in audit.key_sides(left, right, "k").collect()))) == ["(1, 'left')", "(2, 'right')", "(None, 'both')"]
+
+
+def test_rows_of_overlapping_tiles(spark):
+    from tessera.operators.search import merge_tiles
+
+    a = spark.createDataFrame([(1, 1.0, 1.0, "old"), (2, 9.0, 1.0, "out")], "id int, lat double, lng double, name string")
+    b = spark.createDataFrame([(1, 1.0, 1.0, "new"), (3, 2.0, 2.0, "y"), (3, 2.0, 2.0, "x"), (4, 2.0, None, "z")], "id int, lat double, lng double, name string")
+    got = merge_tiles([a, b], "id", (0.0, 0.0, 5.0, 5.0)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1.0, 1.0, "old"), (3, 2.0, 2.0, "x")] and got[0].__fields__ == ["id", "lat", "lng", "name"]
+
+
+def test_small_variance_around_a_large_mean(spark):
+    from tessera.operators import stats
+
+    df = spark.createDataFrame([(1.0, 1e9 + 1), (1.0, 1e9 + 2), (2.0, 1e9 + 3)], "w double, x double")
+    mean, var, n = df.agg(*[c.alias(k) for k, c in zip("mvn", stats.weighted_stats(F.col("w"), F.col("x"), 1e9))]).first()
+    assert (mean - 1e9, var, n) == (2.25, 0.6875, 16 / 6)
+
+
+def test_folded_names_by_either_way(spark):
+    names = ["Café №1 ", "ＡＢ-c", "가나 12!", "ﬁx", "", None, "x_y", "é", "İ"]
+    df = text.with_folded_name(spark.createDataFrame([(n,) for n in names], "n string"), "n", "f").withColumn("g", text.folded_name(F.col("n")))
+    assert all(r.f == r.g for r in df.collect())
+
+
+def test_plan_of_the_backtest_stays_small(spark):
+    from tessera import catalog
+
+    df = catalog.QUERIES["nowcast_gates"](spark, "/root/testdata/sf0.001")
+    filters = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line]
+    assert all(len(line) < 2000 for line in filters)
+
+
+def test_one_radius_join_makes_scores_and_contributors(spark):
+    from tessera import catalog
+
+    df = catalog.QUERIES["materialize_scores"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("_cx") < 25

@@ -94,7 +94,7 @@ def test_stream_inserts_each_key_once(spark, arriving):
     events, path, tmp = arriving
     called = []
     for _ in range(2):
-        snapshots.start(snapshots.read_events(spark, path), str(tmp / "cp"), snapshots.insert_new(str(tmp / "out"), ["event_id"], lambda d: called.append(d.count()))).awaitTermination(120)
+        snapshots.start(snapshots.read_events(spark, path), str(tmp / "cp"), snapshots.insert_new(str(tmp / "out"), ["event_id"], lambda d: called.append(d.count()), part=None)).awaitTermination(120)
     out = spark.read.parquet(str(tmp / "out"))
     assert out.count() == events.count() == out.select("event_id").distinct().count() and called[-1] == events.count()
     good, bad = snapshots.split_valid(spark.read.parquet(path), F.col("value") > 10)
