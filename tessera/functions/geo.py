@@ -58,11 +58,29 @@ def shoelace_m2(lats: Column, lngs: Column, lat0: Column) -> Column:
     return F.abs(cross) / 2.0
 
 
-def inside(lat: Column, lng: Column, lats: Column, lngs: Column) -> Column:
-    """Whether a ring covers a point, its edges and corners included."""
+def edges_of(lats: Column, lngs: Column) -> Column:
+    """The edges of a ring of vertices, the last back to the first."""
     n = F.size(lats)
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(lngs, i).alias("x1"), F.get(lats, i).alias("y1"), F.get(lngs, (i + 1) % n).alias("x2"), F.get(lats, (i + 1) % n).alias("y2")))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(lngs, i).alias("x1"), F.get(lats, i).alias("y1"), F.get(lngs, (i + 1) % n).alias("x2"), F.get(lats, (i + 1) % n).alias("y2")))
+
+
+def on_edge(lat: Column, lng: Column, edges: Column) -> Column:
     side = lambda e: (e.x2 - e.x1) * (lat - e.y1) - (e.y2 - e.y1) * (lng - e.x1)
-    on = F.exists(edges, lambda e: (side(e) == 0) & lng.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & lat.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2)))
-    crossed = F.filter(edges, lambda e: ((e.y1 > lat) != (e.y2 > lat)) & (lng < e.x1 + (lat - e.y1) * (e.x2 - e.x1) / F.nullif(e.y2 - e.y1, F.lit(0.0))))
-    return on | (F.size(crossed) % 2 == 1)
+    return F.exists(edges, lambda e: (side(e) == 0) & lng.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & lat.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2)))
+
+
+def crossed(lat: Column, lng: Column, edges: Column) -> Column:
+    """How many edges a ray to the east crosses."""
+    return F.size(F.filter(edges, lambda e: ((e.y1 > lat) != (e.y2 > lat)) & (lng < e.x1 + (lat - e.y1) * (e.x2 - e.x1) / F.nullif(e.y2 - e.y1, F.lit(0.0)))))
+
+
+def inside(lat: Column, lng: Column, lats: Column, lngs: Column) -> Column:
+    """Whether a ring covers a point, its edges and corners included."""
+    edges = edges_of(lats, lngs)
+    return on_edge(lat, lng, edges) | (crossed(lat, lng, edges) % 2 == 1)
+
+
+def inside_rings(lat: Column, lng: Column, rings: Column) -> Column:
+    """Whether an area of several parts and holes (hole, lngs, lats) covers a point, edges of holes included."""
+    edges = F.flatten(F.transform(rings, lambda r: edges_of(r.lats, r.lngs)))
+    return on_edge(lat, lng, edges) | (crossed(lat, lng, edges) % 2 == 1)

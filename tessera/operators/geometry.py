@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import M_PER_DEGREE, haversine_m, inside
+from tessera.functions.geo import M_PER_DEGREE, haversine_m, inside, inside_rings
 from tessera.operators.spatial import nearest_k
 
 
@@ -32,17 +32,26 @@ def boundary_m(lat: Column, lng: Column, lats: Column, lngs: Column) -> Column:
 def near_areas(points: DataFrame, areas: DataFrame, radius_m: float, max_lat: float = 60.0, cell_m: float = 1000.0) -> DataFrame:
     """Pairs of points (cafe_id, lat, lng) and areas (hotspot_id, lats, lngs) with distance_m, 0 inside.
 
-    An area stands in every cell that its box widened by the radius touches,
-    a point in its own, so they meet by equal cells. Cells are
-    cell_m wide at least, which bounds the copies of an area.
+    areas may have rings instead of lats and lngs: several parts and holes, as
+    (hole, lngs, lats). An area stands in every cell that its box widened by
+    the radius touches, a point in its own, so they meet by equal cells. Cells
+    are cell_m wide at least, which bounds the copies of an area.
     """
     dy = max(radius_m, cell_m) / M_PER_DEGREE * 1.01
     dx = dy / math.cos(math.radians(max_lat))
     cells = lambda low, high, d: F.sequence(F.floor((low - d) / d), F.floor((high + d) / d))
-    spread = areas.withColumn("_cy", F.explode(cells(F.array_min("lats"), F.array_max("lats"), dy))).withColumn("_cx", F.explode(cells(F.array_min("lngs"), F.array_max("lngs"), dx)))
-    placed = points.withColumn("_cy", F.floor(F.col("lat") / dy)).withColumn("_cx", F.floor(F.col("lng") / dx))
-    ring = F.col("lats"), F.col("lngs")
-    d = F.when(inside(F.col("lat"), F.col("lng"), *ring), 0.0).otherwise(boundary_m(F.col("lat"), F.col("lng"), *ring))
+    lat, lng = F.col("lat"), F.col("lng")
+    if "rings" in areas.columns:
+        every = lambda c: F.flatten(F.transform("rings", lambda r: r[c]))
+        ends = {c: (F.array_min(every(c)), F.array_max(every(c))) for c in ("lats", "lngs")}
+        edge = F.array_min(F.transform("rings", lambda r: boundary_m(lat, lng, r.lats, r.lngs)))
+        d = F.when(inside_rings(lat, lng, F.col("rings")), 0.0).otherwise(edge)
+    else:
+        ends = {c: (F.array_min(c), F.array_max(c)) for c in ("lats", "lngs")}
+        ring = F.col("lats"), F.col("lngs")
+        d = F.when(inside(lat, lng, *ring), 0.0).otherwise(boundary_m(lat, lng, *ring))
+    spread = areas.withColumn("_cy", F.explode(cells(*ends["lats"], dy))).withColumn("_cx", F.explode(cells(*ends["lngs"], dx)))
+    placed = points.withColumn("_cy", F.floor(lat / dy)).withColumn("_cx", F.floor(lng / dx))
     return placed.join(spread, ["_cy", "_cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_cy", "_cx")
 
 
@@ -90,3 +99,24 @@ def cell_weights(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["hotspot_id", "cell_id", "weight"])
 
     return pairs.select("hotspot_id", "cell_id", "lats", "lngs", "c_lats", "c_lngs").mapInPandas(run, "hotspot_id bigint, cell_id bigint, weight double")
+
+
+def ring_weights(pairs: DataFrame) -> DataFrame:
+    """As cell_weights, for areas of several parts and holes: rows (hotspot_id, cell_id, weight) for pairs of rings and a convex cell.
+
+    Each ring is clipped by itself; holes take away what parts give, so parts
+    must not overlap, nor holes reach beyond their part.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                cell = list(zip(r.c_lngs, r.c_lats))
+                covered = sum((-1 if ring["hole"] else 1) * area(clip(list(zip(ring["lngs"], ring["lats"])), cell)) for ring in r.rings)
+                share = covered / area(cell)
+                if share > 0:
+                    rows.append((r.hotspot_id, r.cell_id, min(1.0, share)))
+            yield pd.DataFrame(rows, columns=["hotspot_id", "cell_id", "weight"])
+
+    return pairs.select("hotspot_id", "cell_id", "rings", "c_lats", "c_lngs").mapInPandas(run, "hotspot_id bigint, cell_id bigint, weight double")

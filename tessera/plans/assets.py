@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import tiles
+from tessera.operators import geometry
 from tessera.operators import stations as stops
 from tessera.operators import tracks
 from tessera.plans.registry import stored
@@ -46,3 +47,35 @@ def viewport_tiles(spark, sf_dir):
     wide = lambda c: c.cast("long")
     zoom = F.coalesce(first.z, F.lit(tiles.Cover().least_zoom))
     return rows.select("id", zoom.alias("z"), wide(F.size("t")).alias("tiles"), wide(first.x).alias("first_x"), wide(last.x).alias("last_x"), wide(first.y).alias("first_y"), wide(last.y).alias("last_y"))
+
+
+def rings_of_areas(spark, sf_dir):
+    """Areas of two rectangles, the first of which has a hole."""
+    h = load(spark, sf_dir, "hotspots").where("is_polled")
+    d = 0.002 + (F.col("hotspot_id") % 5).cast("double") * 0.001
+
+    def box(hole, lat, lng, half):
+        y0, y1, x0, x1 = lat - half, lat + half, lng - half, lng + half
+        return F.struct(F.lit(hole).alias("hole"), F.array(x0, x1, x1, x0).alias("lngs"), F.array(y0, y0, y1, y1).alias("lats"))
+
+    rings = F.array(box(False, F.col("lat"), F.col("lng"), d), box(True, F.col("lat"), F.col("lng"), d / 2.0), box(False, F.col("lat") + 0.02, F.col("lng"), d / 2.0))
+    return h.select("hotspot_id", rings.alias("rings"))
+
+
+@stored
+def points_in_parts(spark, sf_dir):
+    """Cafes in areas with holes and several parts."""
+    pairs = geometry.near_areas(load(spark, sf_dir, "cafes").select("cafe_id", "lat", "lng"), rings_of_areas(spark, sf_dir), 0.0)
+    return pairs.select("cafe_id", "hotspot_id")
+
+
+@stored
+def part_weights(spark, sf_dir):
+    """The share of each grid cell that an area with holes and several parts covers."""
+    a = rings_of_areas(spark, sf_dir)
+    every = lambda c: F.flatten(F.transform("rings", lambda r: r[c]))
+    rows = lambda c, low: F.sequence(F.floor((F.array_min(every(c)) - low) / 0.01), F.floor((F.array_max(every(c)) - low) / 0.01))
+    pairs = a.withColumn("y", F.explode(rows("lats", 37.43))).withColumn("x", F.explode(rows("lngs", 126.80))).where("y BETWEEN 0 AND 26 AND x BETWEEN 0 AND 35")
+    cy, cx = 37.43 + F.col("y") * 0.01, 126.80 + F.col("x") * 0.01
+    pairs = pairs.withColumn("cell_id", F.col("y") * 100 + F.col("x")).withColumn("c_lats", F.array(cy, cy, cy + 0.01, cy + 0.01)).withColumn("c_lngs", F.array(cx, cx + 0.01, cx + 0.01, cx))
+    return geometry.ring_weights(pairs).where("weight > 1e-7").withColumn("weight", F.round("weight", 6))
