@@ -119,6 +119,61 @@ def number_profile(df: DataFrame, value: str, extreme: float) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.count_if(v > extreme).alias("extremes"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
+def rule_counts(df: DataFrame, rules: Mapping[str, str], table: str) -> DataFrame:
+    """(table, rule, n): how many rows don't meet each rule, a condition in SQL; null is no violation, as in constraints."""
+    counts = df.agg(*[F.count_if(~F.coalesce(F.expr(text), F.lit(True))).alias(name) for name, text in rules.items()])
+    items = F.array(*[F.struct(F.lit(table).alias("table"), F.lit(name).alias("rule"), F.col(name).alias("n")) for name in rules])
+    return counts.select(F.inline(items))
+
+
+def strata_metrics(pairs: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Errors of value against actual and level against actual_level: in all, by each of strata, and by all of them.
+
+    Columns: strata (null where a row is about all of them), stratum (the
+    names that it is by), n, mae, wape, bias, exact and adjacent.
+    """
+    gap = F.col("value") - F.col("actual")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    metrics = [
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.abs(gap)).alias("mae"),
+        F.when(F.sum("actual") > 0, F.sum(F.abs(gap)) / F.sum("actual")).alias("wape"),
+        F.avg(gap).alias("bias"),
+        share(F.col("level") == F.col("actual_level")).alias("exact"),
+        share(F.abs(F.col("level") - F.col("actual_level")) <= 1).alias("adjacent"),
+    ]
+    by = F.concat_ws("+", *[F.when(F.grouping(s) == 0, s) for s in strata]).alias("stratum")
+    return pairs.cube(*strata).agg(by, *metrics)
+
+
+def refresh_plan(old: DataFrame, new: DataFrame, key: str, changes: Mapping[str, Column], moved: Column, large_m: float = 80.0) -> DataFrame:
+    """One row: rows in both tables, changed and unchanged ones, by kind of change, large moves, and keys of one table alone."""
+    sides = key_sides(old, new, key).agg(F.count_if(F.col("side") == "left").alias("missing"), F.count_if(F.col("side") == "right").alias("added"))
+    hit = F.lit(False)
+    for c in changes.values():
+        hit = hit | F.coalesce(c, F.lit(False))
+    rows = old.join(new, key)
+    plan = rows.agg(F.count(F.lit(1)).alias("matched"), F.count_if(hit).alias("changed"), F.count_if(~hit).alias("unchanged"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in changes.items()], F.count_if(moved > large_m).alias("large_moves"))
+    return plan.crossJoin(sides)  # a row each
+
+
+def top_moves(rows: DataFrame, moved: Column, key: str, n: int = 20) -> DataFrame:
+    """The n rows that moved farthest, ties by key."""
+    return rows.withColumn("moved_m", moved).where("moved_m IS NOT NULL").orderBy(F.desc("moved_m"), key).limit(n)
+
+
+def best_by_band(rows: DataFrame, group: str, band: str, order: Sequence[Column], per_band: int) -> DataFrame:
+    """Adds place, and keeps the first per_band rows of each group and band."""
+    w = Window.partitionBy(group, band).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_band)
+
+
+def shortages(chosen: DataFrame, groups: DataFrame, group: str, band: str, bands: Sequence[str], per_band: int) -> DataFrame:
+    """(group, band, found, wanted) where a group's band has fewer rows than wanted, none included."""
+    counts = matrix(chosen, groups, bands, group, band)
+    return counts.where(F.col("n") < per_band).select(group, band, F.col("n").alias("found"), F.lit(per_band).alias("wanted"))
+
+
 def angle_gap(a: Column, b: Column) -> Column:
     """Degrees between two bearings, 180 at most."""
     gap = F.pmod(F.abs(a - b), F.lit(360.0))

@@ -48,6 +48,10 @@ def temporal_baseline(history: DataFrame, cutoff: str, weekday: int, p: Baseline
     last two takes the holiday window and half-life, and before all days the
     bucket of its weekday with the type it would have without holidays; an
     empty bucket is passed over as a parent.
+
+    raw_n, effective_n and masked_share, the share of masked rows, are of the
+    chosen bucket before it is shrunk; fallback_depth is its place, 0 for the
+    finest. A cell, day and hour must have one row (see history_faults).
     """
     window, half_life, special = p.window_days, p.half_life_days, False
     if holidays is not None:
@@ -73,11 +77,11 @@ def temporal_baseline(history: DataFrame, cutoff: str, weekday: int, p: Baseline
         if special:
             member["nominal"] = (wd == weekday) & (kind == nominal_type(F.lit(weekday)))
         member["hour"] = F.lit(True)
-    rows = rows.select("cell_id", "hour", x.alias("x"), w.alias("w"), *[m.alias(f"is_{k}") for k, m in member.items()])
+    rows = rows.select("cell_id", "hour", "masked", x.alias("x"), w.alias("w"), *[m.alias(f"is_{k}") for k, m in member.items()])
     sums = []
     for k in member:
         on = lambda v, k=k: F.sum(F.when(F.col(f"is_{k}"), v).otherwise(0.0))
-        sums += [F.count_if(F.col(f"is_{k}")).alias(f"n_{k}"), on(F.col("w")).alias(f"w_{k}"), on(F.col("w") * F.col("w")).alias(f"ww_{k}"), on(F.col("w") * F.col("x")).alias(f"x_{k}"), on(F.col("w") * F.col("x") * F.col("x")).alias(f"xx_{k}")]
+        sums += [F.count_if(F.col(f"is_{k}")).alias(f"n_{k}"), F.count_if(F.col(f"is_{k}") & F.col("masked")).alias(f"masked_{k}"), on(F.col("w")).alias(f"w_{k}"), on(F.col("w") * F.col("w")).alias(f"ww_{k}"), on(F.col("w") * F.col("x")).alias(f"x_{k}"), on(F.col("w") * F.col("x") * F.col("x")).alias(f"xx_{k}")]
     b = rows.groupBy("cell_id", "hour").agg(*sums)
     for k in member:
         b = b.withColumn(f"mean_{k}", F.try_divide(f"x_{k}", f"w_{k}")).withColumn(f"var_{k}", F.greatest(F.lit(0.0), F.try_divide(f"xx_{k}", f"w_{k}") - F.col(f"mean_{k}") * F.col(f"mean_{k}"))).withColumn(f"neff_{k}", F.try_divide(F.col(f"w_{k}") * F.col(f"w_{k}"), F.col(f"ww_{k}")))
@@ -109,7 +113,26 @@ def temporal_baseline(history: DataFrame, cutoff: str, weekday: int, p: Baseline
         pick({k: F.col(f"neff_{k}") for k in member}).alias("effective_n"),
         F.expm1(pick(means)).alias("expected"),
         F.sqrt(pick(variances)).alias("dispersion"),
+        pick({k: F.try_divide(f"masked_{k}", f"n_{k}") for k in member}).alias("masked_share"),
+        pick({k: F.lit(i) for i, k in enumerate(member)}).alias("fallback_depth"),
+    )
+
+
+def history_faults(history: DataFrame) -> DataFrame:
+    """Rows of history that teach nothing sound, with fault, the first of: cell, hour, masked_with_value, no_value, value, repeated."""
+    v = F.col("value")
+    again = history.groupBy("cell_id", "observed_date", "hour").count().where("count > 1").drop("count").withColumn("_again", F.lit(True))
+    rows = history.join(again, ["cell_id", "observed_date", "hour"], "left")
+    masked = F.coalesce(F.col("masked"), F.lit(False))
+    fault = (
+        F.when(F.col("cell_id").isNull() | (F.trim(F.col("cell_id").cast("string")) == ""), "cell")
+        .when(~F.coalesce(F.col("hour").between(0, 23), F.lit(False)), "hour")
+        .when(masked & v.isNotNull(), "masked_with_value")
+        .when(~masked & v.isNull(), "no_value")
+        .when(~masked & ~F.coalesce((v >= 0) & (v < F.lit(float("inf"))), F.lit(False)), "value")
+        .when(F.col("_again"), "repeated")
     )
+    return rows.withColumn("fault", fault).where("fault IS NOT NULL").drop("_again")
 
 
 def anomaly(value: Column, expected: Column, dispersion: Column, p: Anomaly = Anomaly()) -> Column:

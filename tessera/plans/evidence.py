@@ -6,10 +6,11 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tessera.operators import activity, evaluation, fragments, od_report, slo
+from tessera import schemas
+from tessera.operators import activity, audit, baseline, evaluation, fragments, od_report, slo
 from tessera.operators.spatial import nearest_k, radius_pairs
 from tessera.plans.registry import stored
-from tessera.plans.scores import now, observations
+from tessera.plans.scores import delay_pairs, now, observations, scores
 from tessera.scratch import scratch_path
 from tessera.sources.adapters import load
 from tessera.streaming.rescore import Rescorer
@@ -201,3 +202,73 @@ def rescored_scores(spark, sf_dir):
     made = scorer.scores(spark)
     text = F.array_join(F.transform("contributors", lambda x: x.hotspot_id.cast("string")), ",")
     return made.select("cafe_id", F.round("score", 6).alias("score"), "coverage", "neighbours", "primary_hotspot_id", F.round("confidence", 9).alias("confidence"), F.coalesce(text, F.lit("")).alias("contributors"))
+
+
+HOLIDAYS = [date(1995, 5, 5), date(1995, 3, 1), date(1994, 10, 3), date(1994, 9, 20), date(1993, 5, 5)]
+
+
+@stored
+def holiday_baseline(spark, sf_dir):
+    """Baselines for a holiday that makes a long weekend, from cells' days in three years."""
+    rows = load(spark, sf_dir, "cell_fragments").groupBy("cell_id", "observed_date", "hour").agg(F.bool_and("masked").alias("masked"), F.sum("known_value").cast("double").alias("value"))
+    made = baseline.temporal_baseline(rows, "1995-05-05", 5, holidays=HOLIDAYS)
+    return made.select("cell_id", "hour", "bucket", "raw_n", F.round("effective_n", 6).alias("effective_n"), F.round("expected", 3).alias("expected"), F.round("dispersion", 6).alias("dispersion"), F.round("masked_share", 9).alias("masked_share"), "fallback_depth")
+
+
+@stored
+def rule_violations(spark, sf_dir):
+    """How many rows of each table break the rules of its schema."""
+    tables = {
+        "hotspots": load(spark, sf_dir, "hotspots"),
+        "hotspot_snapshots": load(spark, sf_dir, "snapshots").select(F.when(F.col("event_id") % 5 == 0, 5).otherwise(F.col("level")).alias("congest_level"), "ppltn_min", (F.col("ppltn_max") - 600).alias("ppltn_max")),
+        "cafes": load(spark, sf_dir, "cafes"),
+        "ingest_cycles": load(spark, sf_dir, "cycle_states"),
+        "cafe_scores": scores(spark, sf_dir),
+    }
+    out = None
+    for name, df in tables.items():
+        one = audit.rule_counts(df, schemas.RULES[name], name)
+        out = one if out is None else out.union(one)
+    return out
+
+
+@stored
+def strata_metrics(spark, sf_dir):
+    """Persistence for an hour: in all, by part of the city, by day, and by both."""
+    rows = delay_pairs(spark, sf_dir).where("horizon = 60")
+    rows = rows.select((F.col("hotspot_id") % 4).cast("int").alias("part"), F.to_date("target").alias("day"), F.col("pop").alias("value"), F.col("a_pop").alias("actual"), "level", F.col("a_level").alias("actual_level"))
+    made = audit.strata_metrics(rows, ["part", "day"])
+    return made.select("stratum", "part", "day", "n", *[F.round(c, 6).alias(c) for c in ("mae", "wape", "bias", "exact", "adjacent")])
+
+
+def both_releases(spark, sf_dir):
+    old = load(spark, sf_dir, "catalogue_a").where("place_id % 9 <> 4")
+    new = load(spark, sf_dir, "catalogue_b").where("place_id < 2000000").select((F.col("place_id") - 1000000).alias("place_id"), *(F.col(c).alias(f"new_{c}") for c in ("norm_name", "phone", "lat", "lng")))
+    moved = F.abs(F.col("lat") - F.col("new_lat")) * 111320.0
+    return old, new, moved
+
+
+@stored
+def refresh_plan(spark, sf_dir):
+    """What a refresh would change, before anything is."""
+    old, new, moved = both_releases(spark, sf_dir)
+    changes = {"names": audit.differs(F.col("norm_name"), F.col("new_norm_name")), "phones": audit.differs(F.col("phone"), F.col("new_phone")), "places": audit.differs(F.col("lat"), F.col("new_lat"), 1e-12)}
+    return audit.refresh_plan(old, new, "place_id", changes, moved)
+
+
+@stored
+def largest_moves(spark, sf_dir):
+    """The twenty places that a refresh would move farthest."""
+    old, new, moved = both_releases(spark, sf_dir)
+    return audit.top_moves(old.join(new, "place_id"), F.round(moved, 3), "place_id").select("place_id", "moved_m")
+
+
+@stored
+def band_shortages(spark, sf_dir):
+    """Hotspots and bands with fewer than two candidates for evaluation."""
+    d = F.col("primary_distance_m")
+    band = F.when(d <= 300, "near").when(d <= 600, "mid").when(d <= 1500, "fringe")
+    rows = scores(spark, sf_dir).where(d.isNotNull()).select("cafe_id", F.col("primary_hotspot_id").alias("hotspot_id"), "primary_distance_m", band.alias("band"))
+    rows = rows.join(load(spark, sf_dir, "cafes").select("cafe_id", "source_confidence"), "cafe_id")
+    chosen = audit.best_by_band(rows, "hotspot_id", "band", [F.desc("source_confidence"), F.col("primary_distance_m"), F.col("cafe_id")], 2)
+    return audit.shortages(chosen, load(spark, sf_dir, "hotspots").where("is_polled"), "hotspot_id", "band", ["near", "mid", "fringe"], 2)

@@ -99,7 +99,7 @@ def baselines(spark, sf_dir):
 
 @query(f"WITH {BASELINE} SELECT cell_id, hour, bucket, CAST(raw_n AS BIGINT) AS raw_n, round(effective_n, 6) AS effective_n, round(exp(mean) - 1, 4) AS expected, round(sqrt(var), 6) AS dispersion FROM base")
 def temporal_baseline(spark, sf_dir):
-    return baselines(spark, sf_dir).withColumns({"effective_n": F.round("effective_n", 6), "expected": F.round("expected", 4), "dispersion": F.round("dispersion", 6)})
+    return baselines(spark, sf_dir).drop("masked_share", "fallback_depth").withColumns({"effective_n": F.round("effective_n", 6), "expected": F.round("expected", 4), "dispersion": F.round("dispersion", 6)})
 
 
 @query(f"""WITH {BASELINE}, day AS (SELECT cell_id, hour, fragment_id, CAST(known_value AS DOUBLE) AS v FROM cell_fragments WHERE observed_date = DATE '{CUTOFF}' AND known_value IS NOT NULL)

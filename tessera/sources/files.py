@@ -61,6 +61,38 @@ def parse_area(raw: Column) -> Column:
     return F.struct(j.AREA_CD.alias("area_cd"), level.alias("level"), count(j.AREA_PPLTN_MIN).alias("ppltn_min"), count(j.AREA_PPLTN_MAX).alias("ppltn_max"), at.alias("observed_at"), j.FCST_PPLTN.alias("forecast"))
 
 
+def find_record(raw: Column, needed: tuple[str, ...] = ("AREA_CD", "PPLTN_TIME")) -> Column:
+    """The first object of a JSON text that has all fields needed, however deep it lies, as JSON text; null without one.
+
+    Objects are searched before what they hold, lists and fields in order.
+    """
+
+    @F.pandas_udf("string")
+    def search(texts: pd.Series) -> pd.Series:
+        def found(value: object) -> dict | None:
+            queue = [value]
+            while queue:
+                v = queue.pop()
+                if isinstance(v, dict):
+                    if all(k in v for k in needed):
+                        return v
+                    queue += reversed(list(v.values()))
+                elif isinstance(v, list):
+                    queue += reversed(v)
+            return None
+
+        def one(text: str | None) -> str | None:
+            try:
+                hit = found(json.loads(text)) if text else None
+            except ValueError:
+                return None
+            return None if hit is None else json.dumps(hit, ensure_ascii=False)
+
+        return texts.map(one)
+
+    return search(raw)
+
+
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that break no rule, and the others with errors, the names of all that they break."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())

@@ -230,3 +230,30 @@ def test_one_radius_join_makes_scores_and_contributors(spark):
 
     df = catalog.QUERIES["materialize_scores"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("_cx") < 25
+
+
+def test_history_that_teaches_nothing(spark):
+    day = date(2024, 1, 1)
+    rows = [("a", day, 1, False, 1.0), ("b", day, 24, False, 1.0), ("c", day, 1, True, 1.0), ("d", day, 1, False, None), ("e", day, 1, False, -1.0), ("f", day, 1, True, None), ("f", day, 1, False, 2.0), (None, day, 1, True, None), ("g", day, 1, False, float("nan"))]
+    df = spark.createDataFrame(rows, "cell_id string, observed_date date, hour int, masked boolean, value double")
+    got = sorted((r.cell_id or "", r.fault) for r in baseline.history_faults(df).collect())
+    assert got == [("", "cell"), ("b", "hour"), ("c", "masked_with_value"), ("d", "no_value"), ("e", "value"), ("f", "repeated"), ("f", "repeated"), ("g", "value")]
+
+
+def test_plans_and_shortages(spark):
+    from tessera.operators import audit
+
+    old = spark.createDataFrame([(1, "a", 0.0), (2, "b", 0.0), (3, "c", 0.0)], "id int, name string, at double")
+    new = spark.createDataFrame([(1, "a", 0.0), (2, "x", 90.0), (4, "d", 0.0)], "id int, new_name string, to double")
+    moved = F.abs(F.col("at") - F.col("to"))
+    plan = audit.refresh_plan(old, new, "id", {"names": audit.differs(F.col("name"), F.col("new_name"))}, moved).first().asDict()
+    assert plan == {"matched": 2, "changed": 1, "unchanged": 1, "names": 1, "large_moves": 1, "missing": 1, "added": 1}
+    assert [r.id for r in audit.top_moves(old.join(new, "id"), moved, "id", 1).collect()] == [2]
+    rows = spark.createDataFrame([("h", "near", 1), ("h", "near", 2), ("h", "near", 3), ("h", "mid", 4)], "h string, band string, c int")
+    chosen = audit.best_by_band(rows, "h", "band", [F.desc("c")], 2)
+    assert sorted((r.band, r.c, r.place) for r in chosen.collect()) == [("mid", 4, 1), ("near", 2, 2), ("near", 3, 1)]
+    groups = spark.createDataFrame([("h",), ("i",)], "h string")
+    short = audit.shortages(chosen, groups, "h", "band", ["near", "mid"], 2).collect()
+    assert sorted(tuple(r) for r in short) == [("h", "mid", 1, 2), ("i", "mid", 0, 2), ("i", "near", 0, 2)]
+    counts = audit.rule_counts(spark.createDataFrame([(1,), (7,), (None,)], "v int"), {"small": "v < 5", "known": "v IS NOT NULL"}, "t").collect()
+    assert [tuple(r) for r in counts] == [("t", "small", 1), ("t", "known", 1)]

@@ -116,3 +116,12 @@ def test_stream_state_equals_batch(spark, arriving):
     assert firsts.count() == events.count()
     windows = run(snapshots.windowed_counts(snapshots.read_events(spark, path), "1 day", "90 days"), "append", "windows", tmp)
     assert windows.columns == ["start", "event_type", "n", "total"]
+
+
+def test_records_at_any_depth(spark):
+    from tessera.sources.files import find_record, parse_area
+
+    area = {"AREA_CD": "P1", "AREA_CONGEST_LVL": "보통", "AREA_PPLTN_MIN": "1", "AREA_PPLTN_MAX": "2", "PPLTN_TIME": "2024-01-01 09:00"}
+    texts = [json.dumps(area), json.dumps({"a": [{"AREA_CD": "x"}, {"b": {"c": [area | {"AREA_CD": "P2"}, area]}}]}), "[]", "{", None, json.dumps({"AREA_CD": "P1"})]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse_area(find_record(F.col("t"))).alias("a"))
+    assert [r.a.area_cd if r.a else None for r in df.orderBy("i").collect()] == ["P1", "P2", None, None, None, None]
