@@ -3,7 +3,7 @@ WITH
 , base AS (SELECT hotspot_id, avg(ppltn_min) AS mean, CASE WHEN hotspot_id % 9 = 0 THEN NULL ELSE stddev_pop(ln(1 + CAST(ppltn_min AS DOUBLE))) END AS spread FROM snapshots GROUP BY hotspot_id),
 c AS (
   SELECT n.*, b.mean, b.spread, CASE WHEN n.hotspot_id % 37 = 0 THEN 0 ELSE 1 / pow(greatest(d, 50), 2) END AS w, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(observed_at)) / CAST(60000000 AS DOUBLE) > 720 AS stale,
-    CASE WHEN n.hotspot_id % 41 = 0 THEN 'reference_raw_n' WHEN n.hotspot_id % 37 = 0 THEN 'weight' END AS fault, ln(1 + CAST(ppltn_min AS DOUBLE)) - ln(1 + mean) AS a, ln(1 + CAST(ppltn_max AS DOUBLE)) - ln(1 + mean) AS b
+    CASE WHEN n.hotspot_id % 41 = 0 THEN 'reference_raw_n' WHEN n.hotspot_id % 37 = 0 THEN 'weight' WHEN fetched_at > TIMESTAMP '2024-01-31 00:02:00' THEN 'fetched_in_the_future' END AS fault, ln(1 + CAST(ppltn_min AS DOUBLE)) - ln(1 + mean) AS a, ln(1 + CAST(ppltn_max AS DOUBLE)) - ln(1 + mean) AS b
   FROM near n JOIN base b ON b.hotspot_id = n.hotspot_id),
 x AS (SELECT *, CASE WHEN spread >= 1e-6 THEN greatest(-5, least(5, a / spread)) END AS sa, CASE WHEN spread >= 1e-6 THEN greatest(-5, least(5, b / spread)) END AS sb, sum(w) OVER (PARTITION BY cafe_id) AS ws FROM c),
 e AS (
