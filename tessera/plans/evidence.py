@@ -65,7 +65,7 @@ def od_artifact(spark, sf_dir):
     whole = lambda c, k: F.round(c * k).cast("long").cast("string")
     text = F.array_join(F.transform("purposes", lambda x: F.concat_ws(":", x.purpose.cast("string"), whole(x["count"], 1000), whole(x.ratio, 1000000))), ",")
     shown = ["zone_id", "name", "hour", "local_time", "inbound", "outbound", "net", "intrazonal_inbound", "intrazonal_outbound", "mean_distance_m", "mean_duration_min", "placed_rows", "total_rows", "placed_ratio", "direction_coverage"]
-    return made.select(*shown, text.alias("purposes"), F.col("centroid.lat").alias("lat"), F.round("strength", 6).alias("strength"), F.round("heading_deg", 4).alias("heading_deg"))
+    return made.select(*shown, text.alias("purposes"), F.col("centroid.lat").alias("lat"), F.round("strength", 6).alias("strength"), F.round("heading_deg", 3).alias("heading_deg"))
 
 
 @stored

@@ -18,6 +18,6 @@ z AS (
 SELECT z.zone_id, c.name, z.hour, printf('%02d:00', z.hour) AS local_time, round(inbound, 6) AS inbound, round(outbound, 6) AS outbound, round(inbound - outbound, 6) AS net, round(intra_in, 6) AS intrazonal_inbound, round(intra_out, 6) AS intrazonal_outbound,
   coalesce(p.purposes, '') AS purposes, CASE WHEN inbound > 0 THEN round(distance / inbound, 6) END AS mean_distance_m, CASE WHEN inbound > 0 THEN round(duration / inbound, 6) END AS mean_duration_min, c.lat,
   coalesce(placed_rows, 0) AS placed_rows, coalesce(total_rows, 0) AS total_rows, CASE WHEN inbound > 0 THEN round(placed_flow / inbound, 9) END AS placed_ratio,
-  round(round(CASE WHEN known > 0 THEN least(1, sqrt(e * e + n * n) / known) END, 9), 6) AS strength, round(round(CASE WHEN known > 0 AND sqrt(e * e + n * n) / known > 1e-9 THEN (degrees(atan2(e, n)) + 360) % 360 END, 6), 4) AS heading_deg,
+  round(round(CASE WHEN known > 0 THEN least(1, sqrt(e * e + n * n) / known) END, 9), 6) AS strength, round(round(CASE WHEN known > 0 AND sqrt(e * e + n * n) / known > 1e-9 THEN (degrees(atan2(e, n)) + 360) % 360 END, 6), 3) AS heading_deg,
   round(coalesce(known / eligible, 0), 9) AS direction_coverage
 FROM z LEFT JOIN pur p ON p.zone_id = z.zone_id AND p.hour = z.hour LEFT JOIN od_centroids c ON c.zone_id = z.zone_id WHERE z.hour IN (8, 14) AND inbound + outbound > 0
