@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import geometry, nowcast, permits, scoring, stations, sweep, temporal
+from tessera.operators import geometry, nowcast, permits, scoring, stations, sweep
 from tessera.plans.registry import query, sql_of
 from tessera.plans.scores import AGE, HAVERSINE, LATEST, NEAR, PAIR, now, observations
 from tessera.sources.adapters import load
