@@ -269,7 +269,7 @@ class Model:
         for part in self.cut(piece):
             if part in self.specials:
                 out.append(array("i", [self.specials[part]]).tobytes())
-            elif part.isascii():
+            elif part.isascii() and part.isprintable():
                 out += map(self.words.__getitem__, self.split(part.lower()))
             elif part:  # the library's own tables say what is a letter and which is its lower case
                 low = self.library.normalizer.normalize_str(part)
