@@ -35,7 +35,7 @@ def viewport_range(west: Column, south: Column, east: Column, north: Column, z:
     whole = far - west >= 360.0
     row = lambda y: F.greatest(F.lit(0), F.least(F.lit(n - 1), y)).cast("int")
     x0 = F.when(whole, 0).otherwise(F.floor(x_of(west, n))).cast("int")
-    x1 = F.when(whole, n - 1).otherwise(F.ceil(x_of(far, n)) - 1).cast("int")
+    x1 = F.when(whole, n - 1).otherwise(F.least(F.ceil(x_of(far, n)) - 1, F.floor(x_of(west, n)) + n - 1)).cast("int")
     return F.struct(F.lit(z).alias("z"), x0.alias("x0"), x1.alias("x1"), row(F.floor(y_of(north, n, p))).alias("y0"), row(F.ceil(y_of(south, n, p)) - 1).alias("y1"))
 
 
@@ -43,23 +43,34 @@ def range_size(r: Column) -> Column:
     return F.greatest(F.lit(0), r.x1 - r.x0 + 1) * F.greatest(F.lit(0), r.y1 - r.y0 + 1)
 
 
-def cover(west: Column, south: Column, east: Column, north: Column, zoom: Column, p: Cover = Cover()) -> Column:
-    """The array of tiles (z, x, y) for a viewport: at its zoom, or at the first one out from it that needs budget tiles at most.
+def cover_range(west: Column, south: Column, east: Column, north: Column, zoom: Column, p: Cover = Cover()) -> Column:
+    """The range (z, x0, x1, y0, y1) of the tiles for a viewport: at its zoom, or at the first one out from it that needs budget tiles at most.
 
-    At the least zoom the budget doesn't hold. An east before west means that
-    the viewport lies across the antimeridian; tiles beyond it have their own
-    numbers, and none comes twice.
+    At the least zoom the budget doesn't hold. x1 lies less than a turn from
+    x0, so no tile comes twice; where an end lies before its start there is none.
     """
     wanted = F.greatest(F.lit(p.least_zoom), F.least(F.lit(p.most_zoom), F.floor(zoom)))
     chosen = viewport_range(west, south, east, north, p.least_zoom, p)
     for z in range(p.least_zoom + 1, p.most_zoom + 1):
         r = viewport_range(west, south, east, north, z, p)
         chosen = F.when((F.lit(z) <= wanted) & (range_size(r) <= p.budget), r).otherwise(chosen)
-    n = F.call_function("shiftleft", F.lit(1), chosen.z)
-    some = range_size(chosen) > 0
-    xs = F.array_distinct(F.transform(F.when(some, F.sequence(chosen.x0, chosen.x1)), lambda x: F.pmod(x, n)))
-    ys = F.when(some, F.sequence(chosen.y0, chosen.y1))
-    tiles = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(chosen.z.alias("z"), x.alias("x"), y.alias("y")))))
+    return chosen
+
+
+def cover(west: Column, south: Column, east: Column, north: Column, zoom: Column, p: Cover = Cover()) -> Column:
+    """The array of tiles (z, x, y) in a viewport's cover_range.
+
+    An east before west means that the viewport lies across the antimeridian;
+    tiles beyond it have their own numbers, and none comes twice.
+    """
+
+    def tiles_of(r: Column) -> Column:
+        n = F.call_function("shiftleft", F.lit(1), r.z)
+        tile = lambda x: F.transform(F.sequence(r.y0, r.y1), lambda y: F.struct(r.z.alias("z"), F.pmod(x, n).alias("x"), y.alias("y")))
+        return F.when(range_size(r) > 0, F.flatten(F.transform(F.sequence(r.x0, r.x1), tile)))
+
+    # as the argument of a lambda, the range is found once, not for each tile
+    tiles = F.get(F.transform(F.array(cover_range(west, south, east, north, zoom, p)), tiles_of), F.lit(0))
     return F.coalesce(tiles, F.expr("CAST(array() AS array<struct<z:int,x:int,y:int>>)"))
 
 

@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.functions import tiles
 from tessera.operators import activity, evaluation, materialize, slo, temporal
 from tessera.sources import paged
@@ -226,6 +227,15 @@ def test_tiles(spark):
     assert [r[0] for r in inside.collect()] == [True, True, False, False]
 
 
+def test_wide_viewports_list_no_tiles(spark, sf_dir):
+    plan = catalog.QUERIES["viewport_tiles"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # a whole turn at the least zoom would be a million tiles in one row
+    views = spark.createDataFrame([(-180.0, -90.0, 180.0, 90.0, 12.0), (10.0, 0.0, 369.9999, 1.0, 10.0), (0.0, 0.0, 0.0, 0.0, 12.0)], "west double, south double, east double, north double, zoom double")
+    r = tiles.cover_range(*map(F.col, views.columns))
+    got = views.select(tiles.range_size(r).alias("n"), F.size(tiles.cover(*map(F.col, views.columns))).alias("listed")).collect()
+    assert [x.n for x in got] == [x.listed for x in got] and got[0].n == 1 << 20 and got[2].n == 0
+
+
 CALLS = "/tmp/tessera-paged-calls"
 
 
