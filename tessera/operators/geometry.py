@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import M_PER_DEGREE, haversine_m, inside, inside_rings
-from tessera.operators.spatial import nearest_k
 
 
 def boundary_m(lat: Column, lng: Column, lats: Column, lngs: Column) -> Column:
@@ -30,12 +29,13 @@ def boundary_m(lat: Column, lng: Column, lats: Column, lngs: Column) -> Column:
 
 
 def near_areas(points: DataFrame, areas: DataFrame, radius_m: float, max_lat: float = 60.0, cell_m: float = 1000.0) -> DataFrame:
-    """Pairs of points (cafe_id, lat, lng) and areas (hotspot_id, lats, lngs) with distance_m, 0 inside.
+    """Pairs of points (lat, lng) and areas (lats, lngs) with distance_m, 0 inside.
 
     areas may have rings instead of lats and lngs: several parts and holes, as
     (hole, lngs, lats). An area stands in every cell that its box widened by
     the radius touches, a point in its own, so they meet by equal cells. Cells
-    are cell_m wide at least, which bounds the copies of an area.
+    are cell_m wide at least, which bounds the copies of an area. Only points
+    in the widened box are measured against the edges.
     """
     dy = max(radius_m, cell_m) / M_PER_DEGREE * 1.01
     dx = dy / math.cos(math.radians(max_lat))
@@ -50,17 +50,53 @@ def near_areas(points: DataFrame, areas: DataFrame, radius_m: float, max_lat: fl
         ends = {c: (F.array_min(c), F.array_max(c)) for c in ("lats", "lngs")}
         ring = F.col("lats"), F.col("lngs")
         d = F.when(inside(lat, lng, *ring), 0.0).otherwise(boundary_m(lat, lng, *ring))
-    spread = areas.withColumn("_cy", F.explode(cells(*ends["lats"], dy))).withColumn("_cx", F.explode(cells(*ends["lngs"], dx)))
+    boxed = areas.select("*", *[f(*ends[c]).alias(f"_{n}_{c}") for c in ends for n, f in (("low", lambda a, b: a), ("high", lambda a, b: b))])
+    spread = boxed.withColumn("_cy", F.explode(cells(F.col("_low_lats"), F.col("_high_lats"), dy))).withColumn("_cx", F.explode(cells(F.col("_low_lngs"), F.col("_high_lngs"), dx)))
     placed = points.withColumn("_cy", F.floor(lat / dy)).withColumn("_cx", F.floor(lng / dx))
-    return placed.join(spread, ["_cy", "_cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_cy", "_cx")
+    up = (radius_m + 1.0) / M_PER_DEGREE * 1.01
+    across = up / math.cos(math.radians(max_lat))
+    boxes = lat.between(F.col("_low_lats") - up, F.col("_high_lats") + up) & lng.between(F.col("_low_lngs") - across, F.col("_high_lngs") + across)
+    met = placed.join(spread, ["_cy", "_cx"]).where(boxes).drop("_cy", "_cx", *(c for c in boxed.columns if c not in areas.columns))
+    return met.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
 
 
-def select_areas(pairs: DataFrame, k: int) -> DataFrame:
-    """All areas that cover a point or, where none does, the k nearest."""
-    inside_ = F.col("distance_m") == 0
-    covering = pairs.where(inside_)
-    outside = pairs.join(covering.select("cafe_id").distinct(), "cafe_id", "left_anti")
-    return covering.withColumn("rank", F.lit(1)).withColumn("covers", F.lit(True)).unionByName(nearest_k(outside, "cafe_id", "hotspot_id", k).withColumn("covers", F.lit(False)))
+def by_shape(areas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shapes of areas (hotspot_id, and lats and lngs or rings), each once under its least hotspot_id as shape_id, and the areas (shape_id, hotspot_id) of each."""
+    outline = [c for c in ("lats", "lngs", "rings") if c in areas.columns]
+    shapes = areas.groupBy(*outline).agg(F.min("hotspot_id").alias("shape_id"))
+    return shapes, areas.join(shapes, outline).select("shape_id", "hotspot_id")
+
+
+def select_areas(pairs: DataFrame, k: int, point: Sequence[str] = ("cafe_id",), area: str = "hotspot_id") -> DataFrame:
+    """All areas that cover a point or, where none does, the k nearest; adds rank, 1 for all that cover, and covers."""
+    w = Window.partitionBy(*point)
+    ranked = pairs.withColumns({"covers": F.min("distance_m").over(w) == 0, "rank": F.row_number().over(w.orderBy("distance_m", area))})
+    chosen = ranked.where(F.when(F.col("covers"), F.col("distance_m") == 0).otherwise(F.col("rank") <= k))
+    return chosen.withColumn("rank", F.when(F.col("covers"), 1).otherwise(F.col("rank")))
+
+
+def areas_at(points: DataFrame, areas: DataFrame, radius_m: float) -> DataFrame:
+    """Each spot (lat, lng) of points with the areas (hotspot_id) within radius_m and distance_m.
+
+    Points at one spot and areas of one shape are measured once.
+    """
+    shapes, members = by_shape(areas)
+    pairs = near_areas(points.select("lat", "lng").distinct(), shapes, radius_m).select("lat", "lng", "shape_id", "distance_m")
+    return pairs.join(members, "shape_id").drop("shape_id")
+
+
+def chosen_at(points: DataFrame, areas: DataFrame, radius_m: float, k: int) -> DataFrame:
+    """Each spot (lat, lng) of points with all areas that cover it or, where none does, the k nearest within radius_m: hotspot_id, distance_m, rank and covers.
+
+    The k nearest areas lie among the first k of the k nearest shapes: a shape
+    comes in by its least hotspot_id, and equal distances go by that.
+    """
+    shapes, members = by_shape(areas)
+    pairs = near_areas(points.select("lat", "lng").distinct(), shapes, radius_m).select("lat", "lng", "shape_id", "distance_m")
+    at = select_areas(pairs, k, ("lat", "lng"), "shape_id").select("lat", "lng", "shape_id", "distance_m", "covers")
+    numbered = members.withColumn("_n", F.row_number().over(Window.partitionBy("shape_id").orderBy("hotspot_id")))
+    met = at.join(numbered, "shape_id").where(F.col("covers") | (F.col("_n") <= k)).drop("_n", "shape_id", "covers")
+    return select_areas(met, k, ("lat", "lng"))
 
 
 def clip(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> list[tuple[float, float]]:

@@ -121,3 +121,24 @@ def test_points_and_cells_of_areas_with_holes(spark, tmp_path):
     cells = spark.createDataFrame([(c, [y, y, y + 2, y + 2], [x, x + 2, x + 2, x]) for c, (x, y) in enumerate([(0.0, 0.0), (1.0, 1.0), (3.0, 0.0), (7.0, 1.0), (20.0, 20.0)])], "cell_id long, c_lats array<double>, c_lngs array<double>")
     weights = {(r.hotspot_id, r.cell_id): r.weight for r in geometry.ring_weights(a.crossJoin(cells)).collect()}
     assert weights == {(1, 0): 0.75, (1, 2): 0.5, (1, 3): 0.25, (2, 3): 0.25}
+
+
+def test_one_spot_and_one_shape_are_measured_once(spark):
+    spots = [(37.5 + i * 0.004, 127.0 + i * 0.003) for i in range(12)]
+    points = spark.createDataFrame([(100 * j + i, *p) for i, p in enumerate(spots) for j in range(3)], "cafe_id bigint, lat double, lng double")
+    square = lambda y, x, d: ([y - d, y - d, y + d, y + d], [x - d, x + d, x + d, x - d])
+    rows = [(10 * j + i, *square(37.5 + i * 0.012, 127.0 + i * 0.008, 0.002 + i % 2 * 0.001)) for i in range(4) for j in range(5)]
+    areas = spark.createDataFrame(rows, "hotspot_id bigint, lats array<double>, lngs array<double>")
+    shapes, members = geometry.by_shape(areas)
+    assert shapes.count() == 4 and members.count() == 20
+    every = geometry.near_areas(points, areas, 900.0)
+    order = lambda df, cols: sorted(map(tuple, df.select(*cols).collect()))
+    cols = ["cafe_id", "hotspot_id", "distance_m"]
+    assert order(points.join(geometry.areas_at(points, areas, 900.0), ["lat", "lng"]), cols) == order(every, cols)
+    chosen = geometry.chosen_at(points, areas, 900.0, 3)
+    assert chosen.count() * 3 == points.join(chosen, ["lat", "lng"]).count()
+    by_cafe: dict = {}
+    for cafe, area, d in order(every, cols):
+        by_cafe.setdefault(cafe, []).append((d, area))
+    want = sorted((c, a, d) for c, near in by_cafe.items() for d, a in ([x for x in near if x[0] == 0] or sorted(near)[:3]))
+    assert order(points.join(chosen, ["lat", "lng"]), cols) == want and any(d > 0 for *_, d in want)
