@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.address import exit_number, station_name
 from tessera.functions.geo import haversine_m
 from tessera.operators.components import components
-from tessera.operators.spatial import radius_pairs
+from tessera.operators.spatial import nearest_at, radius_pairs
 
 # Fixed value: the radius that clusters are measured with
 RADIUS_M = 6_371_000.0
@@ -78,10 +78,8 @@ def build_stations(stops: DataFrame, near_m: float = 350.0, places: int = 6) ->
 
 def link_exits(exits: DataFrame, stations: DataFrame, within_m: float = 700.0) -> DataFrame:
     """Each exit (exit_id, lat, lng) with the nearest station (station_id, p_lat, p_lng), or null beyond within_m."""
-    pairs = radius_pairs(exits, stations, within_m)
-    w = Window.partitionBy("exit_id").orderBy("distance_m", "station_id")
-    best = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("exit_id", "station_id", "distance_m")
-    return exits.select("exit_id").join(best, "exit_id", "left")
+    best = nearest_at(exits, stations, "station_id", within_m, 1).select("lat", "lng", "station_id", "distance_m")
+    return exits.select("exit_id", "lat", "lng").join(best, ["lat", "lng"], "left").select("exit_id", "station_id", "distance_m")
 
 
 def named_exits(entrances: DataFrame, stations: DataFrame, within_m: float = 700.0, labels: Sequence[str] = ("label",), ref: str = "ref") -> DataFrame:

@@ -257,3 +257,14 @@ def test_plans_and_shortages(spark):
     assert sorted(tuple(r) for r in short) == [("h", "mid", 1, 2), ("i", "mid", 0, 2), ("i", "near", 0, 2)]
     counts = audit.rule_counts(spark.createDataFrame([(1,), (7,), (None,)], "v int"), {"small": "v < 5", "known": "v IS NOT NULL"}, "t").collect()
     assert [tuple(r) for r in counts] == [("t", "small", 1), ("t", "known", 1)]
+
+
+def test_nearest_are_found_once_for_each_spot(spark):
+    spots = [(37.5 + i * 0.002, 127.0) for i in range(6)]
+    points = spark.createDataFrame([(10 * j + i, *p) for i, p in enumerate(spots) for j in range(4)], "cafe_id bigint, lat double, lng double")
+    places = spark.createDataFrame([(10 * j + i, p[0] + 0.001, p[1]) for i, p in enumerate(spots) for j in range(5)], "hotspot_id bigint, p_lat double, p_lng double")
+    near = spatial.nearest_at(points, places, "hotspot_id", 500.0, 3)
+    want = spatial.nearest_k(spatial.radius_pairs(points, places, 500.0), "cafe_id", "hotspot_id", 3)
+    rows = lambda df: sorted(map(tuple, df.select("cafe_id", "rank", "hotspot_id", "distance_m").collect()))
+    assert rows(points.join(near, ["lat", "lng"])) == rows(want)
+    assert near.count() == 18 and want.count() == 72  # the work follows the spots
