@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.operators import activity, audit, baseline, evaluation, fragments, od_report, slo
-from tessera.operators.spatial import nearest_k, radius_pairs
+from tessera.operators.spatial import nearest_at
 from tessera.plans.registry import stored
 from tessera.plans.scores import delay_pairs, now, observations, scores
 from tessera.scratch import scratch_path
@@ -112,7 +112,8 @@ def cycle_signals(spark, sf_dir):
 def activity_estimates(spark, sf_dir):
     """Cafes' activity from the intervals of up to three hotspots, some of which have faults."""
     seen = observations(spark, sf_dir)
-    near = nearest_k(radius_pairs(load(spark, sf_dir, "cafes").select("cafe_id", "lat", "lng"), seen, 1500.0), "cafe_id", "hotspot_id", 3)
+    cafes = load(spark, sf_dir, "cafes").select("cafe_id", "lat", "lng")
+    near = nearest_at(cafes, seen, "hotspot_id", 1500.0, 3)
     log = F.ln(1 + F.col("ppltn_min").cast("double"))
     base = load(spark, sf_dir, "snapshots").groupBy("hotspot_id").agg(F.avg("ppltn_min").alias("baseline_mean"), F.stddev_pop(log).alias("_s"))
     base = base.withColumn("baseline_dispersion", F.when(F.col("hotspot_id") % 9 != 0, F.col("_s"))).drop("_s")
@@ -131,7 +132,7 @@ def activity_estimates(spark, sf_dir):
     weight = F.when(F.col("hotspot_id") % 37 == 0, 0.0).otherwise(1.0 / F.pow(F.greatest(F.col("distance_m"), F.lit(50.0)), 2.0))
     text = {"observation_type": "presence_count", "mode": "observed", "source_id": "s", "source_version": "v", "geometry": "point", "provenance": "p"}
     rows = near.join(base, "hotspot_id").select(
-        F.col("cafe_id").alias("estimate_id"),
+        F.struct("lat", "lng").alias("estimate_id"),  # cafes at one spot share an estimate
         *[F.lit(v).alias(k) for k, v in text.items()],
         F.col("hotspot_id").cast("string").alias("contributor_id"),
         F.lit(None).cast("double").alias("value"),
@@ -148,7 +149,8 @@ def activity_estimates(spark, sf_dir):
     )
     made = activity.estimates(rows, now(), activity.Activity(stale_min=720.0))
     digits = {"baseline_mean": 6, "anomaly_min": 7, "anomaly_max": 7, "standardized_min": 6, "disagreement": 6}
-    return made.select("estimate_id", "error", "n", "freshness", "current_min", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    made = made.select("estimate_id.*", "error", "n", "freshness", "current_min", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    return cafes.join(made, ["lat", "lng"]).withColumnRenamed("cafe_id", "estimate_id").drop("lat", "lng")
 
 
 def scores_then(spark, sf_dir, **args):
