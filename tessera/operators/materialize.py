@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.timing import minutes_between
 from tessera.operators.scoring import latest_polled, score_points, weighted
-from tessera.operators.spatial import nearest_k, radius_pairs
+from tessera.operators.spatial import nearest_at
 from tessera.params import PointScore
 
 
 def contributors(points: DataFrame, observations: DataFrame, p: PointScore = PointScore()) -> DataFrame:
     """For each cafe_id with neighbours, the array of (hotspot_id, distance_m, level, weight), nearest first; weights sum to one."""
-    near = nearest_k(radius_pairs(points.select("cafe_id", "lat", "lng"), observations, p.radius_m), "cafe_id", "hotspot_id", p.neighbours)
-    return weighted(near, ["cafe_id"], p, True).select("cafe_id", "contributors")
+    near = nearest_at(points, observations, "hotspot_id", p.radius_m, p.neighbours)
+    return points.select("cafe_id", "lat", "lng").join(weighted(near, ["lat", "lng"], p, True), ["lat", "lng"]).select("cafe_id", "contributors")
 
 
 def materialize_scores(cafes: DataFrame, hotspots: DataFrame, snapshots: DataFrame, now: Column, p: PointScore = PointScore()) -> DataFrame:
