@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import stats
@@ -12,26 +12,43 @@ from tessera.operators.temporal import as_of
 from tessera.params import PointScore
 
 
+def first_known(places: DataFrame, place: str, since: str, k: int) -> DataFrame:
+    """Of the places at one spot (p_lat, p_lng), those that can at any moment be among the first k known by then; a place is known from since on.
+
+    A place known no earlier than one before it is hidden by that. Those that
+    nothing hides make a layer; without them the next one shows. One hidden by
+    fewer than k others lies in the first k layers, and these are kept.
+    """
+    before = Window.partitionBy("p_lat", "p_lng").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = places.withColumn("_kept", F.lit(False))
+    for _ in range(k):
+        rows = rows.withColumn("_least", F.min(F.when(~F.col("_kept"), F.col(since))).over(before))
+        rows = rows.withColumn("_kept", F.col("_kept") | F.col("_least").isNull() | (F.col(since) < F.col("_least")))
+    return rows.where("_kept").drop("_kept", "_least")
+
+
 def scores_as_of(asked: DataFrame, cafes: DataFrame, hotspots: DataFrame, snapshots: DataFrame, p: PointScore = PointScore(), slice_hours: float = 24.0) -> DataFrame:
     """The score of each (cafe_id, observed_at) of asked from what was observed and fetched by then.
 
-    Cafes meet the polled hotspots within the radius once, whatever the number
-    of moments; each hotspot and moment is looked up once, whatever the
-    number of cafes. Of the hotspots with an observation by then, the nearest
-    count. A cafe that isn't in cafes gives no row.
+    Spots of cafes meet the polled hotspots within the radius once, whatever
+    the number of moments; of the hotspots with an observation by then, the
+    nearest count, and only these are looked up, each hotspot and moment once.
+    A cafe that isn't in cafes gives no row.
     """
     keys = ["cafe_id", "observed_at"]
     moments = asked.select(*keys).distinct().join(cafes.select("cafe_id", "lat", "lng"), "cafe_id")
-    points = moments.select("cafe_id", "lat", "lng").distinct()
+    spots = moments.select("lat", "lng", "observed_at").distinct()
     polled = hotspots.where("is_polled").select("hotspot_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
-    pairs = radius_pairs(points, polled, p.radius_m).select("cafe_id", "hotspot_id", "distance_m")
-    wanted = moments.select(*keys).join(pairs, "cafe_id")
     history = snapshots.select("hotspot_id", "event_id", "level", F.col("observed_at").alias("seen_at"), "fetched_at")
-    seen = as_of(wanted.select("hotspot_id", "observed_at"), history, "hotspot_id", "observed_at", "seen_at", "fetched_at", "event_id", slice_hours).where("event_id IS NOT NULL")
-    met = wanted.join(seen.select("hotspot_id", "observed_at", "level", "seen_at"), ["hotspot_id", "observed_at"])
-    near = nearest_k(met.withColumnsRenamed({"observed_at": "at", "seen_at": "observed_at"}), ["cafe_id", "at"], "hotspot_id", p.neighbours)
-    made = weighted(near, ["cafe_id", "at"], p)
-    return rated(moments.select("cafe_id", F.col("observed_at").alias("at")), made, ["cafe_id", "at"], F.col("at"), p).withColumnRenamed("at", "observed_at")
+    since = history.where("seen_at IS NOT NULL AND fetched_at IS NOT NULL").groupBy("hotspot_id").agg(F.min(F.greatest("seen_at", "fetched_at")).alias("_since"))
+    places = first_known(polled.join(since, "hotspot_id"), "hotspot_id", "_since", p.neighbours)
+    pairs = radius_pairs(spots.select("lat", "lng").distinct(), places, p.radius_m).select("lat", "lng", "hotspot_id", "distance_m", "_since")
+    at = ["lat", "lng", "observed_at"]
+    near = nearest_k(spots.join(pairs, ["lat", "lng"]).where(F.col("_since") <= F.col("observed_at")), at, "hotspot_id", p.neighbours)
+    seen = as_of(near.select("hotspot_id", "observed_at"), history, "hotspot_id", "observed_at", "seen_at", "fetched_at", "event_id", slice_hours).where("seen_at IS NOT NULL")
+    met = near.join(seen.select("hotspot_id", "observed_at", "level", "seen_at"), ["hotspot_id", "observed_at"])
+    made = weighted(met.withColumnsRenamed({"observed_at": "at", "seen_at": "observed_at"}), ["lat", "lng", "at"], p)
+    return rated(moments.withColumnRenamed("observed_at", "at"), made, ["cafe_id", "at"], F.col("at"), p, ["lat", "lng", "at"]).withColumnRenamed("at", "observed_at")
 
 
 def evaluated(truths: DataFrame, scores: DataFrame, truth: str = "truth") -> DataFrame:

@@ -236,6 +236,32 @@ def test_wide_viewports_list_no_tiles(spark, sf_dir):
     assert [x.n for x in got] == [x.listed for x in got] and got[0].n == 1 << 20 and got[2].n == 0
 
 
+def test_only_places_that_can_count_are_looked_up(spark):
+    since = [9, 9, 7, 8, 7, 3, 6, 5, 1, 2, 4, 0]
+    places = spark.createDataFrame([(i, 37.5 + i // 20, 127.0, s) for i, s in enumerate(since + [5] * 8 + since)], "hotspot_id int, p_lat double, p_lng double, since int")
+    for k in (1, 2, 3):
+        kept = [(r.p_lat, r.hotspot_id, r.since) for r in evaluation.first_known(places, "hotspot_id", "since", k).collect()]
+        rows = [(r.p_lat, r.hotspot_id, r.since) for r in places.collect()]
+        for at in {r[0] for r in rows}:
+            for t in range(10):
+                known = lambda of: sorted(i for y, i, s in of if y == at and s <= t)[:k]  # noqa: B023, E731
+                assert known(kept) == known(rows)
+        assert len(kept) < len(rows)
+
+
+def test_spots_are_rescored_once(spark, tmp_path):
+    cafes = spark.createDataFrame([(i, 37.5 + i % 2, 127.0, True) for i in range(40)] + [(99, None, 127.0, True)], "cafe_id bigint, lat double, lng double, active boolean")
+    hot = spark.createDataFrame([(i, 37.501, 127.0, True) for i in range(30)], "hotspot_id bigint, lat double, lng double, is_polled boolean")
+    seen = spark.createDataFrame([(i, 30 - i, at(i), at(i), 1 + i % 4) for i in range(1, 20)], "event_id bigint, hotspot_id bigint, observed_at timestamp, fetched_at timestamp, level int")
+    scorer = Rescorer(f"{tmp_path}/scores", 4)
+    scorer.build(cafes, hot, seen)
+    assert spark.read.parquet(f"{scorer.root}/by_spot").count() == 1  # 600 pairs of a cafe and a hotspot
+    for b in range(3):
+        scorer.write(F.lit(at(60)))(seen.where(f"event_id % 3 = {b}"), b)
+    got, want = ({r.cafe_id: (r.score, r.coverage, r.contributors) for r in df.collect()} for df in (scorer.scores(spark), materialize.materialize_scores(cafes, hot, seen, F.lit(at(60)))))
+    assert got == want and got[0][0] is not None and got[99][1] == "uncovered"
+
+
 CALLS = "/tmp/tessera-paged-calls"
 
 
