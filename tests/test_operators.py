@@ -268,3 +268,16 @@ def test_nearest_are_found_once_for_each_spot(spark):
     rows = lambda df: sorted(map(tuple, df.select("cafe_id", "rank", "hotspot_id", "distance_m").collect()))
     assert rows(points.join(near, ["lat", "lng"])) == rows(want)
     assert near.count() == 18 and want.count() == 72  # the work follows the spots
+
+
+def test_scores_are_made_once_for_each_spot(spark, monkeypatch):
+    """Copies of cafes and hotspots at the same spots add no pairs, and no score changes."""
+    cafes = spark.createDataFrame([(100 * j + i, 37.5 + i * 300 * NORTH, 127.0) for i in range(5) for j in range(6)], "cafe_id bigint, lat double, lng double")
+    hotspots = spark.createDataFrame([(100 * j + i, 37.5 + (i * 400 + 50) * NORTH, 127.0, 1 + (i + j) % 4, NOW - timedelta(minutes=i + j)) for i in range(4) for j in range(7)], "hotspot_id bigint, p_lat double, p_lng double, level int, observed_at timestamp_ntz")
+    one_by_one = scoring.weighted(spatial.nearest_k(spatial.radius_pairs(cafes, hotspots, 1500.0), "cafe_id", "hotspot_id", 3), ["cafe_id"])
+    want = scoring.rated(cafes, one_by_one, ["cafe_id"], F.lit(NOW))
+    seen, real = [], spatial.radius_pairs
+    monkeypatch.setattr(spatial, "radius_pairs", lambda *a: seen.append(real(*a)) or seen[-1])
+    rows = lambda df: sorted(map(tuple, df.withColumns({"score": F.round("score", 9), "confidence": F.round("confidence", 9)}).collect()))
+    assert rows(scoring.score_points(cafes, hotspots, F.lit(NOW))) == rows(want)
+    assert len(seen) == 1 and seen[0].count() == 5 * 4 * 3
