@@ -28,7 +28,7 @@ def shared(tmp_path_factory):
     return str(made), c
 
 
-@pytest.mark.parametrize("name", ["band_shortages", "band_topn", "coverage_counts", "coverage_transition", "knn_topk", "masked_serving", "cafe_summary"])
+@pytest.mark.parametrize("name", ["band_shortages", "band_topn", "coverage_counts", "coverage_transition", "knn_topk", "masked_serving", "cafe_summary", "score_points"])
 def test_shared_spots(spark, shared, monkeypatch, name):
     """The rows of the SQL; cells are met by one row for each spot of cafes and by the first three polled hotspots of each spot, 900 of them."""
     sf_dir, con = shared
