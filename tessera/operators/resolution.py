@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from tessera.functions.address import road_address, with_entity_text
 from tessera.functions.geo import haversine_m
 from tessera.functions.text import digits
 from tessera.operators.entity import candidate_pairs, reconcile, two_signals
-from tessera.operators.spatial import cube_pairs
+from tessera.operators.spatial import cube_pairs, keyed_pairs
 from tessera.params import Reconcile
 
 MAX_M = 50.0
@@ -88,33 +91,49 @@ GATES = {
 
 
 def gate_masks(permits: DataFrame, cafes: DataFrame, own_source: str, within_m: float = MAX_M) -> DataFrame:
-    """(permit_id, cafe_id, mask) of all pairs in neighbouring cubes: bit i of mask says whether gate i of GATES holds.
+    """(stage, permit_id, pairs): how many cafes in neighbouring cubes pass gate number stage of GATES with a permit, where any do.
 
     Cafes whose origin_provider is own_source, the permits' own, don't count.
+    No pair of a permit and a cafe is made. Both are counted by spot and by what a
+    gate compares, and what is equal in that meets once for two spots, so the
+    tenants of one building cost as much as their number.
     """
     others = cafes.where(~F.col("origin_provider").eqNullSafe(F.lit(own_source)))
-    p = comparable(permits, "permit_id", "p").withColumnsRenamed({"p_lat": "lat", "p_lng": "lng"})
-    c = comparable(others, "cafe_id", "c").withColumnsRenamed({"c_lat": "p_lat", "c_lng": "p_lng"})
-    pairs = cube_pairs(p, c, within_m)
-    holds = {"near": haversine_m(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")) <= within_m}
-    holds |= {s: F.coalesce(F.col(f"p_{s}") == F.col(f"c_{s}"), F.lit(False)) for s in SIGNALS}
-    one = pairs.select("permit_id", "cafe_id", *(h.alias(f"_{n}") for n, h in holds.items()))
-    mask = F.lit(0)
-    for i, needs in enumerate(GATES.values()):
-        ok = F.lit(True)
-        for n in needs:
-            ok = ok & F.col(f"_{n}")
-        mask = mask + F.when(ok, 1 << i).otherwise(0)
-    return one.select("permit_id", "cafe_id", mask.alias("mask"))
-
-
-def gate_funnel(masks: DataFrame) -> DataFrame:
-    """(stage, gate, pairs, permits): how many pairs pass each gate, and permits with any such pair; one pass over masks."""
-    bit = lambda m, i: F.col(m).bitwiseAND(F.lit(1 << i)) != 0
-    by_permit = masks.groupBy("permit_id").agg(F.bit_or("mask").alias("any"), *[F.count_if(bit("mask", i)).alias(f"n{i}") for i in range(len(GATES))])
-    row = by_permit.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(GATES))], *[F.count_if(bit("any", i)).alias(f"p{i}") for i in range(len(GATES))])
-    items = F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(g).alias("gate"), F.col(f"n{i}").alias("pairs"), F.col(f"p{i}").alias("permits")) for i, g in enumerate(GATES)])
-    return row.select(F.inline(items))
+    n = F.count(F.lit(1)).alias("n")
+    at = permits.select("permit_id", "lat", "lng")
+    cafes_at = others.groupBy(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).agg(n)
+    near = haversine_m(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")) <= within_m
+    spots = cube_pairs(at.select("lat", "lng").distinct(), cafes_at, within_m)
+    spots = spots.groupBy("lat", "lng").agg(F.sum("n").alias("n0"), F.sum(F.when(near, F.col("n"))).alias("n1"))
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("stage"), F.col(f"n{i}").alias("pairs")) for i in (0, 1)]))
+    bare = at.join(spots, ["lat", "lng"]).select("permit_id", each).where("pairs > 0")
+
+    # rows are few to a split, and what is made of them is much more
+    p = comparable(permits.repartition("permit_id"), "permit_id", "p").withColumnsRenamed({"p_lat": "lat", "p_lng": "lng"})
+    c = comparable(others.repartition("cafe_id"), "cafe_id", "c").withColumnsRenamed({"c_lat": "p_lat", "c_lng": "p_lng"})
+    kinds = {s: p.schema[f"p_{s}"].dataType for s in SIGNALS}
+
+    def keys(x: str) -> Column:
+        """One value for each gate with signals, none of which is null: its stage and what it compares."""
+        made = []
+        for i, needs in enumerate(GATES.values()):
+            if used := [s for s in needs if s in SIGNALS]:
+                values = [(F.col(f"{x}_{s}") if s in used else F.lit(None).cast(kind)).alias(s) for s, kind in kinds.items()]
+                made.append(F.when(reduce(and_, [F.col(f"{x}_{s}").isNotNull() for s in used]), F.struct(F.lit(i).alias("stage"), *values)))
+        return F.explode(F.array_compact(F.array(*made))).alias("key")
+
+    signed = p.select("permit_id", "lat", "lng", keys("p"))
+    groups = c.select("p_lat", "p_lng", keys("c")).groupBy("key", "p_lat", "p_lng").agg(n)
+    met = keyed_pairs(signed.select("key", "lat", "lng").distinct(), groups, "key", within_m).groupBy("key", "lat", "lng").agg(F.sum("n").alias("pairs"))
+    return bare.unionByName(signed.hint("merge").join(met, ["key", "lat", "lng"]).select("permit_id", "key.stage", "pairs"))
+
+
+def gate_funnel(counts: DataFrame) -> DataFrame:
+    """(stage, gate, pairs, permits): how many pairs pass each gate, and permits with any such pair, from the rows of gate_masks."""
+    names = F.inline(F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(g).alias("gate")) for i, g in enumerate(GATES)]))
+    by_stage = counts.groupBy("stage").agg(F.sum("pairs").alias("pairs"), F.count_distinct("permit_id").alias("permits"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counts.sparkSession.range(1).select(names).join(by_stage, "stage", "left").select("stage", "gate", zero("pairs"), zero("permits"))
 
 
 def eligible_area(category: Column, status: Column, unit: Column, unit_status: Column, area: Column, wanted: tuple[str, str, str, str]) -> Column:

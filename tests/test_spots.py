@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 from tessera import catalog
-from tessera.operators import spatial
+from tessera.operators import resolution, spatial
+from tessera.sources import adapters
 
 DATA = "/root/testdata"
 
@@ -38,3 +39,17 @@ def test_shared_spots(spark, shared, monkeypatch, name):
     at = [rel.columns.index(c) for c in df.columns]
     assert sorted(tuple(map(shown, r)) for r in df.collect()) == sorted(tuple(shown(r[i]) for i in at) for r in rel.fetchall())
     assert [cells.count() for cells in seen] == [1000, 9 * 3 * 900]
+
+
+def test_gates_are_counted_without_pairs(spark, tmp_path):
+    """One building, of whose permits some repeat ids: the rows of the SQL, from one row at most for each gate and permit."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (c_custkey * 400 AS c_custkey) FROM '{DATA}/sf0.1/customer.parquet' WHERE c_custkey % 2500 < 400 AND c_custkey < 5000) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    permits, cafes = (adapters.load(spark, str(tmp_path), t) for t in ("permit_places", "cafe_places"))
+    assert permits.count() > permits.select("permit_id").distinct().count()
+    want = con.sql(catalog.SQL["gate_funnel"]).fetchall()
+    assert max(r[2] for r in want) > 100 * permits.count()
+    counts = resolution.gate_masks(permits, cafes, "permit")
+    assert counts.count() <= 11 * permits.count()
+    assert sorted(map(tuple, resolution.gate_funnel(counts).collect())) == sorted(want)
